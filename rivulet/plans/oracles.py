@@ -154,3 +154,51 @@ unseen AS (
 sc AS (SELECT userId, itemId, SUM(sim) AS score FROM unseen GROUP BY 1, 2),
 rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY userId ORDER BY round(score, 10) DESC, itemId) AS rank FROM sc)
 SELECT userId, itemId, round(score, 6) AS score, rank FROM rk WHERE rank <= 5"""
+
+FACTORS = """uf AS (
+  SELECT vec_id AS userId, CAST(embedding AS DOUBLE[]) AS f, CAST(label AS DOUBLE) / 20.0 AS bu
+  FROM embeddings WHERE vec_id % 2 = 0),
+itf AS (
+  SELECT vec_id AS itemId, CAST(embedding AS DOUBLE[]) AS f, CAST(label AS DOUBLE) / 10.0 AS bi
+  FROM embeddings WHERE vec_id % 2 = 1),
+seen AS (
+  SELECT DISTINCT c.userId, c.itemId FROM (
+    SELECT userId, userId + 2 * j + 1 AS itemId
+    FROM (SELECT vec_id AS userId, unnest(range(0, label + 1)) AS j
+          FROM embeddings WHERE vec_id % 2 = 0) x) c
+  WHERE c.itemId IN (SELECT itemId FROM itf)),
+sc AS (
+  SELECT u.userId, i.itemId, list_dot_product(u.f, i.f) + u.bu + i.bi AS raw
+  FROM uf u CROSS JOIN itf i),
+unseen AS (
+  SELECT * FROM sc
+  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.userId = sc.userId AND s.itemId = sc.itemId)),
+mm AS (SELECT userId, MIN(raw) AS mn, MAX(raw) AS mx FROM unseen GROUP BY userId),
+ranked AS (
+  SELECT u.userId, u.itemId,
+         (raw - mn) / CASE WHEN mx = mn THEN 1.0 ELSE mx - mn END AS score,
+         ROW_NUMBER() OVER (PARTITION BY u.userId ORDER BY round(raw, 9) DESC, u.itemId) AS rank
+  FROM unseen u JOIN mm ON mm.userId = u.userId)"""
+
+ORACLES["factor_recommend"] = f"""WITH {FACTORS}
+SELECT userId, itemId, round(score, 4) AS score, rank FROM ranked WHERE rank <= 5"""
+
+ORACLES["factor_recommend_sliced"] = ORACLES["factor_recommend"]
+
+ORACLES["factor_recommend_one_user"] = f"""WITH {FACTORS}
+SELECT userId, itemId, round(score, 4) AS score, rank FROM ranked WHERE rank <= 5 AND userId = 2"""
+
+ORACLES["retrieval_wide"] = f"""WITH {FACTORS}
+SELECT userId, string_agg(CAST(itemId AS VARCHAR), '; ' ORDER BY rank) AS itemId
+FROM ranked WHERE rank <= 100 GROUP BY userId"""
+
+ORACLES["factor_loss"] = f"""WITH {FACTORS},
+cells AS (
+  SELECT sc.raw AS p, CASE WHEN s.userId IS NULL THEN 0.0 ELSE 1.0 END AS y
+  FROM sc LEFT JOIN seen s ON s.userId = sc.userId AND s.itemId = sc.itemId),
+reg AS (
+  SELECT (SELECT SUM(list_dot_product(f, f)) + SUM(bu * bu) FROM uf)
+       + (SELECT SUM(list_dot_product(f, f)) + SUM(bi * bi) FROM itf) AS sq)
+SELECT round(AVG((p - y) * (p - y)) + 0.01 * 0.5 * (SELECT sq FROM reg), 6) AS loss,
+       round(AVG((p - y) * (p - y)), 6) AS mse
+FROM cells"""
