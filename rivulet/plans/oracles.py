@@ -25,7 +25,7 @@ FX_META = """fx_meta AS (
   SELECT p_partkey AS itemId,
          CASE WHEN p_size <= 24 THEN 0 WHEN p_size <= 48 THEN 1 ELSE 2 END AS cluster,
          CAST(COALESCE(w, 0) AS BIGINT) AS watch
-  FROM part LEFT JOIN (SELECT l_partkey, CAST(SUM(l_quantity) AS BIGINT) AS w
+  FROM part LEFT JOIN (SELECT l_partkey, CAST(trunc(SUM(l_quantity)) AS BIGINT) AS w
                        FROM lineitem GROUP BY l_partkey) q ON l_partkey = p_partkey)"""
 
 FX_RECS = FX_INTER + """,
@@ -202,3 +202,136 @@ reg AS (
 SELECT round(AVG((p - y) * (p - y)) + 0.01 * 0.5 * (SELECT sq FROM reg), 6) AS loss,
        round(AVG((p - y) * (p - y)), 6) AS mse
 FROM cells"""
+
+USERS = FX_INTER + """,
+users AS (
+  SELECT c_custkey AS userId, lst.itemId, c_name AS name,
+         CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'M' WHEN 'MACHINERY' THEN 'M'
+                           WHEN 'FURNITURE' THEN 'F' WHEN 'HOUSEHOLD' THEN 'F' END AS gender,
+         CAST(COALESCE(o.n_orders, 0) AS BIGINT) AS following,
+         CAST(14 + c_custkey % 47 AS INTEGER) AS age,
+         CAST(trunc(abs(c_acctbal)) AS BIGINT) AS fans
+  FROM customer
+  LEFT JOIN (SELECT o_custkey, COUNT(*) AS n_orders FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey
+  LEFT JOIN (SELECT userId, string_agg(CAST(itemId AS VARCHAR), '; ' ORDER BY itemId) AS itemId
+             FROM fx_inter GROUP BY userId) lst ON lst.userId = c_custkey)"""
+
+ITEM_COUNTS = """icnt AS (
+  SELECT l_partkey, COUNT(*) AS n_lines, COUNT(DISTINCT l_orderkey) AS n_orders,
+         COUNT(DISTINCT l_suppkey) AS n_supp
+  FROM lineitem GROUP BY l_partkey)"""
+
+ITEMS = FX_INTER + ",\n" + FX_META + ",\n" + ITEM_COUNTS + """,
+items AS (
+  SELECT p_partkey AS itemId, CAST(p_size * 60 + p_partkey % 60 AS INTEGER) AS length,
+         CAST(COALESCE(n_orders, 0) AS BIGINT) AS comment, CAST(COALESCE(n_lines, 0) AS BIGINT) AS "like",
+         m.watch, CAST(COALESCE(n_supp, 0) AS BIGINT) AS share, p_name AS name, aud.userId, p_type AS category
+  FROM part
+  LEFT JOIN icnt ON l_partkey = p_partkey
+  LEFT JOIN fx_meta m ON m.itemId = p_partkey
+  LEFT JOIN (SELECT itemId, string_agg(CAST(userId AS VARCHAR), '; ' ORDER BY userId) AS userId
+             FROM fx_inter GROUP BY itemId) aud ON aud.itemId = p_partkey)"""
+
+
+def count_splits_sql(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN 0 ELSE "
+            f"len(list_filter(string_split({x}, ';'), lambda t: {strip_sql('t')} <> '')) END")
+
+
+ORACLES["user_features"] = f"""WITH {USERS}
+SELECT userId, CAST(age AS DOUBLE) AS age, CAST(fans AS DOUBLE) AS fans,
+       CAST(CASE gender WHEN 'M' THEN 0 WHEN 'F' THEN 1 END AS DOUBLE) AS gender_code,
+       CAST({count_splits_sql('itemId')} AS DOUBLE) AS num_watched,
+       CAST(following AS DOUBLE) AS num_follow
+FROM users"""
+
+ORACLES["item_features"] = f"""WITH {ITEMS}
+SELECT itemId, CAST(length AS DOUBLE) AS length, CAST(comment AS DOUBLE) AS comment,
+       CAST("like" AS DOUBLE) AS "like", CAST(watch AS DOUBLE) AS watch, CAST(share AS DOUBLE) AS share,
+       CAST({count_splits_sql('userId')} AS DOUBLE) AS num_viewers
+FROM items"""
+
+ORACLES["count_splits"] = f"""WITH {WIDE}
+SELECT userId, CAST({count_splits_sql('itemId')} AS BIGINT) AS n_tokens FROM wide"""
+
+KASSIGN = """cen AS (SELECT vec_id AS cid, CAST(embedding AS DOUBLE[]) AS c FROM embeddings WHERE vec_id < 8),
+pts AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+d AS (
+  SELECT vec_id, cid, x,
+         list_reduce(list_transform(range(1, len(x) + 1), lambda j: (x[j] - c[j]) * (x[j] - c[j])),
+                     lambda a, b: a + b) AS dist
+  FROM pts CROSS JOIN cen),
+best AS (
+  SELECT vec_id, CAST(cid AS INTEGER) AS cluster, dist, x FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY dist, cid) AS rk FROM d) r WHERE rk = 1)"""
+
+ORACLES["kmeans_assign"] = f"""WITH {KASSIGN}
+SELECT vec_id, cluster, round(dist, 6) AS dist FROM best"""
+
+ORACLES["kmeans_step"] = f"""WITH {KASSIGN},
+ex AS (SELECT cluster, CAST(generate_subscripts(x, 1) - 1 AS BIGINT) AS dim, unnest(x) AS v FROM best),
+n AS (SELECT cluster, COUNT(*) AS n FROM best GROUP BY cluster)
+SELECT ex.cluster, dim, round(AVG(v), 6) AS value, n.n
+FROM ex JOIN n ON n.cluster = ex.cluster GROUP BY ex.cluster, dim, n.n"""
+
+RERANK = FX_RECS + ",\n" + FX_META + """,
+known AS (
+  SELECT r.userId, r.pos, r.itemId, m.cluster, m.watch
+  FROM fx_recs r JOIN fx_meta m ON m.itemId = r.itemId),
+k1 AS (
+  SELECT *, CASE WHEN ROW_NUMBER() OVER w = 1 THEN 1
+                 WHEN LAG(cluster) OVER w IS NOT DISTINCT FROM cluster THEN 0 ELSE 1 END AS chg
+  FROM known WINDOW w AS (PARTITION BY userId ORDER BY pos)),
+k2 AS (SELECT *, SUM(chg) OVER (PARTITION BY userId ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM k1),
+k3 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY userId, run ORDER BY pos) AS run_idx FROM k2),
+surv AS (SELECT * FROM k3 WHERE run_idx <= 5),
+slots AS (
+  SELECT * FROM (
+    SELECT userId, pos, itemId, cluster, watch,
+           ROW_NUMBER() OVER (PARTITION BY userId ORDER BY pos) AS slot FROM surv) s
+  WHERE slot <= 10),
+stats AS (
+  SELECT userId, COUNT(*) AS cnt, MAX(CASE WHEN watch < 500 THEN 1 ELSE 0 END) AS has_cold
+  FROM slots GROUP BY userId),
+maxw AS (
+  SELECT userId, slot AS max_slot FROM (
+    SELECT userId, slot, ROW_NUMBER() OVER (PARTITION BY userId ORDER BY watch DESC, slot) AS rk FROM slots) x
+  WHERE rk = 1),
+cold_c AS (
+  SELECT userId, itemId AS cc_item, cluster AS cc_cluster, watch AS cc_watch FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY userId ORDER BY pos) AS rk
+    FROM known WHERE pos >= 10 AND watch < 500) x WHERE rk = 1),
+s3 AS (
+  SELECT s.userId, s.slot, st.cnt,
+         CASE WHEN sw THEN cc_item ELSE s.itemId END AS itemId,
+         CASE WHEN sw THEN cc_cluster ELSE s.cluster END AS cluster,
+         CASE WHEN sw THEN cc_watch ELSE s.watch END AS watch
+  FROM (SELECT s.*, (st.cnt = 10 AND st.has_cold = 0 AND c.cc_item IS NOT NULL AND s.slot = mw.max_slot) AS sw,
+               c.cc_item, c.cc_cluster, c.cc_watch
+        FROM slots s JOIN stats st ON st.userId = s.userId JOIN maxw mw ON mw.userId = s.userId
+        LEFT JOIN cold_c c ON c.userId = s.userId) s
+  JOIN stats st ON st.userId = s.userId),
+s3c AS (SELECT *, COUNT(*) OVER (PARTITION BY userId, cluster) AS cl_count FROM s3),
+cl AS (
+  SELECT userId, COUNT(DISTINCT cluster) AS n_cl, MIN(CASE WHEN cl_count >= 2 THEN slot END) AS target
+  FROM s3c GROUP BY userId),
+nc AS (
+  SELECT userId, itemId AS nc_item, cluster AS nc_cluster, watch AS nc_watch FROM (
+    SELECT k.*, ROW_NUMBER() OVER (PARTITION BY k.userId ORDER BY k.pos) AS rk
+    FROM known k JOIN cl ON cl.userId = k.userId AND cl.n_cl + 1 = 3
+    WHERE k.pos >= 10 AND NOT EXISTS (
+      SELECT 1 FROM s3 WHERE s3.userId = k.userId AND s3.cluster = k.cluster)) x
+  WHERE rk = 1),
+s4 AS (
+  SELECT s.userId, s.slot,
+         CASE WHEN s.cnt = 10 AND cl.n_cl < 3 AND nc.nc_item IS NOT NULL AND s.slot = cl.target
+              THEN nc.nc_item ELSE s.itemId END AS itemId
+  FROM s3c s JOIN cl ON cl.userId = s.userId LEFT JOIN nc ON nc.userId = s.userId)"""
+
+ORACLES["streak_cap"] = f"""WITH {RERANK}
+SELECT userId, pos, itemId, CAST(run AS BIGINT) AS run, run_idx FROM surv"""
+
+ORACLES["rerank"] = f"""WITH {RERANK}
+SELECT userId, string_agg(CAST(itemId AS VARCHAR), '; ' ORDER BY slot) AS itemId FROM s4 GROUP BY userId"""
+
+ORACLES["rerank_from_wide"] = ORACLES["rerank"]
