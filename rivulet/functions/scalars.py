@@ -93,15 +93,18 @@ def strip_prefix(c: Column | str, prefix_regex: str) -> Column:
 
 
 def epoch_seconds(ts: Column | str) -> Column:
-    """Whole epoch seconds of a wall-clock (NTZ) timestamp read as UTC."""
-    return F.floor(F.unix_micros(F.to_utc_timestamp(_c(ts).cast("timestamp"), "UTC")) / 1_000_000).cast("long")
+    """Whole epoch seconds; a wall-clock (NTZ) timestamp is read as UTC."""
+    return F.unix_timestamp(_c(ts))
 
 
 def format_epoch(sec: Column | str, zone: str = "UTC") -> Column:
-    """Epoch seconds -> 'YYYY-MM-DD HH:MM:SS' in ``zone`` (session-independent)."""
-    ts = F.timestamp_seconds(_c(sec))
-    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz")),
-                         "yyyy-MM-dd HH:mm:ss")
+    """Epoch seconds -> 'YYYY-MM-DD HH:MM:SS' wall clock in ``zone``, built with
+    NTZ arithmetic so the session time zone plays no part."""
+    epoch0 = F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    ntz = epoch0 + F.make_dt_interval(secs=_c(sec).cast("decimal(18,6)"))
+    if zone != "UTC":
+        ntz = F.convert_timezone(F.lit("UTC"), F.lit(zone), ntz)
+    return F.date_format(ntz, "yyyy-MM-dd HH:mm:ss")
 
 
 def cosine_norm(co: Column | str, nu: Column | str, nv: Column | str) -> Column:

@@ -335,3 +335,257 @@ ORACLES["rerank"] = f"""WITH {RERANK}
 SELECT userId, string_agg(CAST(itemId AS VARCHAR), '; ' ORDER BY slot) AS itemId FROM s4 GROUP BY userId"""
 
 ORACLES["rerank_from_wide"] = ORACLES["rerank"]
+
+# ---- ETL, pages, events, lookups -------------------------------------------
+
+USERS_BODY = """users AS (
+  SELECT c_custkey AS userId, lst.itemId, c_name AS name,
+         CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'M' WHEN 'MACHINERY' THEN 'M'
+                           WHEN 'FURNITURE' THEN 'F' WHEN 'HOUSEHOLD' THEN 'F' END AS gender,
+         CAST(COALESCE(o.n_orders, 0) AS BIGINT) AS following,
+         CAST(14 + c_custkey % 47 AS INTEGER) AS age,
+         CAST(trunc(abs(c_acctbal)) AS BIGINT) AS fans
+  FROM customer
+  LEFT JOIN (SELECT o_custkey, COUNT(*) AS n_orders FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey
+  LEFT JOIN (SELECT userId, string_agg(CAST(itemId AS VARCHAR), '; ' ORDER BY itemId) AS itemId
+             FROM fx_inter GROUP BY userId) lst ON lst.userId = c_custkey)"""
+
+ITEMS_BODY = ITEM_COUNTS + """,
+items AS (
+  SELECT p_partkey AS itemId, CAST(p_size * 60 + p_partkey % 60 AS INTEGER) AS length,
+         CAST(COALESCE(n_orders, 0) AS BIGINT) AS comment, CAST(COALESCE(n_lines, 0) AS BIGINT) AS "like",
+         m.watch, CAST(COALESCE(n_supp, 0) AS BIGINT) AS share, p_name AS name, aud.userId, p_type AS category
+  FROM part
+  LEFT JOIN icnt ON l_partkey = p_partkey
+  LEFT JOIN fx_meta m ON m.itemId = p_partkey
+  LEFT JOIN (SELECT itemId, string_agg(CAST(userId AS VARCHAR), '; ' ORDER BY userId) AS userId
+             FROM fx_inter GROUP BY itemId) aud ON aud.itemId = p_partkey)"""
+
+RAW_ITEMS_BODY = """raw_items AS (
+  SELECT p_partkey AS key, p_name AS title,
+         CASE WHEN p_partkey % 13 = 0 THEN CAST(p_size AS VARCHAR)
+              WHEN p_partkey % 17 = 0 THEN '1:' || mmss ELSE mmss END AS duration,
+         CAST(COALESCE(n_orders, 0) AS BIGINT) AS comments, CAST(COALESCE(n_lines, 0) AS BIGINT) AS likes,
+         m.watch AS plays, CAST(COALESCE(n_supp, 0) AS BIGINT) AS favourites, p_type AS category
+  FROM (SELECT *, CAST(p_size AS VARCHAR) || ':' || lpad(CAST(p_partkey % 60 AS VARCHAR), 2, '0') AS mmss
+        FROM part) p
+  LEFT JOIN icnt ON l_partkey = p_partkey
+  LEFT JOIN fx_meta m ON m.itemId = p_partkey)"""
+
+RAW_ITEMS = FX_META + ",\n" + ITEM_COUNTS + ",\n" + RAW_ITEMS_BODY
+
+RAW_USERS = """raw_users AS (
+  SELECT c_custkey AS id, 'mid' || CAST(c_custkey AS VARCHAR) AS mid, c_name AS name,
+         CASE c_mktsegment WHEN 'AUTOMOBILE' THEN '男' WHEN 'MACHINERY' THEN '男'
+                           WHEN 'FURNITURE' THEN '女' WHEN 'HOUSEHOLD' THEN '女' WHEN 'BUILDING' THEN '保密' END AS sex,
+         CAST(COALESCE(o.n_orders, 0) AS BIGINT) AS following,
+         CAST(trunc(abs(c_acctbal)) AS BIGINT) AS fans,
+         CAST(c_nationkey % 8 - 1 AS INTEGER) AS level
+  FROM customer
+  LEFT JOIN (SELECT o_custkey, COUNT(*) AS n_orders FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey)"""
+
+
+def duration_sql(d: str) -> str:
+    sp = f"string_split({d}, ':')"
+    return (f"CASE len({sp}) "
+            f"WHEN 2 THEN TRY_CAST({sp}[1] AS INTEGER) * 60 + TRY_CAST({sp}[2] AS INTEGER) "
+            f"WHEN 3 THEN TRY_CAST({sp}[1] AS INTEGER) * 3600 + TRY_CAST({sp}[2] AS INTEGER) * 60 "
+            f"+ TRY_CAST({sp}[3] AS INTEGER) END")
+
+
+def gender_sql(sex: str, key: str) -> str:
+    return (f"CASE {sex} WHEN '男' THEN 'M' WHEN '女' THEN 'F' ELSE "
+            f"CASE WHEN substr(md5('42:' || CAST({key} AS VARCHAR)), 1, 1) < '8' THEN 'M' ELSE 'F' END END")
+
+
+def numeric_tokens_sql(x: str) -> str:
+    return (f"list_transform(list_filter(list_transform(string_split({x}, ';'), lambda t: {strip_sql('t')}), "
+            f"lambda t: regexp_full_match(t, '[0-9]+')), lambda t: TRY_CAST(t AS BIGINT))")
+
+
+CLEAN_ITEMS = RAW_ITEMS + f""",
+ci0 AS (
+  SELECT key, {duration_sql('duration')} AS length, comments AS comment, likes AS "like", plays AS watch,
+         favourites AS share, title AS name, category FROM raw_items),
+clean_items AS (
+  SELECT ROW_NUMBER() OVER (ORDER BY key) AS itemId, length, comment, "like", watch, share, name, category
+  FROM ci0 WHERE length IS NOT NULL AND name IS NOT NULL)"""
+
+INVERT = """inv_tok AS (
+  SELECT itemId, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS tok
+  FROM (SELECT itemId, string_split(userId, ';') AS s FROM items) x),
+inverted AS (
+  SELECT """ + strip_sql("tok") + """ AS userId,
+         string_agg(CAST(itemId AS VARCHAR), '; ' ORDER BY itemId, pos) AS itemId
+  FROM inv_tok WHERE """ + strip_sql("tok") + """ <> '' GROUP BY 1)"""
+
+
+def quota_sql(items: str) -> str:
+    return f"""tot AS (SELECT CAST(SUM(watch) AS DOUBLE) AS t FROM {items}),
+nusers AS (SELECT COUNT(*) AS n FROM customer),
+cats AS (
+  SELECT category, CAST(SUM(watch) AS BIGINT) AS cat_watch,
+         CAST(SUM(watch) AS DOUBLE) / (SELECT t FROM tot) AS share
+  FROM {items} GROUP BY category),
+pools AS (
+  SELECT category, cat_watch,
+         greatest(least(CAST(round_even(share * (SELECT n FROM nusers) * 100, 0) AS BIGINT),
+                        (SELECT n FROM nusers)), 0) AS pool
+  FROM cats),
+quota AS (
+  SELECT i.itemId, i.category,
+         CAST(CASE WHEN p.cat_watch > 0 AND p.pool > 0
+                   THEN greatest(20, least(CAST(round_even(p.pool * 100 * (CAST(i.watch AS DOUBLE) / p.cat_watch), 0)
+                                                AS BIGINT), 100))
+                   ELSE 0 END AS BIGINT) AS k
+  FROM {items} i LEFT JOIN pools p ON p.category = i.category)"""
+
+
+ORACLES["parse_duration"] = f"""WITH {RAW_ITEMS}
+SELECT key, duration, {duration_sql('duration')} AS length FROM raw_items"""
+
+ORACLES["normalize_gender"] = f"""WITH {RAW_USERS}
+SELECT id, sex, {gender_sql('sex', 'id')} AS gender FROM raw_users"""
+
+ORACLES["column_ops"] = f"""WITH {RAW_USERS}
+SELECT id AS userId, name, sex AS gender_raw, following, fans, CAST(1.0 AS DOUBLE) AS rating FROM raw_users"""
+
+ORACLES["drop_null_rows"] = f"""WITH {RAW_ITEMS}
+SELECT * FROM (SELECT key, title, {duration_sql('duration')} AS length FROM raw_items) x
+WHERE length IS NOT NULL AND title IS NOT NULL"""
+
+ORACLES["casts"] = f"""WITH {RAW_ITEMS}
+SELECT key, CAST(plays AS VARCHAR) AS plays_text, TRY_CAST(string_split(duration, ':')[1] AS INTEGER) AS lead_int,
+       CAST(plays AS FLOAT) AS plays_f32 FROM raw_items"""
+
+ORACLES["row_ids"] = """SELECT p_partkey, p_name, ROW_NUMBER() OVER (ORDER BY p_partkey) AS row_id FROM part"""
+
+ORACLES["encode_ids"] = f"""WITH {FX_INTER}
+SELECT itemId, DENSE_RANK() OVER (ORDER BY itemId) - 1 AS item_idx FROM (SELECT DISTINCT itemId FROM fx_inter) d"""
+
+ORACLES["union_by_name"] = f"""WITH {FX_INTER}
+SELECT userId, itemId, CAST(NULL AS VARCHAR) AS src FROM fx_inter WHERE itemId % 2 = 0
+UNION ALL SELECT userId, itemId, 'b' FROM fx_inter WHERE itemId % 2 = 1"""
+
+ORACLES["distinct_pairs"] = f"""WITH {FX_INTER} SELECT userId, itemId FROM fx_inter"""
+
+ORACLES["seen_except"] = f"""WITH {FX_INTER}, {FX_EVENTS}
+SELECT * FROM fx_events e
+WHERE NOT EXISTS (SELECT 1 FROM fx_inter i WHERE i.userId = e.userId AND i.itemId = e.itemId)"""
+
+ORACLES["clean_items"] = f"""WITH {CLEAN_ITEMS} SELECT * FROM clean_items"""
+
+ORACLES["invert_lists"] = f"""WITH {FX_INTER}, {FX_META}, {ITEMS_BODY}, {INVERT}
+SELECT * FROM inverted"""
+
+ORACLES["clean_users"] = f"""WITH {FX_INTER}, {FX_META}, {ITEMS_BODY}, {INVERT}, {RAW_USERS}
+SELECT CAST(u.id AS VARCHAR) AS userId, l.itemId, u.name, {gender_sql('u.sex', 'u.id')} AS gender, u.following,
+       CAST(trunc(least(greatest(CAST(u.fans AS DOUBLE) / 150.0, 14.0), 60.0)) AS INTEGER) AS age, u.fans
+FROM raw_users u JOIN inverted l ON l.userId = CAST(u.id AS VARCHAR)"""
+
+ORACLES["category_share"] = f"""WITH {CLEAN_ITEMS}
+SELECT category, CAST(SUM(watch) AS BIGINT) AS cat_watch,
+       round(CAST(SUM(watch) AS DOUBLE) / (SELECT CAST(SUM(watch) AS DOUBLE) FROM clean_items), 6) AS share
+FROM clean_items GROUP BY category"""
+
+ORACLES["audience_quota"] = f"""WITH {CLEAN_ITEMS}, {quota_sql('clean_items')}
+SELECT itemId, category, k FROM quota"""
+
+ORACLES["stratified_sample"] = f"""WITH {FX_INTER}, {FX_META}, {ITEMS_BODY}, {quota_sql('items')},
+aud AS (SELECT f.itemId, f.userId, q.k FROM fx_inter f JOIN quota q ON q.itemId = f.itemId),
+r AS (
+  SELECT itemId, userId, k,
+         ROW_NUMBER() OVER (PARTITION BY itemId ORDER BY md5('42:' || CAST(itemId AS VARCHAR) || ':' || CAST(userId AS VARCHAR)), userId) AS rank
+  FROM aud)
+SELECT itemId, userId, rank FROM r WHERE rank <= 100 AND rank <= k"""
+
+TITLE_SQL = "'<title>(.*?)</title>'"
+LANG_SQL = "'<html lang=\"(.*?)\"'"
+NUM_SQL = "'/([0-9]+)'"
+
+
+def or_default(x: str, pat: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, {pat}) THEN regexp_extract({x}, {pat}, 1) ELSE '未知' END"
+
+
+def first_class_sql(x: str, markers: list[str]) -> str:
+    parts = " ".join(f"WHEN contains({x}, '{m}') THEN {i}" for i, m in enumerate(markers))
+    return f"CASE {parts} ELSE -1 END"
+
+
+LEVELS = ["lv0", "lv1", "lv2", "lv3", "lv4", "lv5", "lv6"]
+SECTIONS_SQL = ["/en/", "/fr/", "/de/", "/es/"]
+
+ORACLES["page_fields"] = f"""SELECT page_id,
+  regexp_replace({or_default('html', TITLE_SQL)}, '<[^>]+>', '', 'g') AS title,
+  {or_default('html', LANG_SQL)} AS lang,
+  {first_class_sql('url', SECTIONS_SQL)} AS section,
+  regexp_replace(url, '^https?://[^/]+', '') AS path,
+  {or_default('url', NUM_SQL)} AS number,
+  {first_class_sql('html', LEVELS)} AS level
+FROM pages WHERE contains(html, '<title>')"""
+
+ORACLES["strip_tags"] = """SELECT page_id,
+  regexp_replace(regexp_extract(html, '<p>(.*?)</p>', 1), '<[^>]+>', '', 'g') AS text FROM pages"""
+
+ORACLES["level_class"] = f"""SELECT page_id, {first_class_sql('html', LEVELS)} AS level,
+  {first_class_sql('url', SECTIONS_SQL)} AS section FROM pages"""
+
+ORACLES["json_fields"] = """SELECT event_id, COALESCE(json_extract_string(props, '$.k'), '0') AS k FROM events"""
+
+ORACLES["epoch_format"] = """SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS epoch,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text FROM events"""
+
+ORACLES["popularity_lookup"] = f"""WITH {FX_INTER},
+pop AS (SELECT itemId, COUNT(DISTINCT userId) AS c FROM fx_inter GROUP BY itemId)
+SELECT p_partkey AS itemId, CAST(COALESCE(c, 0) AS BIGINT) AS user_count,
+       format('{{:,}}', CAST(COALESCE(c, 0) AS BIGINT)) AS user_count_text
+FROM part LEFT JOIN pop ON pop.itemId = p_partkey"""
+
+_SU = similar_users_sql(FX_INTER, "fx_inter", "cosine", 10)
+_SU_CTES, _SU_FINAL = _SU.split("\nSELECT u.userId, COALESCE", 1)
+
+ORACLES["similar_user_cards"] = f"""{_SU_CTES},
+su AS (SELECT u.userId, COALESCE{_SU_FINAL}),
+{USERS_BODY},
+arr AS (SELECT userId, len(string_split(similarUsers, ';')) AS n, {numeric_tokens_sql('similarUsers')} AS a FROM su),
+ex AS (SELECT userId, n, generate_subscripts(a, 1) AS rank, unnest(a) AS similarId FROM arr)
+SELECT ex.userId, CAST(ex.rank AS BIGINT) AS rank, ex.similarId, u.name, u.gender, u.age, u.fans, u.following,
+       ex.n = 10 AS valid
+FROM ex LEFT JOIN users u ON u.userId = ex.similarId"""
+
+ORACLES["recommendation_cards"] = f"""WITH {RERANK},
+{ITEMS_BODY},
+rr AS (SELECT userId, string_agg(CAST(itemId AS VARCHAR), '; ' ORDER BY slot) AS itemId FROM s4 GROUP BY userId),
+arr AS (SELECT userId, len(string_split(itemId, ';')) AS n, {numeric_tokens_sql('itemId')} AS a FROM rr),
+ex AS (SELECT userId, n, generate_subscripts(a, 1) AS rank, unnest(a) AS recItem FROM arr)
+SELECT ex.userId, CAST(ex.rank AS BIGINT) AS rank, ex.recItem AS itemId, i.length, i.comment, i."like", i.watch,
+       i.share, substr(i.name, 1, 35) AS title, ex.n = 10 AS valid
+FROM ex LEFT JOIN items i ON i.itemId = ex.recItem"""
+
+
+def peers_sql(members: str, key: str) -> str:
+    return f"""smp AS (
+  SELECT cluster, {key} AS peerId, srank FROM (
+    SELECT cluster, {key}, ROW_NUMBER() OVER (PARTITION BY cluster
+      ORDER BY md5('7:' || CAST(cluster AS VARCHAR) || ':' || CAST({key} AS VARCHAR)), {key}) AS srank
+    FROM {members}) x WHERE srank <= 11),
+pr AS (
+  SELECT m.{key}, m.cluster, s.peerId,
+         ROW_NUMBER() OVER (PARTITION BY m.{key} ORDER BY s.srank) AS rank
+  FROM {members} m JOIN smp s ON s.cluster = m.cluster AND s.peerId <> m.{key}),
+peers AS (SELECT * FROM pr WHERE rank <= 10)"""
+
+
+ORACLES["user_peers"] = f"""WITH {FX_INTER}, {USERS_BODY},
+mem AS (SELECT c_custkey AS userId, c_nationkey AS cluster FROM customer),
+{peers_sql('mem', 'userId')}
+SELECT p.userId, p.cluster, p.rank, p.peerId, u.name, u.gender, u.age, u.fans, u.following
+FROM peers p LEFT JOIN users u ON u.userId = p.peerId"""
+
+ORACLES["item_peers"] = f"""WITH {FX_INTER}, {FX_META}, {ITEMS_BODY},
+mem AS (SELECT itemId, cluster FROM fx_meta),
+{peers_sql('mem', 'itemId')}
+SELECT p.itemId, p.cluster, p.rank, p.peerId, i.length, i.comment, i."like", i.watch, i.share,
+       substr(i.name, 1, 35) AS title
+FROM peers p LEFT JOIN items i ON i.itemId = p.peerId"""
