@@ -1,6 +1,6 @@
 """Named queries over the test tables and their DuckDB oracles."""
 
-from rivulet.plans import q_etl, q_factors, q_lists, q_models  # noqa: F401  (registers queries)
+from rivulet.plans import q_etl, q_factors, q_io, q_lists, q_models  # noqa: F401  (registers queries)
 from rivulet.plans.oracles import ORACLES
 from rivulet.plans.registry import QUERIES
 

@@ -589,3 +589,18 @@ mem AS (SELECT itemId, cluster FROM fx_meta),
 SELECT p.itemId, p.cluster, p.rank, p.peerId, i.length, i.comment, i."like", i.watch, i.share,
        substr(i.name, 1, 35) AS title
 FROM peers p LEFT JOIN items i ON i.itemId = p.peerId"""
+
+TITLED_POP = FX_INTER + """,
+tpop AS (
+  SELECT p.p_partkey AS itemId,
+         CASE WHEN p.p_partkey % 2 = 0 THEN p.p_name || ', "' || p.p_type || '"' || chr(10) || 'line 2'
+              ELSE p.p_name END AS title,
+         c.user_count
+  FROM (SELECT itemId, COUNT(DISTINCT userId) AS user_count FROM fx_inter GROUP BY itemId) c
+  JOIN part p ON p.p_partkey = c.itemId)"""
+
+ORACLES["csv_round_trip"] = f"""WITH {TITLED_POP} SELECT itemId, title, user_count FROM tpop"""
+ORACLES["csv_append"] = ORACLES["csv_round_trip"]
+ORACLES["csv_union_files"] = f"""WITH {TITLED_POP}
+SELECT itemId, user_count, CASE WHEN itemId % 2 = 1 THEN 'odd' END AS src FROM tpop"""
+ORACLES["popularity_stream"] = ORACLES["item_popularity"]
