@@ -57,8 +57,8 @@ def pair_cocounts(inter: DataFrame, method: str = "cosine", bucket_size: int = D
     ``co`` is the number of common items ('cosine') or the IIF-weighted sum.
     """
     d = distinct_interactions(inter)
-    nu = items_per_user(inter).withColumnRenamed("n_items", "n")
-    ni = item_audience(inter)
+    nu = d.groupBy("userId").agg(F.count(F.lit(1)).alias("n"))
+    ni = d.groupBy("itemId").agg(F.count(F.lit(1)).alias("n_users"))
     dd = d.join(nu, "userId").join(ni, "itemId")
     weight = F.lit(1.0) if method == "cosine" else iif_weight("n_users")
     nb = F.greatest(F.lit(1), F.ceil(F.col("n_users") / F.lit(bucket_size))).cast("int")
