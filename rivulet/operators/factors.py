@@ -30,6 +30,8 @@ from rivulet.operators.topk import top_k
 
 SCORE_DIGITS = 9          # ranking key: raw score rounded to this many digits
 DEFAULT_SLICE_BYTES = 256 << 20
+CHUNK_CELLS = 4_000_000    # users x items scores held at once by one task (32 MB)
+TASK_CELLS = 50_000_000    # users x items scores per scorer task, sets the task count
 
 _CAND_SCHEMA = "userId long, itemId long, raw double, is_top boolean"
 
@@ -71,36 +73,40 @@ def _slice_scorer(spark, item_slice: DataFrame, n: int):
     def score(batches):
         ids_, V, bi = bc.value
         n_items = len(ids_)
+        chunk = max(1, CHUNK_CELLS // max(1, n_items))      # bounded score matrix per step
         for b in batches:
             if len(b) == 0 or n_items == 0:
                 continue
-            U = np.stack(b["features"].to_numpy()).astype(np.float64)
-            S = U @ V.T
-            S += b["bias"].to_numpy(dtype=np.float64)[:, None]
-            S += bi[None, :]
+            feats = b["features"].to_numpy()
+            ubias = b["bias"].to_numpy(dtype=np.float64)
             seen = b["n_seen"].to_numpy(dtype=np.int64)
             uid = b["userId"].to_numpy(dtype=np.int64)
-            out_u, out_i, out_r, out_t = [], [], [], []
-            for j in range(len(b)):
-                raw = S[j]
-                key = np.round(raw, SCORE_DIGITS)
-                k = min(n_items, n + int(seen[j]))
-                if k < n_items:
-                    kth = np.partition(key, n_items - k)[n_items - k]
-                    gt = np.flatnonzero(key > kth)
-                    eq = np.flatnonzero(key == kth)[: k - len(gt)]
-                    top = np.concatenate([gt, eq])
-                else:
-                    top = np.arange(n_items)
-                kb = min(n_items, int(seen[j]) + 1)
-                bottom = np.argpartition(raw, kb - 1)[:kb] if kb < n_items else np.arange(n_items)
-                for sel, flag in ((top, True), (bottom, False)):
-                    out_u.append(np.full(len(sel), uid[j], dtype=np.int64))
-                    out_i.append(ids_[sel])
-                    out_r.append(raw[sel])
-                    out_t.append(np.full(len(sel), flag))
-            yield pd.DataFrame({"userId": np.concatenate(out_u), "itemId": np.concatenate(out_i),
-                                "raw": np.concatenate(out_r), "is_top": np.concatenate(out_t)})
+            for lo in range(0, len(b), chunk):
+                hi = min(len(b), lo + chunk)
+                S = np.stack(feats[lo:hi]).astype(np.float64) @ V.T
+                S += ubias[lo:hi, None]
+                S += bi[None, :]
+                K = np.round(S, SCORE_DIGITS)
+                out_u, out_i, out_r, out_t = [], [], [], []
+                for j in range(hi - lo):
+                    raw, key, s_j = S[j], K[j], int(seen[lo + j])
+                    k = min(n_items, n + s_j)
+                    if k < n_items:
+                        kth = np.partition(key, n_items - k)[n_items - k]
+                        gt = np.flatnonzero(key > kth)
+                        eq = np.flatnonzero(key == kth)[: k - len(gt)]
+                        top = np.concatenate([gt, eq])
+                    else:
+                        top = np.arange(n_items)
+                    kb = min(n_items, s_j + 1)
+                    bottom = np.argpartition(raw, kb - 1)[:kb] if kb < n_items else np.arange(n_items)
+                    for sel, flag in ((top, True), (bottom, False)):
+                        out_u.append(np.full(len(sel), uid[lo + j], dtype=np.int64))
+                        out_i.append(ids_[sel])
+                        out_r.append(raw[sel])
+                        out_t.append(np.full(len(sel), flag))
+                yield pd.DataFrame({"userId": np.concatenate(out_u), "itemId": np.concatenate(out_i),
+                                    "raw": np.concatenate(out_r), "is_top": np.concatenate(out_t)})
 
     return score
 
@@ -117,8 +123,14 @@ def factor_candidates(users: DataFrame, items: DataFrame, seen: DataFrame, n: in
     n_seen = seen_d.groupBy("userId").agg(F.count(F.lit(1)).alias("n_seen"))
     u = (u.join(n_seen, "userId", "left")
          .select("userId", "features", "bias", F.coalesce("n_seen", F.lit(0)).cast("long").alias("n_seen")))
-    parts = [u.mapInPandas(_slice_scorer(spark, s, n), _CAND_SCHEMA)
-             for s in _slices(it.select("itemId", "features", "bias"), max_slice_bytes)]
+    slices = _slices(it.select("itemId", "features", "bias"), max_slice_bytes)
+    # The scorer is CPU-bound on a small input: spread users by work (users x
+    # items), not by bytes, so AQE does not coalesce it onto a few tasks.
+    n_items = sum(sl.count() for sl in slices) if len(slices) > 1 else (slices[0].count() if slices else 0)
+    n_users = u.count()
+    n_tasks = max(spark.sparkContext.defaultParallelism, math.ceil(n_users * n_items / TASK_CELLS))
+    u = u.repartition(n_tasks)
+    parts = [u.mapInPandas(_slice_scorer(spark, s, n), _CAND_SCHEMA) for s in slices]
     if not parts:
         return spark.createDataFrame([], _CAND_SCHEMA)
     cand = parts[0]
