@@ -130,6 +130,11 @@ def factor_candidates(users: DataFrame, items: DataFrame, seen: DataFrame, n: in
     n_users = u.count()
     n_tasks = max(spark.sparkContext.defaultParallelism, math.ceil(n_users * n_items / TASK_CELLS))
     u = u.repartition(n_tasks)
+    if len(slices) > 1:
+        # every slice streams the same users: write them once, read them per slice
+        from rivulet.session import checkpoint_dir
+        checkpoint_dir(spark)
+        u = u.checkpoint(eager=True)
     parts = [u.mapInPandas(_slice_scorer(spark, s, n), _CAND_SCHEMA) for s in slices]
     if not parts:
         return spark.createDataFrame([], _CAND_SCHEMA)

@@ -16,6 +16,8 @@ then summed with a partial (map-side) + final aggregate on (u, v).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from rivulet.functions.lists import long_to_wide, strip_ws
 from rivulet.functions.scalars import cosine_norm, iif_weight
 from rivulet.operators.topk import rank_key, top_k
 
-DEFAULT_BUCKET = 2048
+DEFAULT_BUCKET = 1024
+PAIRS_PER_TASK = 5_000_000   # pair rows generated per join task; sets the join's partition count
 
 
 def distinct_interactions(inter: DataFrame, user_col: str = "userId", item_col: str = "itemId") -> DataFrame:
@@ -51,12 +54,24 @@ def item_audience(inter: DataFrame) -> DataFrame:
     return distinct_interactions(inter).groupBy("itemId").agg(F.count(F.lit(1)).alias("n_users"))
 
 
-def pair_cocounts(inter: DataFrame, method: str = "cosine", bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
+def materialized_interactions(inter: DataFrame) -> DataFrame:
+    """Distinct interactions written once to the shared checkpoint folder: the
+    pair join reads them from several branches (counts per user, per item,
+    both join sides, the seen filter), which then scan the written table
+    instead of re-deriving it."""
+    from rivulet.session import checkpoint_dir
+    checkpoint_dir(inter.sparkSession)
+    return distinct_interactions(inter).checkpoint(eager=True)
+
+
+def pair_cocounts(inter: DataFrame, method: str = "cosine", bucket_size: int = DEFAULT_BUCKET,
+                  distinct: bool = False) -> DataFrame:
     """(u, v, nu, nv, co) for u < v with at least one common item.
 
     ``co`` is the number of common items ('cosine') or the IIF-weighted sum.
+    ``distinct=True`` says ``inter`` already is materialized distinct pairs.
     """
-    d = distinct_interactions(inter)
+    d = inter if distinct else materialized_interactions(inter)
     nu = d.groupBy("userId").agg(F.count(F.lit(1)).alias("n"))
     ni = d.groupBy("itemId").agg(F.count(F.lit(1)).alias("n_users"))
     dd = d.join(nu, "userId").join(ni, "itemId")
@@ -69,7 +84,15 @@ def pair_cocounts(inter: DataFrame, method: str = "cosine", bucket_size: int = D
                        F.col("userId").alias("u1"), F.col("n").alias("n1"), "w")
     right = side.select("itemId", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("bl"),
                         F.col("b").alias("br"), F.col("userId").alias("u2"), F.col("n").alias("n2"))
-    pairs = (left.join(right, ["itemId", "bl", "br"])
+    # The join output (pairs) is far larger than its input, so its partition
+    # count comes from the estimated pair count, not from input bytes; both
+    # sides are hash-partitioned alike, which AQE keeps (no coalescing).
+    spark = inter.sparkSession
+    est = ni.agg(F.sum(F.col("n_users") * (F.col("n_users") - 1) / 2).alias("p")).first()["p"] or 0
+    n_parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")),
+                  math.ceil(est / PAIRS_PER_TASK))
+    keys = ["itemId", "bl", "br"]
+    pairs = (left.repartition(n_parts, *keys).join(right.repartition(n_parts, *keys), keys)
              .where((F.col("bl") < F.col("br")) | (F.col("u1") < F.col("u2"))))
     lo_first = F.col("u1") < F.col("u2")
     pairs = pairs.select(
@@ -82,9 +105,10 @@ def pair_cocounts(inter: DataFrame, method: str = "cosine", bucket_size: int = D
                                        F.sum("w").alias("co"))
 
 
-def user_similarity(inter: DataFrame, method: str = "cosine", bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
+def user_similarity(inter: DataFrame, method: str = "cosine", bucket_size: int = DEFAULT_BUCKET,
+                    distinct: bool = False) -> DataFrame:
     """(userId, otherId, sim) in both directions."""
-    pc = pair_cocounts(inter, method, bucket_size)
+    pc = pair_cocounts(inter, method, bucket_size, distinct)
     sim = pc.select("u", "v", cosine_norm("co", "nu", "nv").alias("sim"))
     both = F.explode(F.array(
         F.struct(F.col("u").alias("userId"), F.col("v").alias("otherId"), F.col("sim").alias("sim")),
@@ -93,9 +117,9 @@ def user_similarity(inter: DataFrame, method: str = "cosine", bucket_size: int =
 
 
 def nearest_users(inter: DataFrame, k: int, method: str = "cosine",
-                  bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
+                  bucket_size: int = DEFAULT_BUCKET, distinct: bool = False) -> DataFrame:
     """(userId, otherId, sim, rank): the k most similar users, ties by smaller id."""
-    sims = user_similarity(inter, method, bucket_size)
+    sims = user_similarity(inter, method, bucket_size, distinct)
     return top_k(sims, "userId", [F.desc(rank_key("sim")), F.asc("otherId")], k)
 
 
@@ -103,9 +127,10 @@ def similar_users(inter: DataFrame, n: int = 10, method: str = "cosine",
                   bucket_size: int = DEFAULT_BUCKET, sep: str = ";") -> DataFrame:
     """(userId, similarUsers): best-first list of up to n users; a user with no
     neighbour keeps a row with an empty list (C2)."""
-    top = nearest_users(inter, n, method, bucket_size)
+    d = materialized_interactions(inter)
+    top = nearest_users(d, n, method, bucket_size, distinct=True)
     lists = long_to_wide(top, "userId", "otherId", ["rank"], sep=sep, out_col="similarUsers")
-    users = distinct_interactions(inter).select("userId").distinct()
+    users = d.select("userId").distinct()
     return (users.join(lists, "userId", "left")
             .select("userId", F.coalesce(F.col("similarUsers"), F.lit("")).alias("similarUsers")))
 
@@ -115,8 +140,8 @@ def usercf_recommend(inter: DataFrame, n: int = 5, k: int = 10, method: str = "c
     """(userId, itemId, score, rank): sum of the similarities of the k nearest
     neighbours over items the user has not seen, top n (C3).  Users unknown to
     the interactions get no rows."""
-    d = distinct_interactions(inter)
-    nbrs = nearest_users(inter, k, method, bucket_size).select("userId", "otherId", "sim")
+    d = materialized_interactions(inter)
+    nbrs = nearest_users(d, k, method, bucket_size, distinct=True).select("userId", "otherId", "sim")
     cand = nbrs.join(d.select(F.col("userId").alias("otherId"), "itemId"), "otherId")
     cand = cand.join(d, ["userId", "itemId"], "left_anti")
     scored = cand.groupBy("userId", "itemId").agg(F.sum("sim").alias("score"))
