@@ -59,10 +59,21 @@ def ordered_join(order_cols: list[str], value_col: str, sep: str) -> Column:
 
 
 def long_to_wide(df: DataFrame, key: str, value_col: str, order_cols: list[str] | None = None,
-                 sep: str = "; ", out_col: str | None = None) -> DataFrame:
-    """One row per ``key`` with its values joined in the given order."""
+                 sep: str = "; ", out_col: str | None = None, max_items: int | None = None) -> DataFrame:
+    """One row per ``key`` with its values joined in the given order.
+
+    ``max_items`` bounds the size of one output row: a key with more values
+    gets several rows (``part`` 0, 1, ...) of at most ``max_items`` values
+    each, in order, so no single group is ever gathered whole.  Keys within
+    the bound get exactly one row, ``part`` 0."""
     order_cols = order_cols or [value_col]
-    return df.groupBy(key).agg(ordered_join(order_cols, value_col, sep).alias(out_col or value_col))
+    out_col = out_col or value_col
+    if max_items is None:
+        return df.groupBy(key).agg(ordered_join(order_cols, value_col, sep).alias(out_col))
+    from pyspark.sql import Window
+    w = Window.partitionBy(key).orderBy(*order_cols)
+    parts = df.withColumn("part", F.floor((F.row_number().over(w) - 1) / F.lit(max_items)).cast("int"))
+    return parts.groupBy(key, "part").agg(ordered_join(order_cols, value_col, sep).alias(out_col))
 
 
 def numeric_tokens(c: Column | str, sep: str = ";") -> Column:

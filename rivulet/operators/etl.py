@@ -12,6 +12,7 @@ from rivulet.functions.lists import long_to_wide, wide_to_long
 from rivulet.functions.scalars import clamp_int, normalize_gender, parse_duration, round_half_even
 
 MAX_BROADCAST_ROWS = 1_000_000   # bound for the small side of a lookup join
+LIST_PART_MAX = 100_000          # most ids gathered into one wide row
 
 
 def row_ids(df: DataFrame, order_cols: list[str], out_col: str = "row_id", start: int = 1,
@@ -63,25 +64,32 @@ def clean_items(raw: DataFrame, order_col: str = "key") -> DataFrame:
 
 
 def invert_lists(wide_items: DataFrame, item_col: str = "itemId", list_col: str = "userId",
-                 sep: str = ";", out_sep: str = "; ") -> DataFrame:
-    """item -> users lists into user -> items lists (C16): items in item-row
-    order, duplicates kept, blank user tokens ignored."""
+                 sep: str = ";", out_sep: str = "; ", max_items: int = LIST_PART_MAX) -> DataFrame:
+    """item -> users lists into user -> items lists (C16): (userId, part,
+    itemId) with items in item-row order, duplicates kept, blank user tokens
+    ignored.  A user's list is cut into ordered parts of at most
+    ``max_items`` items, so no group is gathered whole; users within the
+    bound have one row, part 0."""
     long = wide_to_long(wide_items.select(item_col, list_col), item_col, list_col, sep, drop_blank=True,
                         pos_col="_pos")
     long = long.select(F.col(list_col).alias("userId"), F.col(item_col).alias("itemId"), "_pos")
-    return long_to_wide(long, "userId", "itemId", ["itemId", "_pos"], sep=out_sep)
+    return long_to_wide(long, "userId", "itemId", ["itemId", "_pos"], sep=out_sep, max_items=max_items)
 
 
 def clean_users(raw: DataFrame, user_lists: DataFrame, seed: int = 42) -> DataFrame:
-    """raw users -> (userId, itemId, name, gender, following, age, fans) (C17):
-    level dropped if present, gender normalised, age clamped to [14, 60],
-    users without an item list dropped (inner join)."""
+    """raw users -> (userId, part, itemId, name, gender, following, age, fans)
+    (C17): level dropped if present, gender normalised, age clamped to
+    [14, 60], users without an item list dropped (inner join); ``part``
+    numbers the parts of very long lists (see ``invert_lists``)."""
     u = raw.drop("level")
     u = u.select(F.col("id").cast("string").alias("userId"), "name",
                  normalize_gender("sex", "id", seed).alias("gender"),
                  "following", clamp_int(F.col("fans") / 150.0, 14, 60).alias("age"), "fans")
-    lists = user_lists.select(F.col("userId").cast("string").alias("userId"), "itemId")
-    return u.join(lists, "userId").select("userId", "itemId", "name", "gender", "following", "age", "fans")
+    if "part" not in user_lists.columns:
+        user_lists = user_lists.withColumn("part", F.lit(0))
+    lists = user_lists.select(F.col("userId").cast("string").alias("userId"), "part", "itemId")
+    return u.join(lists, "userId").select("userId", "part", "itemId", "name", "gender", "following", "age",
+                                          "fans")
 
 
 def _lookup_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:

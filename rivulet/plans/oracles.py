@@ -114,9 +114,16 @@ SELECT {strip_sql('tok')} AS itemId, COUNT(DISTINCT userId) AS user_count
 FROM wtok GROUP BY 1"""
 
 ORACLES["user_item_sets"] = f"""WITH {FX_INTER}
-SELECT userId, string_agg(CAST(itemId AS VARCHAR), ';' ORDER BY itemId) AS items, COUNT(*) AS n_items
+SELECT userId, 0 AS part, string_agg(CAST(itemId AS VARCHAR), ';' ORDER BY itemId) AS items, COUNT(*) AS n_items
 FROM fx_inter GROUP BY userId"""
 
+ORACLES["long_to_wide_parts"] = f"""WITH {FX_INTER},
+r AS (SELECT userId, itemId,
+             CAST((ROW_NUMBER() OVER (PARTITION BY userId ORDER BY itemId) - 1) // 16 AS INTEGER) AS part
+      FROM fx_inter)
+SELECT userId, part, string_agg(CAST(itemId AS VARCHAR), '; ' ORDER BY itemId) AS itemId
+FROM r GROUP BY userId, part"""
+
 ORACLES["item_audience"] = f"""WITH {FX_INTER}
 SELECT itemId, COUNT(*) AS n_users FROM fx_inter GROUP BY itemId"""
 
@@ -415,7 +422,7 @@ INVERT = """inv_tok AS (
   SELECT itemId, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS tok
   FROM (SELECT itemId, string_split(userId, ';') AS s FROM items) x),
 inverted AS (
-  SELECT """ + strip_sql("tok") + """ AS userId,
+  SELECT """ + strip_sql("tok") + """ AS userId, 0 AS part,
          string_agg(CAST(itemId AS VARCHAR), '; ' ORDER BY itemId, pos) AS itemId
   FROM inv_tok WHERE """ + strip_sql("tok") + """ <> '' GROUP BY 1)"""
 
@@ -479,7 +486,7 @@ ORACLES["invert_lists"] = f"""WITH {FX_INTER}, {FX_META}, {ITEMS_BODY}, {INVERT}
 SELECT * FROM inverted"""
 
 ORACLES["clean_users"] = f"""WITH {FX_INTER}, {FX_META}, {ITEMS_BODY}, {INVERT}, {RAW_USERS}
-SELECT CAST(u.id AS VARCHAR) AS userId, l.itemId, u.name, {gender_sql('u.sex', 'u.id')} AS gender, u.following,
+SELECT CAST(u.id AS VARCHAR) AS userId, l.part, l.itemId, u.name, {gender_sql('u.sex', 'u.id')} AS gender, u.following,
        CAST(trunc(least(greatest(CAST(u.fans AS DOUBLE) / 150.0, 14.0), 60.0)) AS INTEGER) AS age, u.fans
 FROM raw_users u JOIN inverted l ON l.userId = CAST(u.id AS VARCHAR)"""
 

@@ -45,6 +45,12 @@ def q_long_to_wide(spark, sf_dir):
     return long_to_wide(T.interactions(spark, sf_dir), "userId", "itemId", ["itemId"], sep="; ")
 
 
+@query("long_to_wide_parts")
+def q_long_to_wide_parts(spark, sf_dir):
+    """Bounded rows: lists cut into ordered parts of at most 16 items."""
+    return long_to_wide(T.interactions(spark, sf_dir), "userId", "itemId", ["itemId"], sep="; ", max_items=16)
+
+
 @query("numeric_token_list")
 def q_numeric_token_list(spark, sf_dir):
     """Numeric tokens of the noisy lists with junk tokens mixed in; position
@@ -74,7 +80,7 @@ def q_item_popularity_lists(spark, sf_dir):
 @query("user_item_sets")
 def q_user_item_sets(spark, sf_dir):
     s = sim.user_item_sets(T.interactions(spark, sf_dir))
-    return s.select("userId", F.array_join(F.col("items").cast("array<string>"), ";").alias("items"),
+    return s.select("userId", "part", F.array_join(F.col("items").cast("array<string>"), ";").alias("items"),
                     F.size("items").cast("bigint").alias("n_items"))
 
 
