@@ -30,6 +30,13 @@ def run_popularity_stream(spark: SparkSession, source_dir: str, orders: DataFram
                           out_path: str | None = None, file_name: str = "lineitem.parquet") -> str:
     """Process every file available under ``source_dir`` (availableNow
     trigger) and return the path of the result table."""
+    # The de-duplication state holds every distinct (user, item) pair seen so
+    # far: keep it in RocksDB (off-heap, spills to local disk, checkpointed to
+    # the shared folder) unless the session already chose a provider.
+    key = "spark.sql.streaming.stateStore.providerClass"
+    current = spark.conf.get(key, None)
+    if not current or current.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out_path = out_path or shared_path(spark, "popularity-stream")
     ckpt = out_path + "-checkpoint"
     schema = spark.read.parquet(f"{source_dir}/{file_name}").schema
