@@ -265,9 +265,11 @@ def train_factors(inter: DataFrame, rank: int = 32, max_iter: int = 10, reg: flo
         raise ValueError("ids outside int range: encode them first (encode_ids)")
     ratings = d.select(F.col("userId").cast("int").alias("u"), F.col("itemId").cast("int").alias("i"),
                        F.lit(1.0).alias("rating"))
+    # one block per core: ALS's fixed default of 10 under-uses a large cluster
+    blocks = max(2, inter.sparkSession.sparkContext.defaultParallelism)
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, implicitPrefs=True,
               alpha=1.0 / unobserved_weight - 1.0, userCol="u", itemCol="i", ratingCol="rating",
-              seed=seed, coldStartStrategy="drop")
+              seed=seed, coldStartStrategy="drop", numUserBlocks=blocks, numItemBlocks=blocks)
     model = als.fit(ratings)
     uf = model.userFactors.select(F.col("id").cast("long").alias("userId"), "features")
     itf = model.itemFactors.select(F.col("id").cast("long").alias("itemId"), "features")
