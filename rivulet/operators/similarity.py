@@ -27,6 +27,9 @@ from rivulet.operators.topk import rank_key, top_k
 
 DEFAULT_BUCKET = 1024
 PAIRS_PER_TASK = 5_000_000   # pair rows generated per join task; sets the join's partition count
+HOT_USERS = 100_000          # items with more users are 'hot' for the top-k neighbour path
+HOT_MAX_ITEMS = 62           # hot items fit one bit mask (a long)
+HOT_MAX_CANDIDATES = 2_000_000   # class members x hot items, broadcast to the users
 
 
 def distinct_interactions(inter: DataFrame, user_col: str = "userId", item_col: str = "itemId") -> DataFrame:
@@ -77,22 +80,30 @@ def pair_cocounts(inter: DataFrame, method: str = "cosine", bucket_size: int = D
     ``distinct=True`` says ``inter`` already is materialized distinct pairs.
     """
     d = inter if distinct else materialized_interactions(inter)
-    nu = d.groupBy("userId").agg(F.count(F.lit(1)).alias("n"))
+    nu = d.groupBy("userId").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("mask"))
     ni = d.groupBy("itemId").agg(F.count(F.lit(1)).alias("n_users"))
-    dd = d.join(nu, "userId").join(ni, "itemId")
+    pc = _pairs(d, nu, ni, method, bucket_size)
+    return pc.select("u", "v", "nu", "nv", "co")
+
+
+def _pairs(d: DataFrame, users: DataFrame, ni: DataFrame, method: str, bucket_size: int) -> DataFrame:
+    """Pair rows (u, v, nu, nv, mu, mv, co) over the items of ``d``; ``users``
+    gives each user's attributes (n, mask) and ``ni`` each item's audience."""
+    dd = d.join(users, "userId").join(ni, "itemId")
     weight = F.lit(1.0) if method == "cosine" else iif_weight("n_users")
     nb = F.greatest(F.lit(1), F.ceil(F.col("n_users") / F.lit(bucket_size))).cast("int")
     b = F.pmod(F.xxhash64("userId"), nb.cast("long")).cast("int")
-    side = dd.select("itemId", "userId", "n", nb.alias("nb"), b.alias("b"), weight.alias("w"))
+    side = dd.select("itemId", "userId", "n", "mask", nb.alias("nb"), b.alias("b"), weight.alias("w"))
     left = side.select("itemId", F.col("b").alias("bl"),
                        F.explode(F.sequence(F.col("b"), F.col("nb") - 1)).alias("br"),
-                       F.col("userId").alias("u1"), F.col("n").alias("n1"), "w")
+                       F.col("userId").alias("u1"), F.col("n").alias("n1"), F.col("mask").alias("m1"), "w")
     right = side.select("itemId", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("bl"),
-                        F.col("b").alias("br"), F.col("userId").alias("u2"), F.col("n").alias("n2"))
+                        F.col("b").alias("br"), F.col("userId").alias("u2"), F.col("n").alias("n2"),
+                        F.col("mask").alias("m2"))
     # The join output (pairs) is far larger than its input, so its partition
     # count comes from the estimated pair count, not from input bytes; both
     # sides are hash-partitioned alike, which AQE keeps (no coalescing).
-    spark = inter.sparkSession
+    spark = d.sparkSession
     est = ni.agg(F.sum(F.col("n_users") * (F.col("n_users") - 1) / 2).alias("p")).first()["p"] or 0
     n_parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")),
                   math.ceil(est / PAIRS_PER_TASK))
@@ -100,13 +111,14 @@ def pair_cocounts(inter: DataFrame, method: str = "cosine", bucket_size: int = D
     pairs = (left.repartition(n_parts, *keys).join(right.repartition(n_parts, *keys), keys)
              .where((F.col("bl") < F.col("br")) | (F.col("u1") < F.col("u2"))))
     lo_first = F.col("u1") < F.col("u2")
-    pairs = pairs.select(
-        F.when(lo_first, F.col("u1")).otherwise(F.col("u2")).alias("u"),
-        F.when(lo_first, F.col("u2")).otherwise(F.col("u1")).alias("v"),
-        F.when(lo_first, F.col("n1")).otherwise(F.col("n2")).alias("nu"),
-        F.when(lo_first, F.col("n2")).otherwise(F.col("n1")).alias("nv"),
-        "w")
+
+    def pick(a: str, b_: str, name: str):
+        return F.when(lo_first, F.col(a)).otherwise(F.col(b_)).alias(name)
+
+    pairs = pairs.select(pick("u1", "u2", "u"), pick("u2", "u1", "v"), pick("n1", "n2", "nu"),
+                         pick("n2", "n1", "nv"), pick("m1", "m2", "mu"), pick("m2", "m1", "mv"), "w")
     return pairs.groupBy("u", "v").agg(F.max("nu").alias("nu"), F.max("nv").alias("nv"),
+                                       F.max("mu").alias("mu"), F.max("mv").alias("mv"),
                                        F.sum("w").alias("co"))
 
 
@@ -122,18 +134,98 @@ def user_similarity(inter: DataFrame, method: str = "cosine", bucket_size: int =
 
 
 def nearest_users(inter: DataFrame, k: int, method: str = "cosine",
-                  bucket_size: int = DEFAULT_BUCKET, distinct: bool = False) -> DataFrame:
-    """(userId, otherId, sim, rank): the k most similar users, ties by smaller id."""
-    sims = user_similarity(inter, method, bucket_size, distinct)
+                  bucket_size: int = DEFAULT_BUCKET, distinct: bool = False,
+                  hot_threshold: int | None = HOT_USERS) -> DataFrame:
+    """(userId, otherId, sim, rank): the k most similar users, ties by smaller id.
+
+    Items with more than ``hot_threshold`` users take the exact pruned path of
+    :func:`_nearest_with_hot_items` (no pairs inside hot items) when they are
+    few; otherwise every item goes through the bucketed pair join."""
+    d = inter if distinct else materialized_interactions(inter)
+    if hot_threshold is not None:
+        pruned = _nearest_with_hot_items(d, k, method, bucket_size, hot_threshold)
+        if pruned is not None:
+            return pruned
+    sims = user_similarity(d, method, bucket_size, distinct=True)
+    return top_k(sims, "userId", [F.desc(rank_key("sim")), F.asc("otherId")], k)
+
+
+def _nearest_with_hot_items(d: DataFrame, k: int, method: str, bucket_size: int,
+                            hot_threshold: int) -> DataFrame | None:
+    """Exact top-k neighbours without forming pairs inside hot items.
+
+    With H the items of more than ``hot_threshold`` users, a user's hot-item
+    set is a bit mask.  sim(u, v) = (c_cold(u, v) + W(mask_u & mask_v)) /
+    sqrt(n_u n_v), where c_cold sums the weights of common non-hot items and
+    W those of common hot items.
+    * Pairs with a common non-hot item come from the bucketed pair join over
+      non-hot items only, with their exact score.
+    * A pair sharing only hot items scores W(mask_u & mask_v) / sqrt(n_u n_v):
+      inside one mask class that falls as n_v grows, so for every user only the
+      first k + 1 members of each class in (n_v, id) order can reach the top k
+      (each earlier member scores at least as high and wins ties).  Those
+      members (classes x (k + 1) rows, size-checked, broadcast) are joined to
+      the users through each hot item of theirs.
+    The per-pair maximum of both scores then gives the exact top k.  Returns
+    None (use the plain path) when there is no hot item or when hot items or
+    mask classes exceed their bounds."""
+    spark = d.sparkSession
+    ni = d.groupBy("itemId").agg(F.count(F.lit(1)).alias("n_users"))
+    weight = F.lit(1.0) if method == "cosine" else iif_weight("n_users")
+    hot = ni.where(F.col("n_users") > hot_threshold).select("itemId", weight.alias("w"))
+    hot_rows = hot.orderBy("itemId").collect() if hot.count() <= HOT_MAX_ITEMS else None
+    if not hot_rows:
+        return None
+    bits = [(r["itemId"], i, float(r["w"])) for i, r in enumerate(hot_rows)]
+    hot_map = spark.createDataFrame(bits, "itemId long, bit int, hw double")
+
+    def w_of(mask):
+        out = F.lit(0.0)
+        for _, i, w in bits:
+            out = out + F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(w)).otherwise(F.lit(0.0))
+        return out
+
+    dh = d.join(F.broadcast(hot_map), "itemId")
+    masks = dh.groupBy("userId").agg(F.expr("bit_or(shiftleft(CAST(1 AS BIGINT), bit))").alias("mask"))
+    users = (d.groupBy("userId").agg(F.count(F.lit(1)).alias("n"))
+             .join(masks, "userId", "left").select("userId", "n", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")))
+    users = users.checkpoint(eager=True)
+
+    # members that can matter: the first k + 1 of each mask class by (n, id)
+    firsts = top_k(users.where(F.col("mask") != 0), "mask", [F.asc("n"), F.asc("userId")], k + 1, "_r")
+    n_firsts = firsts.count()
+    if n_firsts * len(bits) > HOT_MAX_CANDIDATES:
+        return None
+    set_bits = F.explode(F.expr(
+        f"filter(sequence(0, {len(bits) - 1}), i -> (mask & shiftleft(CAST(1 AS BIGINT), i)) != 0)"))
+    by_bit = firsts.select(set_bits.alias("bit"), F.col("userId").alias("otherId"), F.col("n").alias("nv"),
+                           F.col("mask").alias("mv"))
+    hot_users = users.where(F.col("mask") != 0).select("userId", "n", "mask", set_bits.alias("bit"))
+    hot_cand = (hot_users.join(F.broadcast(by_bit), "bit").where(F.col("userId") != F.col("otherId"))
+                .select("userId", "otherId",
+                        (w_of(F.col("mask").bitwiseAND(F.col("mv"))) / F.sqrt((F.col("n") * F.col("nv")).cast("double")))
+                        .alias("sim")))
+
+    # pairs with a common non-hot item, exact score including shared hot items
+    cold = d.join(F.broadcast(hot_map.select("itemId")), "itemId", "left_anti")
+    pc = _pairs(cold, users, ni, method, bucket_size)
+    full = pc.select("u", "v", ((F.col("co") + w_of(F.col("mu").bitwiseAND(F.col("mv"))))
+                                / F.sqrt((F.col("nu") * F.col("nv")).cast("double"))).alias("sim"))
+    both = F.explode(F.array(
+        F.struct(F.col("u").alias("userId"), F.col("v").alias("otherId"), F.col("sim").alias("sim")),
+        F.struct(F.col("v").alias("userId"), F.col("u").alias("otherId"), F.col("sim").alias("sim"))))
+    cold_sims = full.select(both.alias("p")).select("p.userId", "p.otherId", "p.sim")
+    sims = cold_sims.unionByName(hot_cand).groupBy("userId", "otherId").agg(F.max("sim").alias("sim"))
     return top_k(sims, "userId", [F.desc(rank_key("sim")), F.asc("otherId")], k)
 
 
 def similar_users(inter: DataFrame, n: int = 10, method: str = "cosine",
-                  bucket_size: int = DEFAULT_BUCKET, sep: str = ";") -> DataFrame:
+                  bucket_size: int = DEFAULT_BUCKET, sep: str = ";",
+                  hot_threshold: int | None = HOT_USERS) -> DataFrame:
     """(userId, similarUsers): best-first list of up to n users; a user with no
     neighbour keeps a row with an empty list (C2)."""
     d = materialized_interactions(inter)
-    top = nearest_users(d, n, method, bucket_size, distinct=True)
+    top = nearest_users(d, n, method, bucket_size, distinct=True, hot_threshold=hot_threshold)
     lists = long_to_wide(top, "userId", "otherId", ["rank"], sep=sep, out_col="similarUsers")
     users = d.select("userId").distinct()
     return (users.join(lists, "userId", "left")
@@ -141,12 +233,13 @@ def similar_users(inter: DataFrame, n: int = 10, method: str = "cosine",
 
 
 def usercf_recommend(inter: DataFrame, n: int = 5, k: int = 10, method: str = "cosine",
-                     bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
+                     bucket_size: int = DEFAULT_BUCKET, hot_threshold: int | None = HOT_USERS) -> DataFrame:
     """(userId, itemId, score, rank): sum of the similarities of the k nearest
     neighbours over items the user has not seen, top n (C3).  Users unknown to
     the interactions get no rows."""
     d = materialized_interactions(inter)
-    nbrs = nearest_users(d, k, method, bucket_size, distinct=True).select("userId", "otherId", "sim")
+    nbrs = nearest_users(d, k, method, bucket_size, distinct=True,
+                         hot_threshold=hot_threshold).select("userId", "otherId", "sim")
     cand = nbrs.join(d.select(F.col("userId").alias("otherId"), "itemId"), "otherId")
     cand = cand.join(d, ["userId", "itemId"], "left_anti")
     scored = cand.groupBy("userId", "itemId").agg(F.sum("sim").alias("score"))

@@ -147,6 +147,7 @@ SELECT userId, otherId, round(sim, 6) AS sim FROM sims"""
 
 ORACLES["similar_users_wide"] = similar_users_sql(FX_INTER, "fx_inter", "cosine", 10)
 ORACLES["similar_users_iif"] = similar_users_sql(FX_EVENTS, "fx_events", "iif", 10)
+ORACLES["similar_users_hot_items"] = ORACLES["similar_users_iif"]
 
 ORACLES["usercf_recommend"] = f"""WITH {FX_INTER},
 {sims_cte('fx_inter', 'cosine')},

@@ -130,6 +130,17 @@ def q_similar_users_iif(spark, sf_dir):
     return sim.similar_users(T.event_interactions(spark, sf_dir), n=10, method="iif")
 
 
+@query("similar_users_hot_items")
+def q_similar_users_hot_items(spark, sf_dir):
+    """similar_users_iif through the hot-item path: the 8 items with the
+    largest audiences are treated as hot (threshold read from the data), so
+    no pairs are formed inside them; the result must not change."""
+    inter = T.event_interactions(spark, sf_dir)
+    sizes = sim.item_audience(inter).orderBy(F.desc("n_users")).limit(9).collect()
+    threshold = sizes[-1]["n_users"] if len(sizes) == 9 else 0
+    return sim.similar_users(inter, n=10, method="iif", hot_threshold=threshold)
+
+
 @query("usercf_recommend")
 def q_usercf_recommend(spark, sf_dir):
     r = sim.usercf_recommend(T.interactions(spark, sf_dir), n=5, k=10)

@@ -56,6 +56,39 @@ def test_similarity_with_hot_item(spark, method, bucket):
     assert abs(got[(100, 101)] - ident) < 1e-12 and all(k[0] != 102 for k in got)
 
 
+def _brute_topk(pairs, method, k):
+    sims = _brute_sims(pairs, method)
+    by = defaultdict(list)
+    for (u, v), x in sims.items():
+        by[u].append((-round(x, 10), v))
+    return {u: [v for _, v in sorted(c)[:k]] for u, c in by.items()}
+
+
+@pytest.mark.parametrize("method", ["cosine", "iif"])
+def test_nearest_users_hot_item_path(spark, method):
+    rng = random.Random(9)
+    pairs = set()
+    for u in range(120):
+        if u % 3:                                            # two hot items with large audiences
+            pairs.add((u, 0))
+        if u % 4 == 0:
+            pairs.add((u, 1))
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            pairs.add((u, rng.randrange(2, 40)))
+    pairs |= {(500, 0), (501, 0), (501, 1)}                   # users with hot items only
+    df = spark.createDataFrame(sorted(pairs), "userId long, itemId long")
+    d = similarity.materialized_interactions(df)
+    got_rows = similarity._nearest_with_hot_items(d, 5, method, bucket_size=7, hot_threshold=25)
+    assert got_rows is not None                               # the pruned path was taken
+    got = defaultdict(list)
+    for r in sorted(got_rows.collect(), key=lambda r: (r.userId, r.rank)):
+        got[r.userId].append(r.otherId)
+    assert dict(got) == _brute_topk(pairs, method, 5)
+    plain = {r.userId: r.similarUsers for r in similarity.similar_users(df, 5, method, hot_threshold=None).collect()}
+    hot = {r.userId: r.similarUsers for r in similarity.similar_users(df, 5, method, hot_threshold=25).collect()}
+    assert plain == hot
+
+
 def test_similar_users_and_usercf(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (3, "a"), (4, "z"),
                                 (5, "  "), (6, "b"), (6, "c")], "userId long, itemId string")
