@@ -27,7 +27,8 @@ def popularity_stream(lines: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def run_popularity_stream(spark: SparkSession, source_dir: str, orders: DataFrame,
-                          out_path: str | None = None, file_name: str = "lineitem.parquet") -> str:
+                          out_path: str | None = None, file_name: str = "lineitem.parquet",
+                          state_partitions: int | None = None) -> str:
     """Process every file available under ``source_dir`` (availableNow
     trigger) and return the path of the result table."""
     # The de-duplication state holds every distinct (user, item) pair seen so
@@ -47,7 +48,17 @@ def run_popularity_stream(spark: SparkSession, source_dir: str, orders: DataFram
     def sink(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out_path)
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    # The number of state partitions is fixed by the first run of a query
+    # (it is stored in the checkpoint): size it by the cluster's cores rather
+    # than by whatever the session's batch setting is.  start() clones the
+    # session conf, so the session's own value is restored right after.
+    parts_key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(parts_key)
+    spark.conf.set(parts_key, str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(parts_key, before)
     q.awaitTermination()
     return out_path
