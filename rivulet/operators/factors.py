@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rivulet.functions.lists import long_to_wide
-from rivulet.operators.topk import top_k
+from rivulet.operators.topk import rank_key, top_k
 
 SCORE_DIGITS = 9          # ranking key: raw score rounded to this many digits
 DEFAULT_SLICE_BYTES = 256 << 20
@@ -86,7 +86,7 @@ def _slice_scorer(spark, item_slice: DataFrame, n: int):
                 S = np.stack(feats[lo:hi]).astype(np.float64) @ V.T
                 S += ubias[lo:hi, None]
                 S += bi[None, :]
-                K = np.round(S, SCORE_DIGITS)
+                K = np.sign(S) * np.floor(np.abs(S) * float(10 ** SCORE_DIGITS) + 0.5)   # = rank_key
                 out_u, out_i, out_r, out_t = [], [], [], []
                 for j in range(hi - lo):
                     raw, key, s_j = S[j], K[j], int(seen[lo + j])
@@ -155,7 +155,7 @@ def factor_recommend(users: DataFrame, items: DataFrame, seen: DataFrame, n: int
     cand = cand.withColumn("mn", F.min("raw").over(w)).withColumn("mx", F.max("raw").over(w))
     denom = F.when(F.col("mx") == F.col("mn"), F.lit(1.0)).otherwise(F.col("mx") - F.col("mn"))
     top = cand.where("is_top")
-    top = top_k(top, "userId", [F.desc(F.round("raw", SCORE_DIGITS)), F.asc("itemId")], n)
+    top = top_k(top, "userId", [F.desc(rank_key("raw", SCORE_DIGITS)), F.asc("itemId")], n)
     return top.select("userId", "itemId", F.round((F.col("raw") - F.col("mn")) / denom, digits).alias("score"),
                       F.col("rank").cast("long").alias("rank"))
 

@@ -13,8 +13,12 @@ RANK_DIGITS = 10
 
 
 def rank_key(c: Column | str, digits: int = RANK_DIGITS) -> Column:
+    """Integer-valued key sign(x) * floor(|x| * 10^digits + 0.5): rounding half
+    away from zero in plain double arithmetic (no BigDecimal per row), which
+    orders rows exactly as round(x, digits) does in SQL engines that scale,
+    round and unscale a double."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits)
+    return F.signum(c) * F.floor(F.abs(c) * F.lit(float(10 ** digits)) + F.lit(0.5))
 
 
 def top_k(df: DataFrame, group: str | list[str], order: list[Column], k: int,
