@@ -241,7 +241,9 @@ def usercf_recommend(inter: DataFrame, n: int = 5, k: int = 10, method: str = "c
     nbrs = nearest_users(d, k, method, bucket_size, distinct=True,
                          hot_threshold=hot_threshold).select("userId", "otherId", "sim")
     cand = nbrs.join(d.select(F.col("userId").alias("otherId"), "itemId"), "otherId")
-    cand = cand.join(d, ["userId", "itemId"], "left_anti")
+    # sum first (partial + final aggregate), then drop seen items: the exclusion
+    # is per (user, item), so the order does not change the result
     scored = cand.groupBy("userId", "itemId").agg(F.sum("sim").alias("score"))
+    scored = scored.join(d, ["userId", "itemId"], "left_anti")
     top = top_k(scored, "userId", [F.desc(rank_key("score")), F.asc("itemId")], n)
     return top.select("userId", "itemId", F.round("score", 6).alias("score"), "rank")
