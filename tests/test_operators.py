@@ -210,6 +210,13 @@ def test_rerank_randomised(spark):
     assert got == exp
 
 
+def test_rerank_rejects_duplicate_meta(spark):
+    lists = spark.createDataFrame([(1, 0, 5)], "userId long, pos int, itemId long")
+    meta = spark.createDataFrame([(5, 0, 100), (5, 1, 900)], "itemId long, cluster int, watch long")
+    with pytest.raises(ValueError):
+        rerank.rerank(lists, meta)
+
+
 def test_row_ids_many_partitions(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7 % 5003).alias("k"))
     out = etl.row_ids(df, ["k"], "rid", partitions=7).collect()
