@@ -80,15 +80,19 @@ def pair_cocounts(inter: DataFrame, method: str = "cosine", bucket_size: int = D
     ``distinct=True`` says ``inter`` already is materialized distinct pairs.
     """
     d = inter if distinct else materialized_interactions(inter)
-    nu = d.groupBy("userId").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("mask"))
+    nu = d.groupBy("userId").agg(F.count(F.lit(1)).alias("n"))
     ni = d.groupBy("itemId").agg(F.count(F.lit(1)).alias("n_users"))
     pc = _pairs(d, nu, ni, method, bucket_size)
     return pc.select("u", "v", "nu", "nv", "co")
 
 
 def _pairs(d: DataFrame, users: DataFrame, ni: DataFrame, method: str, bucket_size: int) -> DataFrame:
-    """Pair rows (u, v, nu, nv, mu, mv, co) over the items of ``d``; ``users``
-    gives each user's attributes (n, mask) and ``ni`` each item's audience."""
+    """Pair rows (u, v, nu, nv, [mu, mv,] co) over the items of ``d``; ``users``
+    gives each user's attributes (n and, for the hot-item path, mask) and
+    ``ni`` each item's audience."""
+    masked = "mask" in users.columns
+    if not masked:
+        users = users.withColumn("mask", F.lit(None).cast("long"))
     dd = d.join(users, "userId").join(ni, "itemId")
     weight = F.lit(1.0) if method == "cosine" else iif_weight("n_users")
     nb = F.greatest(F.lit(1), F.ceil(F.col("n_users") / F.lit(bucket_size))).cast("int")
@@ -115,11 +119,12 @@ def _pairs(d: DataFrame, users: DataFrame, ni: DataFrame, method: str, bucket_si
     def pick(a: str, b_: str, name: str):
         return F.when(lo_first, F.col(a)).otherwise(F.col(b_)).alias(name)
 
-    pairs = pairs.select(pick("u1", "u2", "u"), pick("u2", "u1", "v"), pick("n1", "n2", "nu"),
-                         pick("n2", "n1", "nv"), pick("m1", "m2", "mu"), pick("m2", "m1", "mv"), "w")
-    return pairs.groupBy("u", "v").agg(F.max("nu").alias("nu"), F.max("nv").alias("nv"),
-                                       F.max("mu").alias("mu"), F.max("mv").alias("mv"),
-                                       F.sum("w").alias("co"))
+    cols = [pick("u1", "u2", "u"), pick("u2", "u1", "v"), pick("n1", "n2", "nu"), pick("n2", "n1", "nv"), "w"]
+    aggs = [F.max("nu").alias("nu"), F.max("nv").alias("nv")]
+    if masked:
+        cols += [pick("m1", "m2", "mu"), pick("m2", "m1", "mv")]
+        aggs += [F.max("mu").alias("mu"), F.max("mv").alias("mv")]
+    return pairs.select(*cols).groupBy("u", "v").agg(*aggs, F.sum("w").alias("co"))
 
 
 def user_similarity(inter: DataFrame, method: str = "cosine", bucket_size: int = DEFAULT_BUCKET,
