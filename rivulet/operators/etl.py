@@ -18,10 +18,11 @@ LIST_PART_MAX = 100_000          # most ids gathered into one wide row
 def row_ids(df: DataFrame, order_cols: list[str], out_col: str = "row_id", start: int = 1,
             partitions: int | None = None) -> DataFrame:
     """Sequential ids start, start+1, ... in the order of ``order_cols`` (P11),
-    without a single-partition window: range-partition and sort, count rows
-    per partition (one small aggregate), turn the counts into offsets with a
-    window over the partition count table only (#partitions rows), and add
-    each row's index within its partition.  The sort keys must be unique
+    without a single-partition window: range-partition and sort, tag each row
+    with its partition and index, write the tagged rows once (checkpoint),
+    count rows per partition (one small aggregate), turn the counts into
+    offsets with a window over the partition count table only (#partitions
+    rows), and add them to each row's index.  The sort keys must be unique
     for the numbering to be deterministic."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -29,6 +30,12 @@ def row_ids(df: DataFrame, order_cols: list[str], out_col: str = "row_id", start
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     tagged = tagged.withColumn("_idx", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    # Both branches below (counts and the final join) must see the same range
+    # partitioning; the range sampler's seed depends on the RDD, so write the
+    # tagged rows once instead of trusting exchange reuse.
+    from rivulet.session import checkpoint_dir
+    checkpoint_dir(spark)
+    tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

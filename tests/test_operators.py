@@ -217,9 +217,14 @@ def test_rerank_rejects_duplicate_meta(spark):
         rerank.rerank(lists, meta)
 
 
-def test_row_ids_many_partitions(spark):
-    df = spark.range(0, 5000).select((F.col("id") * 7 % 5003).alias("k"))
-    out = etl.row_ids(df, ["k"], "rid", partitions=7).collect()
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_row_ids_many_partitions(spark, reuse):
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        df = spark.range(0, 5000).select((F.col("id") * 7 % 5003).alias("k"))
+        out = etl.row_ids(df, ["k"], "rid", partitions=7).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
     pairs = sorted((r.k, r.rid) for r in out)
     assert [p[1] for p in pairs] == list(range(1, 5001))
 
