@@ -29,7 +29,7 @@ DEFAULT_BUCKET = 1024
 PAIRS_PER_TASK = 5_000_000   # pair rows generated per join task; sets the join's partition count
 HOT_USERS = 100_000          # items with more users are 'hot' for the top-k neighbour path
 HOT_MAX_ITEMS = 62           # hot items fit one bit mask (a long)
-HOT_MAX_CANDIDATES = 2_000_000   # class members x hot items, broadcast to the users
+HOT_MAX_CANDIDATES = 200_000   # class members x hot items: broadcast size and per-user candidate bound
 
 
 def distinct_interactions(inter: DataFrame, user_col: str = "userId", item_col: str = "itemId") -> DataFrame:
