@@ -12,6 +12,9 @@ its own join key, so no task ever holds more than about bucket_size^2
 pairs of one item, however popular the item is.  Items below bucket_size
 users (the usual case) keep one key and are not replicated.  Pair weights are
 then summed with a partial (map-side) + final aggregate on (u, v).
+
+The top-k operators (similar users, user-CF recommendations) avoid pairs inside
+very popular items altogether: see ``_nearest_with_hot_items``.
 """
 
 from __future__ import annotations
