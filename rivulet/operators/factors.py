@@ -62,6 +62,26 @@ def _slices(items: DataFrame, max_slice_bytes: int) -> list[DataFrame]:
     return [tagged.where(F.col("_slice") == s).drop("_slice") for s in range(n_slices)]
 
 
+def _first_k(A: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Boolean mask of the k[j] smallest entries of each row of A, ties taken
+    in column order (columns are items sorted by id): everything below the
+    row's k-th value plus the first tied entries up to k."""
+    n_cols = A.shape[1]
+    k = k.astype(np.int64)
+    full = k >= n_cols
+    kk = np.clip(k, 1, n_cols)
+    kth = np.unique(kk - 1)
+    part = np.partition(A, kth, axis=1)
+    v = part[np.arange(A.shape[0]), kk - 1][:, None]
+    below = A < v
+    tied = A == v
+    need = (kk - below.sum(axis=1))[:, None]
+    sel = below | (tied & (np.cumsum(tied, axis=1) <= need))
+    sel[full] = True
+    sel[k <= 0] = False
+    return sel
+
+
 def _slice_scorer(spark, item_slice: DataFrame, n: int):
     pdf = item_slice.select("itemId", "features", "bias").toPandas().sort_values("itemId", kind="stable")
     ids = pdf["itemId"].to_numpy(dtype=np.int64)
@@ -87,26 +107,15 @@ def _slice_scorer(spark, item_slice: DataFrame, n: int):
                 S += ubias[lo:hi, None]
                 S += bi[None, :]
                 K = np.sign(S) * np.floor(np.abs(S) * float(10 ** SCORE_DIGITS) + 0.5)   # = rank_key
-                out_u, out_i, out_r, out_t = [], [], [], []
-                for j in range(hi - lo):
-                    raw, key, s_j = S[j], K[j], int(seen[lo + j])
-                    k = min(n_items, n + s_j)
-                    if k < n_items:
-                        kth = np.partition(key, n_items - k)[n_items - k]
-                        gt = np.flatnonzero(key > kth)
-                        eq = np.flatnonzero(key == kth)[: k - len(gt)]
-                        top = np.concatenate([gt, eq])
-                    else:
-                        top = np.arange(n_items)
-                    kb = min(n_items, s_j + 1)
-                    bottom = np.argpartition(raw, kb - 1)[:kb] if kb < n_items else np.arange(n_items)
-                    for sel, flag in ((top, True), (bottom, False)):
-                        out_u.append(np.full(len(sel), uid[lo + j], dtype=np.int64))
-                        out_i.append(ids_[sel])
-                        out_r.append(raw[sel])
-                        out_t.append(np.full(len(sel), flag))
-                yield pd.DataFrame({"userId": np.concatenate(out_u), "itemId": np.concatenate(out_i),
-                                    "raw": np.concatenate(out_r), "is_top": np.concatenate(out_t)})
+                s_j = seen[lo:hi]
+                top = _first_k(-K, np.minimum(n_items, n + s_j))          # key desc, then item id asc
+                bottom = _first_k(S, np.minimum(n_items, s_j + 1))        # lowest raw scores
+                rows = []
+                for sel, flag in ((top, True), (bottom, False)):
+                    r, c = np.nonzero(sel)
+                    rows.append(pd.DataFrame({"userId": uid[lo:hi][r], "itemId": ids_[c], "raw": S[r, c],
+                                              "is_top": np.full(len(r), flag)}))
+                yield pd.concat(rows, ignore_index=True)
 
     return score
 

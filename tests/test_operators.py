@@ -282,3 +282,13 @@ def test_invert_and_clean_users(spark):
                                 "id long, mid string, name string, sex string, following long, fans long, level int")
     cu = {r.userId: r for r in etl.clean_users(raw, etl.invert_lists(items)).collect()}
     assert set(cu) == {"3", "4"} and cu["3"].gender == "M" and cu["3"].age == 20 and cu["4"].age == 14
+
+
+def test_first_k_tie_rule():
+    A = np.array([[1.0, 1.0, 1.0, 1.0],      # all tied: first k columns
+                  [3.0, 1.0, 2.0, 1.0],      # tie at the k-th value: smaller column first
+                  [5.0, 4.0, 3.0, 2.0]])
+    sel = factors._first_k(A, np.array([2, 2, 9]))
+    assert sel.tolist() == [[True, True, False, False], [False, True, False, True], [True, True, True, True]]
+    sel = factors._first_k(A, np.array([1, 3, 1]))
+    assert sel.sum(axis=1).tolist() == [1, 3, 1] and sel[1].tolist() == [False, True, True, True]
