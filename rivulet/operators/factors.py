@@ -62,24 +62,34 @@ def _slices(items: DataFrame, max_slice_bytes: int) -> list[DataFrame]:
     return [tagged.where(F.col("_slice") == s).drop("_slice") for s in range(n_slices)]
 
 
-def _first_k(A: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Boolean mask of the k[j] smallest entries of each row of A, ties taken
-    in column order (columns are items sorted by id): everything below the
-    row's k-th value plus the first tied entries up to k."""
-    n_cols = A.shape[1]
-    k = k.astype(np.int64)
-    full = k >= n_cols
-    kk = np.clip(k, 1, n_cols)
-    kth = np.unique(kk - 1)
-    part = np.partition(A, kth, axis=1)
-    v = part[np.arange(A.shape[0]), kk - 1][:, None]
-    below = A < v
-    tied = A == v
-    need = (kk - below.sum(axis=1))[:, None]
-    sel = below | (tied & (np.cumsum(tied, axis=1) <= need))
-    sel[full] = True
-    sel[k <= 0] = False
-    return sel
+def _make_first_k():
+    """Built inside a factory so that the function is shipped to the Python
+    workers by value (they need not import this package)."""
+    import numpy as np  # noqa: F811 - resolved on the worker
+
+    def _first_k(A: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Boolean mask of the k[j] smallest entries of each row of A, ties taken
+        in column order (columns are items sorted by id): everything below the
+        row's k-th value plus the first tied entries up to k."""
+        n_cols = A.shape[1]
+        k = k.astype(np.int64)
+        full = k >= n_cols
+        kk = np.clip(k, 1, n_cols)
+        kth = np.unique(kk - 1)
+        part = np.partition(A, kth, axis=1)
+        v = part[np.arange(A.shape[0]), kk - 1][:, None]
+        below = A < v
+        tied = A == v
+        need = (kk - below.sum(axis=1))[:, None]
+        sel = below | (tied & (np.cumsum(tied, axis=1) <= need))
+        sel[full] = True
+        sel[k <= 0] = False
+        return sel
+
+    return _first_k
+
+
+_first_k = _make_first_k()
 
 
 def _slice_scorer(spark, item_slice: DataFrame, n: int):
