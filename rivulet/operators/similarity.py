@@ -107,13 +107,14 @@ def _pairs(d: DataFrame, users: DataFrame, ni: DataFrame, method: str, bucket_si
     right = side.select("itemId", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("bl"),
                         F.col("b").alias("br"), F.col("userId").alias("u2"), F.col("n").alias("n2"),
                         F.col("mask").alias("m2"))
-    # The join output (pairs) is far larger than its input, so its partition
-    # count comes from the estimated pair count, not from input bytes; both
-    # sides are hash-partitioned alike, which AQE keeps (no coalescing).
+    # The join output (pairs) is far larger than its input, so the join must
+    # not be narrowed by AQE's byte-based coalescing: both sides are
+    # repartitioned explicitly (AQE keeps such exchanges) with at least one
+    # task per PAIRS_PER_TASK estimated pairs; for a sort-merge join Spark
+    # raises the count to spark.sql.shuffle.partitions when that is larger.
     spark = d.sparkSession
     est = ni.agg(F.sum(F.col("n_users") * (F.col("n_users") - 1) / 2).alias("p")).first()["p"] or 0
-    n_parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")),
-                  math.ceil(est / PAIRS_PER_TASK))
+    n_parts = max(spark.sparkContext.defaultParallelism, math.ceil(est / PAIRS_PER_TASK))
     keys = ["itemId", "bl", "br"]
     pairs = (left.repartition(n_parts, *keys).join(right.repartition(n_parts, *keys), keys)
              .where((F.col("bl") < F.col("br")) | (F.col("u1") < F.col("u2"))))
