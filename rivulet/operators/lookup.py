@@ -5,6 +5,7 @@ P8, P14, F16, F17).  Each runs for all keys at once; filter by id for one.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.lists import numeric_tokens, split_list
@@ -61,7 +62,7 @@ def cluster_peers(members: DataFrame, key: str, k: int = 10, seed: int = 7) -> D
 
 
 def keyed_rank(j: DataFrame, key: str, k: int) -> DataFrame:
-    from pyspark.sql import Window
+    """Number each key's peers by their sample rank and keep the first k."""
     w = Window.partitionBy(key).orderBy("_srank")
     return (j.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
             .drop("_srank"))
