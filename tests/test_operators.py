@@ -194,7 +194,8 @@ def _rerank_model(ids, meta, length=10, max_run=5, cold=500, min_clusters=3):
     return [s[0] for s in slots]
 
 
-def test_rerank_randomised(spark):
+@pytest.mark.parametrize("prefix", [1000, 12, 3])
+def test_rerank_randomised(spark, prefix):
     rng = random.Random(11)
     meta = {i: (rng.choice([0, 0, 0, 1, 2]), rng.choice([100, 600, 700, 900, 900, 1200])) for i in range(60)}
     lists = {}
@@ -204,7 +205,7 @@ def test_rerank_randomised(spark):
     rows = [(u, p, i) for u, ids in lists.items() for p, i in enumerate(ids)]
     ldf = spark.createDataFrame(rows, "userId long, pos int, itemId long")
     mdf = spark.createDataFrame([(i, c, w) for i, (c, w) in meta.items()], "itemId long, cluster int, watch long")
-    got = {r.userId: r.itemId for r in rerank.rerank(ldf, mdf).collect()}
+    got = {r.userId: r.itemId for r in rerank.rerank(ldf, mdf, prefix=prefix).collect()}
     exp = {u: "; ".join(map(str, _rerank_model(ids, meta))) for u, ids in lists.items()}
     exp = {u: s for u, s in exp.items() if s}
     assert got == exp
