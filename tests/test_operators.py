@@ -293,3 +293,19 @@ def test_first_k_tie_rule():
     assert sel.tolist() == [[True, True, False, False], [False, True, False, True], [True, True, True, True]]
     sel = factors._first_k(A, np.array([1, 3, 1]))
     assert sel.sum(axis=1).tolist() == [1, 3, 1] and sel[1].tolist() == [False, True, True, True]
+
+
+def test_rerank_long_list_candidates_beyond_prefix(spark):
+    # one user with 3,000 known items, all warm and in clusters 0/1, except a
+    # cold item at position 2,500 and a cluster-2 item at position 2,700
+    meta = {i: (i % 2, 900) for i in range(3000)}
+    meta[5000] = (0, 100)
+    meta[6000] = (2, 900)
+    ids = list(range(2500)) + [5000] + list(range(2500, 2700)) + [6000] + list(range(2700, 3000))
+    ldf = spark.createDataFrame([(1, p, i) for p, i in enumerate(ids)], "userId long, pos int, itemId long")
+    mdf = spark.createDataFrame([(i, c, w) for i, (c, w) in meta.items()], "itemId long, cluster int, watch long")
+    got = rerank.rerank(ldf, mdf, prefix=1000).collect()
+    assert got[0].itemId == "; ".join(map(str, _rerank_model(ids, meta)))
+    # the cold item takes slot 1 (all slots tie on watch), then the new-cluster
+    # item evicts it from slot 1, the first slot whose cluster repeats
+    assert got[0].itemId.startswith("6000; ") and "5000" not in got[0].itemId
