@@ -1,34 +1,34 @@
 """Near-duplicate documents by HyperMinHash over word shingles.
 
-Sketch: the shingle hashes of a document fall into 128 buckets; each bucket
+Sketch: the shingle hashes of a document fall into 256 buckets; each bucket
 keeps its smallest hash as a register of 16 bits, 6 for the leading-zero count
 and 10 for the bits that follow (0: empty bucket).  Documents with the same
 shingle set are one node.  Registers are cut into bands; nodes that share a
-band are candidates.  Candidates are gathered into clusters (components of the
-band graph, a star per band, no pairs); inside a cluster the collision-corrected
-estimate rejects and the full sets confirm.  Only a spanning forest of the
-confirmed links leaves a task.
+band are a candidate group, and groups with the same members count once.
+Inside a group the collision-corrected estimate links nodes; components of
+these links are clusters, and inside a cluster the full sets confirm.  Only
+spanning forests leave a task, never the pairs.
 
 Small sets use wider bands, by size class: a document emits bands of its class
 and, near the class border, of the class below, so two sets that can reach the
 threshold always meet in one class.
 
-Recall: for 128 or more shingles at the threshold 0.85, 32 bands of 4 registers
-miss a pair with a probability below 1e-9 (0.8: 1e-7); sets under about 200
-shingles differ in fewer shingles than there are bands, each of which breaks
-one band at most.
+Recall: from about 200 shingles on, at the threshold 0.85 the 42 bands of 6
+registers miss a pair with a probability near 2e-9 (0.8: 3e-6); smaller sets
+differ in fewer shingles than there are bands, each of which breaks one band
+at most.
 
-Skew: copies collapse before anything else; band groups reduce to a minimum
-with map-side combining; a cluster beyond ``block`` shingles is dealt to pairs
-of blocks, each a group of its own, so no task holds an unbounded cluster and
-no pair is left out.
+Skew: copies collapse before anything else; band groups reduce to a few numbers
+with map-side combining; a group beyond ``GROUP`` nodes, and a cluster beyond
+``block`` shingles, is dealt to pairs of blocks, each a group of its own, so no
+task holds an unbounded group and no pair is left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,19 +36,21 @@ from rivulet.llm.common import binaries, longs, map_arrow, map_text, staged, tex
 from rivulet.llm.components import connected_components
 from rivulet.llm.text import BASE, U, mix, shingle_sets
 
-P_BITS = 7
+P_BITS = 8
 REGISTERS = 1 << P_BITS
 R_BITS = 10
 #: Standard deviations that an estimate may lie below the threshold before a pair is rejected unverified.
 SLACK = 6.0
 #: Shingles of a cluster that one task holds; larger clusters are split into block pairs.
 BLOCK = 1 << 22
+#: Nodes of a candidate group that one task holds.
+GROUP = 1 << 14
 
 L = T.LongType()
 
 
 def registers(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(rows, 128) uint16 registers of sorted distinct hashes."""
+    """(rows, REGISTERS) uint16 registers of sorted distinct hashes."""
     n = len(offsets) - 1
     out = np.zeros((n, REGISTERS), np.uint16)
     if not len(sets):
@@ -95,18 +97,18 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
 
 def band_width(n: np.ndarray) -> np.ndarray:
     """Registers in a band, by set size."""
-    return np.select([n < 8, n < 16, n < 32], [32, 16, 8], 4)
+    return np.select([n < 8, n < 16, n < 32, n < 64], [64, 32, 16, 8], 6)
 
 
 def band_keys(ids: np.ndarray, n: np.ndarray, regs: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, id) of every band with a register that is not empty, for a row's class and a lower one it borders."""
     keys, who = [], []
     mine, below = band_width(n), band_width(-(-n * num // den))
-    for w in (4, 8, 16, 32):
+    for w in (6, 8, 16, 32, 64):
         pick = np.flatnonzero((mine == w) | ((below >= w) & (mine < w)))
         for at in range(0, len(pick), 4096):
             p = pick[at:at + 4096]
-            r = regs[p].reshape(len(p), -1, w).astype(np.uint64)
+            r = regs[p][:, :REGISTERS // w * w].reshape(len(p), -1, w).astype(np.uint64)
             h = np.zeros(r.shape[:2], np.uint64)
             for j in range(w):
                 h = mix(h * U(BASE) + r[:, :, j])
@@ -123,7 +125,7 @@ def _bands(nodes: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches):
         for b in batches:
             if b.num_rows:
-                regs = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                regs = _registers_of(b.column(2))
                 for at in range(0, b.num_rows, 4096):
                     s = slice(at, at + 4096)
                     key, who = band_keys(b.column(0).to_numpy()[s], b.column(1).to_numpy()[s], regs[s], num, den)
@@ -138,63 +140,141 @@ def random_matches(n: np.ndarray, m: int) -> np.ndarray:
     return 0.169919487159739 * 2.0 ** (P_BITS - R_BITS) * 4 * r / (1 + r) ** 2
 
 
-def link_group(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning links (smallest id, id) of the rows of one group with similarity num / den or more.
+def _registers_of(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
-    A pair already connected is not looked at; the estimate rejects a pair only
-    when it lies SLACK standard deviations under the threshold.
+
+def _floor(size_a, size_b, either, t: float):
+    """The least estimate that is not rejected."""
+    return t - SLACK * np.sqrt(t * (1 - t) / np.maximum(either, 1))
+
+
+def estimated(regs_a: np.ndarray, regs_b: np.ndarray, size_a, size_b, t: float) -> np.ndarray:
+    """Whether the collision-corrected estimates of rows of ``regs_a`` with those of ``regs_b`` may reach ``t``."""
+    same = ((regs_a == regs_b) & (regs_a != 0)).sum(axis=1)
+    either = ((regs_a != 0) | (regs_b != 0)).sum(axis=1)
+    est = (same - random_matches(size_a, size_b)) / np.maximum(either, 1)
+    return est >= _floor(size_a, size_b, either, t)
+
+
+def link_group(ids: np.ndarray, size: np.ndarray, regs: np.ndarray, num: int, den: int, confirm=None) -> np.ndarray:
+    """Spanning links (smallest id, id) of the rows of one group, as an (n, 2) array.
+
+    Rows are linked when sizes and estimate allow the similarity num / den and
+    ``confirm(i, j)``, if given, holds.  Rows already connected are not compared.
     """
-    size = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort((ids, size))
-    ids, sets, size = ids[order], [sets[i] for i in order], size[order]
-    off = np.concatenate(([0], np.cumsum(size)))
-    regs = registers(np.concatenate(sets), off)
-    used = regs != 0
+    size_, regs = size[order], regs[order]
     part = np.arange(len(ids))
-    t = num / den
     for i in range(len(ids) - 1):
-        hi = int(np.searchsorted(size, size[i] * den // num, "right"))  # larger sets cannot reach the threshold
+        hi = int(np.searchsorted(size_, size_[i] * den // num, "right"))  # larger sets cannot reach the threshold
         c = i + 1 + np.flatnonzero(part[i + 1:hi] != part[i])
         for at in range(0, len(c), 4096):
             j = c[at:at + 4096]
-            same = ((regs[j] == regs[i]) & used[i]).sum(axis=1)
-            either = (used[j] | used[i]).sum(axis=1)
-            est = (same - random_matches(size[j], size[i])) / either
-            near = j[est >= t - SLACK * np.sqrt(t * (1 - t) / either)]
+            near = j[estimated(regs[j], regs[i], size_[j], size_[i], num / den)]
+            if confirm is None:
+                if len(near):
+                    part[np.isin(part, part[near])] = part[i]
+                continue
             for x in near:
-                if part[x] == part[i]:
-                    continue
-                both = size[i] + size[x] - len(np.unique(np.concatenate((sets[i], sets[x]))))
-                if den * both >= num * (size[i] + size[x] - both):
+                if part[x] != part[i] and confirm(order[i], order[x]):
                     part[part == part[x]] = part[i]
     out = []
+    ids = ids[order]
     for p in np.unique(part):
-        who = np.sort(ids[part == p])
-        out += [(int(who[0]), int(x)) for x in who[1:] if x != who[0]]
-    return out
+        who = np.unique(ids[part == p])
+        if len(who) > 1:
+            out.append(np.stack((np.full(len(who) - 1, who[0]), who[1:]), axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def _groups(batches, keys: int):
+    """Record batches of whole groups from rows sorted by the first ``keys`` columns, with the group borders."""
+    held, last = [], None
+
+    def borders(t):
+        cols = [t.column(i).to_numpy() for i in range(keys)]
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        return np.append(np.flatnonzero(new), t.num_rows)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = borders(b)
+        first = tuple(b.column(i)[0].as_py() for i in range(keys))
+        cut = 0 if last is None or first != last else int(at[1])
+        if held and cut < b.num_rows:  # the group held so far ends here
+            t = pa.concat_batches([*held, b.slice(0, cut)])
+            yield t, borders(t)
+            held = []
+        if cut == b.num_rows:
+            held.append(b)
+            continue
+        tail = int(at[-2])
+        if tail > cut:
+            t = b.slice(cut, tail - cut)
+            yield t, borders(t)
+        held, last = [b.slice(tail)], tuple(b.column(i)[tail].as_py() for i in range(keys))
+    if held:
+        t = pa.concat_batches(held)
+        yield t, borders(t)
+
+
+def _edges(found: list[np.ndarray]):
+    if found:
+        e = np.concatenate(found)
+        yield pa.RecordBatch.from_arrays([longs(e[:, 0]), longs(e[:, 1])], names=["a", "b"])
+
+
+def _dealt(rows: DataFrame, blocks: Column, node: str, *rest: str) -> DataFrame:
+    """Rows of a group sent to every pair of its blocks that holds their own: (rest, i, j, node)."""
+    mine = F.pmod(F.xxhash64(node), blocks).cast("int")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1),
+                                 lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"))))
+    return rows.withColumn("p", pair).select(*rest, "p.i", "p.j", node)
+
+
+def _likely(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Spanning links by estimate of the candidate groups (key, i, j, node, n_shingles, regs)."""
+    def run(batches):
+        for t, at in _groups(batches, 3):
+            ids, size, regs = t.column(3).to_numpy(), t.column(4).to_numpy(), _registers_of(t.column(5))
+            found = []
+            two = at[:-1][np.diff(at) == 2]  # most groups: all at once
+            if len(two):
+                fit = np.minimum(size[two], size[two + 1]) * den >= np.maximum(size[two], size[two + 1]) * num
+                two = two[fit]
+                two = two[estimated(regs[two], regs[two + 1], size[two], size[two + 1], num / den)]
+                found.append(np.sort(np.stack((ids[two], ids[two + 1]), axis=1), axis=1))
+            for g in np.flatnonzero(np.diff(at) > 2):
+                s = slice(at[g], at[g + 1])
+                found.append(link_group(ids[s], size[s], regs[s], num, den))
+            yield from _edges(found)
+
+    g = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return map_arrow(g, run, "a long, b long")
 
 
 def _verified(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Spanning links of groups (cluster, i, j, node, body), sorted so that a group is one run of rows."""
+    """Spanning links, confirmed on full sets, of the clusters (cluster, i, j, node, body)."""
     def run(batches):
-        key, ids, sets = None, [], []
+        for t, at in _groups(batches, 3):
+            ids, body = t.column(3).to_numpy(), t.column(4)
+            found = []
+            for g in np.flatnonzero(np.diff(at) > 1):
+                sets = [np.frombuffer(body[r].as_buffer(), np.uint64) for r in range(at[g], at[g + 1])]
+                size = np.array([len(x) for x in sets], np.int64)
 
-        def close():
-            edges = link_group(np.array(ids, np.int64), sets, num, den) if len(ids) > 1 else []
-            if edges:
-                e = np.array(edges, np.int64)
-                yield pa.RecordBatch.from_arrays([longs(e[:, 0]), longs(e[:, 1])], names=["a", "b"])
+                def confirm(i, j):
+                    both = size[i] + size[j] - len(np.unique(np.concatenate((sets[i], sets[j]))))
+                    return den * both >= num * (size[i] + size[j] - both)
 
-        for b in batches:
-            cols = [b.column(x).to_numpy() for x in range(4)]
-            for r in range(b.num_rows):
-                k = (cols[0][r], cols[1][r], cols[2][r])
-                if k != key:
-                    yield from close()
-                    key, ids, sets = k, [], []
-                ids.append(cols[3][r])
-                sets.append(np.frombuffer(b.column(4)[r].as_buffer(), np.uint64))
-        yield from close()
+                regs = registers(np.concatenate(sets), np.concatenate(([0], np.cumsum(size))))
+                found.append(link_group(ids[at[g]:at[g + 1]], size, regs, num, den, confirm))
+            yield from _edges(found)
 
     g = groups.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
     return map_arrow(g, run, "a long, b long")
@@ -207,25 +287,24 @@ def set_components(docs: DataFrame, sk: DataFrame, k: int, num: int, den: int, i
     nodes = staged(sk.where((F.col("n_shingles") > 0) & F.col("doc").isNotNull()).groupBy(*name).agg(
         F.min("doc").alias("node"), F.first("regs").alias("regs")), "nodes")
     bands = _bands(nodes, num, den)
-    shared = staged(bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-                    .where("low < high").select("key", "low"), "bands")
-    star = bands.join(shared, "key").where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    member = connected_components(star)
+    groups = (bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"),
+                                       F.bit_xor(F.xxhash64("node")).alias("who")).where("low < high"))
+    groups = staged(groups.groupBy("low", "high", "n", "who").agg(F.min("key").alias("key")).select(
+        "key", F.ceil(F.col("n") / GROUP).cast("int").alias("blocks")), "groups")  # the same members once
+    member = _dealt(bands.join(groups, "key"), F.col("blocks"), "node", "key")
+    likely = _likely(member.join(nodes.select("node", "n_shingles", "regs"), "node").select(
+        "key", "i", "j", "node", "n_shingles", "regs"), num, den)
+
+    member = connected_components(likely)
     member = staged(member.union(member.select("component", "component").distinct()).toDF("node", "cluster")
                     .join(nodes.select("node", "n_shingles"), "node"), "members")
     big = staged(member.groupBy("cluster").agg(F.sum("n_shingles").alias("total")).where(F.col("total") > block)
                  .select("cluster", F.ceil(F.col("total") / block).cast("int").alias("blocks")), "big")
-    member = member.join(big, "cluster", "left").select(
-        "node", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks"),
-        F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int").alias("mine"))
-
+    member = member.join(big, "cluster", "left").select("node", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     body = map_text(docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").alias("text"))
-                    .join(member, "node"), "text", ["node", "cluster", "blocks", "mine"],
-                    [T.StructField("body", T.BinaryType())],
+                    .join(member, "node"), "text", ["node", "cluster", "blocks"], [T.StructField("body", T.BinaryType())],
                     lambda text: [_set_bodies(text, k)])
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
-                                 lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j"))))
-    groups = body.select("cluster", "node", "body", pair.alias("p")).select("cluster", "p.i", "p.j", "node", "body")
+    groups = _dealt(body, F.col("blocks"), "node", "cluster", "body").select("cluster", "i", "j", "node", "body")
     comp = connected_components(_verified(groups, num, den))
     return nodes.select(*name, "node").join(comp, nodes["node"] == comp["id"], "left").select(
         *name, F.coalesce("component", "node").alias("component_id"))
