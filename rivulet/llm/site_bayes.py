@@ -120,17 +120,17 @@ def _kappa(n: float, groups: float, within: float, between: float) -> float:
 def group_posteriors(ev: DataFrame, site: str, path: str) -> tuple[DataFrame, dict]:
     """(site, path, sums of both) per path, and the global mean and both kappas."""
     by_path = staged(ev.groupBy(F.col(site).alias("site"), F.col(path).alias("path")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).cast("double").alias("q")), "paths")
+        F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum((F.col("p") * F.col("p")).cast("decimal(13,0)")).cast("double").alias("q")), "paths")
     by_site = by_path.groupBy("site").agg(F.sum("n").alias("site_n"), F.sum("s").alias("site_s"))
     both = staged(by_path.join(by_site.withColumnRenamed("site", "site_"), F.col("site").eqNullSafe(F.col("site_"))).drop("site_"), "groups")
     m = float(MICRO)
-    t = both.agg(F.sum("n"), F.sum("s"), F.sum("q"), F.count(F.lit(1)), F.sum(F.col("s") * F.col("s") / F.col("n")),
+    t = both.agg(F.sum("n"), F.sum("s"), F.sum("q"), F.count(F.lit(1)), F.sum(F.pow("s", F.lit(2)) / F.col("n")),
                  F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("site_s") / F.col("site_n"), 2))).first()
     if not t[0]:
         return both, {"mean": 0.5, "site": KAPPA_MAX, "path": KAPPA_MAX}
     mu = t[1] / t[0]
     u = both.select("site", "site_n", "site_s").distinct().agg(
-        F.count(F.lit(1)), F.sum(F.col("site_s") * F.col("site_s") / F.col("site_n")),
+        F.count(F.lit(1)), F.sum(F.pow("site_s", F.lit(2)) / F.col("site_n")),
         F.sum(F.col("site_n") * F.pow(F.col("site_s") / F.col("site_n") - F.lit(mu), 2))).first()
     return both, {"mean": mu / m,
                   "site": _kappa(t[0], u[0], (t[2] - u[1]) / m / m, u[2] / m / m),
