@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from rivulet.llm.common import fresh, longs, map_arrow, map_text
 
 #: Pieces and token pairs that a worker remembers, at most; the memory is emptied when full.
-PIECE_MEMORY = 250_000
-CHAR_MEMORY = 16_000_000
+PIECE_MEMORY = 500_000
+CHAR_MEMORY = 24_000_000
 PAIR_MEMORY = 400_000
 
 
@@ -58,7 +58,7 @@ class Merges:
                 self.joined[cut] = r
         # a token that merging never makes occurs only as a whole piece
         self.usable = {t: r for t, r in self.rank.items() if len(t) == 1 or r in self.parts}
-        self._may: dict[tuple[int, int], bool] = {}
+        self.known: dict[tuple[int, int], bool] = {}
 
     def _last_merge(self, t: bytes, r: int) -> tuple[int, int] | None:
         """The two tokens that merging below rank ``r`` leaves of ``t``, if it leaves two."""
@@ -86,8 +86,6 @@ class Merges:
         before they grew further, the border could not have survived.  Of equal
         ranks the left one comes first, which the two limits express.
         """
-        if (known := self._may.get((a, b))) is not None:
-            return known
         x, y, limit, ok = a, b, 1 << 62, True
         while True:
             if self.joined.get((x, y), limit) < limit:
@@ -100,9 +98,9 @@ class Merges:
                 limit, x = x, px[1]
             else:
                 limit, y = y + 1, py[0]
-        if len(self._may) >= PAIR_MEMORY:
-            self._may.clear()
-        self._may[a, b] = ok
+        if len(self.known) >= PAIR_MEMORY:
+            self.known.clear()
+        self.known[a, b] = ok
         return ok
 
 
@@ -116,13 +114,19 @@ class PrefixTable:
     def append(self, more: bytes) -> None:
         m, start = self.merges, len(self.data)
         data = self.data = self.data + more
-        last, usable, may = self.last, m.usable, m.may_follow
+        last, usable, may, known = self.last, m.usable, m.may_follow, m.known
         for end in range(start + 1, len(data) + 1):
             for begin in range(max(0, end - m.longest), end):
                 t = usable.get(data[begin:end])
-                if t is not None and (not begin or may(last[begin - 1], t)):
-                    last.append(t)
-                    break
+                if t is None:
+                    continue
+                if begin:
+                    a = last[begin - 1]
+                    fits = known.get((a, t))
+                    if not (may(a, t) if fits is None else fits):
+                        continue
+                last.append(t)
+                break
             else:
                 raise ValueError(f"byte {data[end - 1]} has no token")
 
@@ -152,7 +156,8 @@ class Codec:
     def __init__(self, rank_file: bytes, pattern: str):
         self.merges = Merges(rank_file)
         self.split = regex.compile(pattern)
-        self.known: dict[str, tuple[int, str, bytes, bytes]] = {}
+        self.decimal = {r: str(r) for r in self.merges.bytes_of}
+        self.known: dict[str, bytes] = {}
         self.held = 0
 
     def decode(self, ids) -> bytes:
@@ -175,22 +180,22 @@ class Codec:
                 table.truncate(same)
                 table.append(body[same:])
                 ids = table.tokens()
-            self.known[piece] = len(ids), " ".join(map(str, ids)), array("i", ids).tobytes(), self.decode(ids)
+            self.known[piece] = array("i", ids).tobytes()
             self.held += len(piece)
 
-    def pieces(self, texts: list[str]) -> list[list[tuple[int, str, bytes, bytes]]]:
-        """(number of ids, ids in decimal, ids as int32, decoded bytes) of each piece of each text."""
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as 32-bit numbers in bytes."""
         cut = [self.split.findall(t) for t in texts]
         met = set().union(*cut)
-        new = met - self.known.keys()
+        new = {p for p in met if p not in self.known}
         if len(self.known) + len(new) > PIECE_MEMORY or self.held > CHAR_MEMORY:
             self.known, self.held, new = {}, 0, met
         self._learn(new)
         get = self.known.__getitem__
-        return [list(map(get, c)) for c in cut]
+        return [b"".join(map(get, c)) for c in cut]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join(p[2] for p in self.pieces([text])[0]), np.int32).tolist()
+        return np.frombuffer(self.ids([text])[0], np.int32).tolist()
 
 
 @lru_cache(maxsize=2)
@@ -213,14 +218,13 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, text_col: str =
 
     def fn(text):
         c = codec(ranks.value, pattern)
-        count, ids_hash, body_hash, body = [], [], [], []
-        for got in c.pieces([t or "" for t in text.to_pylist()]):
-            n, dec, raw, back = zip(*got) if got else ((), (), (), ())
-            count.append(sum(n))
-            ids_hash.append(hashlib.sha256(" ".join(dec).encode()).hexdigest())
-            body_hash.append(hashlib.sha256(b"".join(back)).hexdigest())
-            if with_ids:
-                body.append(b"".join(raw))
+        count, ids_hash, body_hash = [], [], []
+        body = c.ids([t or "" for t in text.to_pylist()])
+        for raw in body:
+            ids = np.frombuffer(raw, np.int32).tolist()
+            count.append(len(ids))
+            ids_hash.append(hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
+            body_hash.append(hashlib.sha256(c.decode(ids)).hexdigest())
         out = [longs(count), pa.array(ids_hash, pa.string()), pa.array(body_hash, pa.string())]
         if with_ids:
             off = np.concatenate(([0], np.cumsum(count))).astype(np.int32)

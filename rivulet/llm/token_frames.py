@@ -39,10 +39,10 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
 FRAME_BYTES = 1 << 18
-LEVEL = 3
+LEVEL = 1
 #: Words whose ids a worker remembers, at most; the memory is emptied when full.
-WORD_MEMORY = 300_000
-CHAR_MEMORY = 16_000_000
+WORD_MEMORY = 600_000
+CHAR_MEMORY = 24_000_000
 
 
 class WordEncoder:
@@ -63,7 +63,7 @@ class WordEncoder:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         met = set().union(*cut)
-        new = met - self.known.keys()
+        new = {p for p in met if p not in self.known}
         if len(self.known) + len(new) > WORD_MEMORY or self.held > CHAR_MEMORY:
             self.known, self.held, new = {}, 0, met
         new = list(new)
