@@ -41,10 +41,25 @@ CHECKSUM_FLAG = 0x80
 FRAME_BYTES = 1 << 18
 LEVEL = 1
 #: Words whose ids a worker remembers, at most; the memory is emptied when full.
-WORD_MEMORY = 600_000
+WORD_MEMORY = 1_200_000
 CHAR_MEMORY = 24_000_000
 
 
+#: Signs between a letter or digit and a blank; no apostrophe, which may belong to a contraction.
+END_SIGNS = re.compile(r"(?<=[A-Za-z0-9])([.,;:!?]+)(?![^ \n])")
+
+
+def _plain(text: str) -> str:
+    """A text of the same ids with fewer distinct words: ASCII in lower case, signs at a word's end apart.
+
+    The tokenizer lower-cases too and ends a token between letters and signs.  A
+    text with "<" may hold a special token, whose letters count as they are.
+    """
+    if "<" in text:
+        return text
+    return END_SIGNS.sub(r" \1", text.lower() if text.isascii() else text)
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library, each distinct word once.
 
@@ -61,20 +76,26 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        cut = [_plain(t).replace("\n", " ").split(" ") for t in texts]
         met = set().union(*cut)
-        new = {p for p in met if p not in self.known}
+        new = met.difference(self.known)
         if len(self.known) + len(new) > WORD_MEMORY or self.held > CHAR_MEMORY:
             self.known, self.held, new = {}, 0, met
         new = list(new)
-        for at in range(0, len(new), 1024):
-            part = new[at:at + 1024]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-                self.held += len(w)
+        self.held += sum(map(len, new))
+        for at in range(0, len(new), 256):
+            self.known.update(self._encode(new[at:at + 256]))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
+    def _encode(self, part: list[str]) -> Iterator[tuple[str, bytes]]:
+        """One call for many words, parted again by where each token starts."""
+        e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+        cut = (4 * np.searchsorted(np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), starts)).tolist()
+        raw = np.array(e.ids, "<u4").tobytes()
+        return zip(part, (raw[a:b] for a, b in zip(cut, cut[1:])))
+
 
 @lru_cache(maxsize=2)
 def encoder(model: str) -> WordEncoder:
@@ -223,7 +244,8 @@ def write_token_files(docs: DataFrame, out_dir: str, model_path: str, end_id: in
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per document, from the files: id, start (ids of all documents before it), n_tokens, ids_crc32."""
     base = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
-    files = manifest.select("path", "part", F.coalesce(base, F.lit(0)).alias("base")).repartition("part")
+    files = manifest.select("path", "part", F.coalesce(base, F.lit(0)).alias("base"))
+    files = files.repartitionByRange(max(1, manifest.count()), "part")  # a task for each file
 
     def run(batches):
         for b in batches:
