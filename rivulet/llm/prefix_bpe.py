@@ -238,12 +238,12 @@ def decode_ids(tokens: DataFrame, rank_path: str, ids_col: str = "ids") -> DataF
     """``tokens`` with a column ``decoded`` (binary): the bytes of the ids; null ids give null."""
     ranks = tokens.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
     name, = fresh(tokens.columns, "decoded")
-    at = tokens.columns.index(ids_col)
+    at, names = tokens.columns.index(ids_col), [*tokens.columns, name]
 
     def run(batches):
         for b in batches:
             c = codec(ranks.value, ".+")
             got = [None if x is None else c.decode(x) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*tokens.columns, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=names)
 
     return map_arrow(tokens, run, T.StructType([*tokens.schema.fields, T.StructField(name, T.BinaryType())]))

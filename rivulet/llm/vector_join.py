@@ -97,17 +97,16 @@ def assign(x: np.ndarray, pivots: np.ndarray, r: float) -> tuple[np.ndarray, np.
             np.concatenate((np.ones(len(x), bool), np.zeros(len(row), bool))))
 
 
-def cell_links(x: np.ndarray, home: np.ndarray, count: np.ndarray, block: np.ndarray, cos: float,
+def cell_links(x: np.ndarray, home: np.ndarray, count: np.ndarray, block: np.ndarray, across: bool, cos: float,
                step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Number of linked vectors of each row and the first row of its component, by links of this cell.
 
-    Guests are not compared with guests.  If two blocks meet here, only rows of
-    different blocks are compared.  Single precision finds candidates, double decides.
+    Guests are not compared with guests, and in a group of two blocks (``across``)
+    only rows of different blocks.  Single precision finds candidates, double decides.
     """
     n = len(x)
     links, part = np.zeros(n, np.int64), np.arange(n)
     single = x.astype(np.float32)
-    two = len(np.unique(block)) > 1
     for a in range(0, n, step):
         for b in range(a, n, step):
             if not (home[a:a + step].any() or home[b:b + step].any()):
@@ -119,7 +118,7 @@ def cell_links(x: np.ndarray, home: np.ndarray, count: np.ndarray, block: np.nda
             if not len(ra):
                 continue
             hit = rough[np.ix_(ra, rb)] & (x[a + ra] @ x[b + rb].T >= cos) & (home[a + ra][:, None] | home[b + rb])
-            if two:
+            if across:
                 hit &= block[a + ra][:, None] != block[b + rb]
             links[a + ra] += hit @ count[b + rb]
             links[b + rb] += hit.T @ count[a + ra]
@@ -165,7 +164,7 @@ def _joined(groups: DataFrame, cos: float) -> DataFrame:
                 return
             mine, home, node, n, body = zip(*rows)
             node, count = np.array(node, np.int64), np.array(n, np.int64)
-            links, part = cell_links(_unit(body, key[0]), np.array(home, bool), count, np.array(mine), cos)
+            links, part = cell_links(_unit(body, key[0]), np.array(home, bool), count, np.array(mine), key[2] != key[3], cos)
             at = np.flatnonzero(links)
             if len(at):
                 yield pa.RecordBatch.from_arrays([longs(node[at]), longs(links[at]), longs(node[part[at]])],
