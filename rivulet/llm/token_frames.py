@@ -40,13 +40,15 @@ CHECKSUM_FLAG = 0x80
 
 FRAME_BYTES = 1 << 18
 LEVEL = 1
+#: Text bytes encoded at once: words met in them are looked up once.
+SLICE_BYTES = 1 << 21
 #: Words whose ids a worker remembers, at most; the memory is emptied when full.
 WORD_MEMORY = 1_200_000
 CHAR_MEMORY = 24_000_000
 
 
 #: Signs between a letter or digit and a blank; no apostrophe, which may belong to a contraction.
-END_SIGNS = re.compile(r"(?<=[A-Za-z0-9])([.,;:!?]+)(?![^ \n])")
+END_SIGNS = re.compile(r"[.,;:!?](?<=[A-Za-z0-9].)[.,;:!?]*(?![^ \n])")
 
 
 def _plain(text: str) -> str:
@@ -57,7 +59,7 @@ def _plain(text: str) -> str:
     """
     if "<" in text:
         return text
-    return END_SIGNS.sub(r" \1", text.lower() if text.isascii() else text)
+    return END_SIGNS.sub(r" \g<0>", text.lower() if text.isascii() else text)
 
 
 class WordEncoder:
@@ -83,8 +85,8 @@ class WordEncoder:
             self.known, self.held, new = {}, 0, met
         new = list(new)
         self.held += sum(map(len, new))
-        for at in range(0, len(new), 256):
-            self.known.update(self._encode(new[at:at + 256]))
+        for at in range(0, len(new), 128):
+            self.known.update(self._encode(new[at:at + 128]))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -230,7 +232,7 @@ def write_token_files(docs: DataFrame, out_dir: str, model_path: str, end_id: in
         with fs.open_output_stream(f"{folder}/{name}", compression=None) as f:
             w = FrameWriter(f, frame_bytes)
             for b in itertools.chain([first], batches):
-                for part in text_slices(b, 1):
+                for part in text_slices(b, 1, SLICE_BYTES):
                     ids = enc.encode([t or "" for t in part.column(1).to_pylist()])
                     for doc, body in zip(part.column(0).to_pylist(), ids):
                         w.add(doc, body + end)
