@@ -21,16 +21,16 @@ def _c(c: Column | str) -> Column:
 def parse_duration(c: Column | str) -> Column:
     """'m:s' or 'h:m:s' -> seconds (int); any other shape or a bad part -> null.
     Parts parse like Python int(): surrounding blanks and a sign are allowed,
-    bounds are not checked ('3:75' -> 255)."""
+    bounds are not checked ('3:75' -> 255); a total beyond int is a bad part."""
     parts = F.split(_c(c).cast("string"), ":")
     n = F.size(parts)
 
     def part(i: int) -> Column:
-        return F.try_element_at(parts, F.lit(i + 1)).try_cast("int")
+        return F.try_element_at(parts, F.lit(i + 1)).try_cast("int").cast("bigint")
 
     two = part(0) * 60 + part(1)
     three = part(0) * 3600 + part(1) * 60 + part(2)
-    return F.when(n == 2, two).when(n == 3, three).cast("int")
+    return F.when(n == 2, two).when(n == 3, three).try_cast("int")
 
 
 def normalize_gender(c: Column | str, key: Column | str, seed: int = 42) -> Column:

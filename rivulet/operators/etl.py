@@ -107,9 +107,10 @@ def _lookup_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str
 
 
 def category_share(items: DataFrame, cat_col: str = "category", watch_col: str = "watch") -> DataFrame:
-    """(category, cat_watch, share) with share = category watch / total watch."""
+    """(category, cat_watch, share) with share = category watch / total watch; a null category
+    counts in the total but is no group (A9, A10)."""
     total = items.agg(F.sum(watch_col).alias("t")).first()["t"] or 0
-    cats = items.groupBy(cat_col).agg(F.sum(watch_col).alias("cat_watch"))
+    cats = items.where(F.col(cat_col).isNotNull()).groupBy(cat_col).agg(F.sum(watch_col).alias("cat_watch"))
     return cats.withColumn("share", F.col("cat_watch") / F.lit(float(total)) if total else F.lit(None))
 
 

@@ -98,3 +98,8 @@ def test_epoch_and_thousands(spark):
         assert (r2.e, r2.s) == (r.e, r.s)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_duration_beyond_int_is_null(spark):
+    df = spark.createDataFrame([("999999:00:00",), ("2147483647:2147483647:1",), ("1:02:03",)], "d string")
+    assert [r[0] for r in df.select(parse_duration("d")).collect()] == [None, None, 3723]

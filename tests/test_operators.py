@@ -3,6 +3,8 @@
 import itertools
 import math
 import random
+from collections import Counter
+from itertools import groupby, islice
 from collections import defaultdict
 
 import numpy as np
@@ -161,37 +163,23 @@ def test_factor_loss_matches_brute_force(spark):
 # ---- re-rank: window form against a plain sequential statement of the rules
 
 def _rerank_model(ids, meta, length=10, max_run=5, cold=500, min_clusters=3):
-    slots, last, streak = [], object(), 0
-    for v in ids:
-        if v not in meta:
-            continue
-        c, w = meta[v]
-        streak = streak + 1 if c == last else 1
-        last = c
-        if streak > max_run:
-            continue
-        slots.append((v, c, w))
-        if len(slots) == length:
-            break
+    """The rules one by one: runs by grouping, slots by position, each replacement from counts of clusters."""
+    runs = groupby((v for v in ids if v in meta), key=lambda v: meta[v][0])
+    slots = [v for _, run in runs for v in islice(run, max_run)][:length]
     if len(slots) < length:
-        return [s[0] for s in slots]
-    if not any(s[2] < cold for s in slots):
-        for v in ids[length:]:
-            if v in meta and meta[v][1] < cold:
-                best = max(range(length), key=lambda i: slots[i][2])
-                slots[best] = (v, *meta[v])
-                break
-    present = {s[1] for s in slots}
-    if len(present) < min_clusters:
-        for v in ids[length:]:
-            if v in meta and meta[v][0] not in present:
-                for i in range(length):
-                    trial = slots[:i] + [(v, *meta[v])] + slots[i + 1:]
-                    if len({s[1] for s in trial}) >= min_clusters:
-                        slots = trial
-                        break
-                break
-    return [s[0] for s in slots]
+        return slots
+    later = [v for v in ids[length:] if v in meta]
+    watch = [meta[v][1] for v in slots]
+    fresh = [v for v in later if meta[v][1] < cold]
+    if min(watch) >= cold and fresh:
+        slots[watch.index(max(watch))] = fresh[0]
+    held = Counter(meta[v][0] for v in slots)
+    other = [v for v in later if meta[v][0] not in held]
+    spare = [i for i, v in enumerate(slots) if held[meta[v][0]] > 1]
+    # a slot may go if its cluster stays; one more cluster must then be enough
+    if len(held) == min_clusters - 1 and other and spare:
+        slots[spare[0]] = other[0]
+    return slots
 
 
 @pytest.mark.parametrize("prefix", [1000, 12, 3])

@@ -13,8 +13,7 @@ from check_oracle import rows_of  # noqa: E402
 from rivulet.sources.tables import TABLES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+from rivulet.plans import ORACLES, QUERIES  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +29,10 @@ def test_entry(spark):
     assert df.columns == ["userId", "similarUsers"] and df.count() > 0
 
 
+def test_entry_registers_all():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
+
+
 def test_every_query_has_a_known_check():
     missing = set(ORACLES) - set(QUERIES)
     assert not missing
