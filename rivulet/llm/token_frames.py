@@ -83,8 +83,8 @@ class WordEncoder:
             self.known, self.held, new = {}, 0, met
         new = list(new)
         self.held += sum(map(len, new))
-        for at in range(0, len(new), 128):
-            self.known.update(self._encode(new[at:at + 128]))
+        for at in range(0, len(new), 64):
+            self.known.update(self._encode(new[at:at + 64]))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
