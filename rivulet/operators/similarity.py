@@ -4,6 +4,13 @@ recommendations (C1-C3, J1, A2-A8).
 sim(u, v) = sum over common items i of w_i / sqrt(|I(u)| * |I(v)|), with
 w_i = 1 ('cosine') or 1 / ln(1 + |U(i)|) (any other method name, 'iif').
 Only pairs with a common item exist; a user is never its own neighbour.
+User and item ids may be of any type that can be ordered and hashed.
+
+Weights are whole numbers (IIF weights in units of 1 / WEIGHT_UNITS), so sums
+do not depend on their order.  The neighbours of one user u are ordered by
+sum / sqrt(|I(v)|), which is sim(u, v) without the factor that all of them
+share, ties by smaller id: the order of two neighbours then depends on their
+own sums and sizes alone, whichever way a pair was found.
 
 Scale: the pairs of an item's audience are generated by an equi-join on
 (item, bucket_lo, bucket_hi).  An item with n users is cut into
@@ -13,26 +20,26 @@ pairs of one item, however popular the item is.  Items below bucket_size
 users (the usual case) keep one key and are not replicated.  Pair weights are
 then summed with a partial (map-side) + final aggregate on (u, v).
 
-The top-k operators (similar users, user-CF recommendations) avoid pairs inside
-very popular items altogether: see ``_nearest_with_hot_items``.
+The top-k operators (similar users, user-CF recommendations) form no user pairs
+inside very popular items: see ``nearest_users``.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.lists import long_to_wide, strip_ws
 from rivulet.functions.scalars import cosine_norm, iif_weight
-from rivulet.operators.topk import rank_key, top_k
+from rivulet.operators.topk import top_k
 
 DEFAULT_BUCKET = 1024
 PAIRS_PER_TASK = 5_000_000   # pair rows generated per join task; sets the join's partition count
-HOT_USERS = 100_000          # items with more users are 'hot' for the top-k neighbour path
-HOT_MAX_ITEMS = 62           # hot items fit one bit mask (a long)
-HOT_MAX_CANDIDATES = 200_000   # class members x hot items: broadcast size and per-user candidate bound
+HOT_USERS = 10_000           # items with more users are compared class by class; any value gives the same rows
+WEIGHT_UNITS = 10 ** 12     # IIF weights are whole multiples of 1 / WEIGHT_UNITS (a pair sum fits a long up to 10 M common items, then raises)
+SCORE_UNITS = 10 ** 15       # similarities are summed to scores in these units
 
 
 def distinct_interactions(inter: DataFrame, user_col: str = "userId", item_col: str = "itemId") -> DataFrame:
@@ -75,71 +82,92 @@ def materialized_interactions(inter: DataFrame) -> DataFrame:
     return distinct_interactions(inter).checkpoint(eager=True)
 
 
-def pair_cocounts(inter: DataFrame, method: str = "cosine", bucket_size: int = DEFAULT_BUCKET,
-                  distinct: bool = False) -> DataFrame:
-    """(u, v, nu, nv, co) for u < v with at least one common item.
+def _units(method: str) -> int:
+    return 1 if method == "cosine" else WEIGHT_UNITS
 
-    ``co`` is the number of common items ('cosine') or the IIF-weighted sum.
-    ``distinct=True`` says ``inter`` already is materialized distinct pairs.
-    """
-    d = inter if distinct else materialized_interactions(inter)
-    nu = d.groupBy("userId").agg(F.count(F.lit(1)).alias("n"))
-    ni = d.groupBy("itemId").agg(F.count(F.lit(1)).alias("n_users"))
-    pc = _pairs(d, nu, ni, method, bucket_size)
-    return pc.select("u", "v", "nu", "nv", "co")
-
-
-def _pairs(d: DataFrame, users: DataFrame, ni: DataFrame, method: str, bucket_size: int) -> DataFrame:
-    """Pair rows (u, v, nu, nv, [mu, mv,] co) over the items of ``d``; ``users``
-    gives each user's attributes (n and, for the hot-item path, mask) and
-    ``ni`` each item's audience."""
-    masked = "mask" in users.columns
-    if not masked:
-        users = users.withColumn("mask", F.lit(None).cast("long"))
-    dd = d.join(users, "userId").join(ni, "itemId")
-    weight = F.lit(1.0) if method == "cosine" else iif_weight("n_users")
-    nb = F.greatest(F.lit(1), F.ceil(F.col("n_users") / F.lit(bucket_size))).cast("int")
+
+def _item_weights(d: DataFrame, method: str) -> DataFrame:
+    """(itemId, size, w): audience and whole-number weight of every item."""
+    w = (F.lit(1).cast("long") if method == "cosine"
+         else F.floor(iif_weight("size") * F.lit(float(WEIGHT_UNITS)) + F.lit(0.5)).cast("long"))
+    return d.groupBy("itemId").agg(F.count(F.lit(1)).alias("size")).select("itemId", "size", w.alias("w"))
+
+
+def _n_pairs(items: DataFrame) -> int:
+    return int(items.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2).alias("p")).first()["p"] or 0)
+
+
+def _pairs(d: DataFrame, items: DataFrame, bucket_size: int, users: DataFrame | None = None) -> DataFrame:
+    """(u, v, [<c>_u, <c>_v for every further column c of ``users``,] co) for u < v
+    with a common item among ``items`` (itemId, size, w): co sums the weights."""
+    attrs = [c for c in users.columns if c != "userId"] if users is not None else []
+    dd = (d.join(users, "userId") if attrs else d).join(items, "itemId")
+    nb = F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(bucket_size))).cast("int")
     b = F.pmod(F.xxhash64("userId"), nb.cast("long")).cast("int")
-    side = dd.select("itemId", "userId", "n", "mask", nb.alias("nb"), b.alias("b"), weight.alias("w"))
+    side = dd.select("itemId", "userId", *attrs, nb.alias("nb"), b.alias("b"), "w")
     left = side.select("itemId", F.col("b").alias("bl"),
                        F.explode(F.sequence(F.col("b"), F.col("nb") - 1)).alias("br"),
-                       F.col("userId").alias("u1"), F.col("n").alias("n1"), F.col("mask").alias("m1"), "w")
+                       F.struct("userId", *attrs).alias("one"), "w")
     right = side.select("itemId", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("bl"),
-                        F.col("b").alias("br"), F.col("userId").alias("u2"), F.col("n").alias("n2"),
-                        F.col("mask").alias("m2"))
+                        F.col("b").alias("br"), F.struct("userId", *attrs).alias("two"))
     # The join output (pairs) is far larger than its input, so the join must
     # not be narrowed by AQE's byte-based coalescing: both sides are
     # repartitioned explicitly (AQE keeps such exchanges) with at least one
     # task per PAIRS_PER_TASK estimated pairs; for a sort-merge join Spark
     # raises the count to spark.sql.shuffle.partitions when that is larger.
-    spark = d.sparkSession
-    est = ni.agg(F.sum(F.col("n_users") * (F.col("n_users") - 1) / 2).alias("p")).first()["p"] or 0
-    n_parts = max(spark.sparkContext.defaultParallelism, math.ceil(est / PAIRS_PER_TASK))
+    n_parts = max(d.sparkSession.sparkContext.defaultParallelism, math.ceil(_n_pairs(items) / PAIRS_PER_TASK))
     keys = ["itemId", "bl", "br"]
+    one_first = F.col("one.userId") < F.col("two.userId")
     pairs = (left.repartition(n_parts, *keys).join(right.repartition(n_parts, *keys), keys)
-             .where((F.col("bl") < F.col("br")) | (F.col("u1") < F.col("u2"))))
-    lo_first = F.col("u1") < F.col("u2")
+             .where((F.col("bl") < F.col("br")) | one_first))
+    cols = [F.when(one_first, F.col(f"one.{c}")).otherwise(F.col(f"two.{c}")).alias(n)
+            for c, n in [("userId", "u")] + [(c, f"{c}_u") for c in attrs]]
+    cols += [F.when(one_first, F.col(f"two.{c}")).otherwise(F.col(f"one.{c}")).alias(n)
+             for c, n in [("userId", "v")] + [(c, f"{c}_v") for c in attrs]]
+    by = ["u", "v"] + [f"{c}_{s}" for c in attrs for s in "uv"]
+    return pairs.select(*cols, "w").groupBy(*by).agg(F.sum("w").alias("co"))
+
+
+def _sizes(d: DataFrame) -> DataFrame:
+    return d.groupBy("userId").agg(F.count(F.lit(1)).alias("n"))
 
-    def pick(a: str, b_: str, name: str):
-        return F.when(lo_first, F.col(a)).otherwise(F.col(b_)).alias(name)
 
-    cols = [pick("u1", "u2", "u"), pick("u2", "u1", "v"), pick("n1", "n2", "nu"), pick("n2", "n1", "nv"), "w"]
-    aggs = [F.max("nu").alias("nu"), F.max("nv").alias("nv")]
-    if masked:
-        cols += [pick("m1", "m2", "mu"), pick("m2", "m1", "mv")]
-        aggs += [F.max("mu").alias("mu"), F.max("mv").alias("mv")]
-    return pairs.select(*cols).groupBy("u", "v").agg(*aggs, F.sum("w").alias("co"))
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """(userId, otherId, co, n, m) for both directions; n, m: items of user and other."""
+    one = F.struct(F.col("u").alias("userId"), F.col("v").alias("otherId"), "co",
+                   F.col("n_u").alias("n"), F.col("n_v").alias("m"))
+    two = F.struct(F.col("v").alias("userId"), F.col("u").alias("otherId"), "co",
+                   F.col("n_v").alias("n"), F.col("n_u").alias("m"))
+    return pairs.select(F.explode(F.array(one, two)).alias("p")).select("p.*")
+
+
+def _sim(method: str) -> Column:
+    return cosine_norm(F.col("co").cast("double") / F.lit(float(_units(method))), "n", "m")
+
+
+def _best_first(size: str = "m") -> list[Column]:
+    return [F.desc(F.col("co").cast("double") / F.sqrt(F.col(size).cast("double"))), F.asc("otherId")]
+
+
+def pair_cocounts(inter: DataFrame, method: str = "cosine", bucket_size: int = DEFAULT_BUCKET,
+                  distinct: bool = False) -> DataFrame:
+    """(u, v, nu, nv, co) for u < v with at least one common item.
+
+    ``co`` is the number of common items ('cosine') or the IIF-weighted sum.
+    ``distinct=True`` says ``inter`` already is materialized distinct pairs.
+    """
+    d = inter if distinct else materialized_interactions(inter)
+    pc = _pairs(d, _item_weights(d, method), bucket_size, _sizes(d))
+    return pc.select("u", "v", F.col("n_u").alias("nu"), F.col("n_v").alias("nv"),
+                     (F.col("co").cast("double") / F.lit(float(_units(method)))).alias("co"))
 
 
 def user_similarity(inter: DataFrame, method: str = "cosine", bucket_size: int = DEFAULT_BUCKET,
                     distinct: bool = False) -> DataFrame:
     """(userId, otherId, sim) in both directions."""
-    pc = pair_cocounts(inter, method, bucket_size, distinct)
-    sim = pc.select("u", "v", cosine_norm("co", "nu", "nv").alias("sim"))
-    both = F.explode(F.array(
-        F.struct(F.col("u").alias("userId"), F.col("v").alias("otherId"), F.col("sim").alias("sim")),
-        F.struct(F.col("v").alias("userId"), F.col("u").alias("otherId"), F.col("sim").alias("sim"))))
-    return sim.select(both.alias("p")).select("p.userId", "p.otherId", "p.sim")
+    d = inter if distinct else materialized_interactions(inter)
+    pc = _both_ways(_pairs(d, _item_weights(d, method), bucket_size, _sizes(d)))
+    return pc.select("userId", "otherId", _sim(method).alias("sim"))
 
 
 def nearest_users(inter: DataFrame, k: int, method: str = "cosine",
@@ -147,85 +175,65 @@ def nearest_users(inter: DataFrame, k: int, method: str = "cosine",
                   hot_threshold: int | None = HOT_USERS) -> DataFrame:
     """(userId, otherId, sim, rank): the k most similar users, ties by smaller id.
 
-    Items with more than ``hot_threshold`` users take the exact pruned path of
-    :func:`_nearest_with_hot_items` (no pairs inside hot items) when they are
-    few; otherwise every item goes through the bucketed pair join."""
+    Users with the same set of hot items (more than ``hot_threshold`` users; None: no
+    item is hot) form a class.  A pair's sum is its sum over other items plus the
+    shared hot weight of its two classes.
+
+    * Pairs with a common other item come from the bucketed join over those items and
+      look the hot weight of their classes up.
+    * For pairs that share hot items only, a user's candidates depend on its class
+      alone: within a class with the same shared weight, fewer items and then the
+      smaller id come first, so the first k + 1 members of each class, and of all
+      those the best k + 1 for each class, hold the best k of every user (one of them
+      may be the user).  Each user is joined to the k + 1 rows of its class.
+
+    Class pairs come from the same bucketed join over (class, hot item), so they are
+    never more than the user pairs, and any number of hot items and classes is
+    allowed.  The rows are the same for every threshold."""
     d = inter if distinct else materialized_interactions(inter)
-    if hot_threshold is not None:
-        pruned = _nearest_with_hot_items(d, k, method, bucket_size, hot_threshold)
-        if pruned is not None:
-            return pruned
-    sims = user_similarity(d, method, bucket_size, distinct=True)
-    return top_k(sims, "userId", [F.desc(rank_key("sim")), F.asc("otherId")], k)
-
-
-def _nearest_with_hot_items(d: DataFrame, k: int, method: str, bucket_size: int,
-                            hot_threshold: int) -> DataFrame | None:
-    """Exact top-k neighbours without forming pairs inside hot items.
-
-    With H the items of more than ``hot_threshold`` users, a user's hot-item
-    set is a bit mask.  sim(u, v) = (c_cold(u, v) + W(mask_u & mask_v)) /
-    sqrt(n_u n_v), where c_cold sums the weights of common non-hot items and
-    W those of common hot items.
-    * Pairs with a common non-hot item come from the bucketed pair join over
-      non-hot items only, with their exact score.
-    * A pair sharing only hot items scores W(mask_u & mask_v) / sqrt(n_u n_v):
-      inside one mask class that falls as n_v grows, so for every user only the
-      first k + 1 members of each class in (n_v, id) order can reach the top k
-      (each earlier member scores at least as high and wins ties).  Those
-      members (classes x (k + 1) rows, size-checked, broadcast) are joined to
-      the users through each hot item of theirs.
-    The per-pair maximum of both scores then gives the exact top k.  Returns
-    None (use the plain path) when there is no hot item or when hot items or
-    mask classes exceed their bounds."""
-    spark = d.sparkSession
-    ni = d.groupBy("itemId").agg(F.count(F.lit(1)).alias("n_users"))
-    weight = F.lit(1.0) if method == "cosine" else iif_weight("n_users")
-    hot = ni.where(F.col("n_users") > hot_threshold).select("itemId", weight.alias("w"))
-    hot_rows = hot.orderBy("itemId").collect() if hot.count() <= HOT_MAX_ITEMS else None
-    if not hot_rows:
-        return None
-    bits = [(r["itemId"], i, float(r["w"])) for i, r in enumerate(hot_rows)]
-    hot_map = spark.createDataFrame(bits, "itemId long, bit int, hw double")
-
-    def w_of(mask):
-        out = F.lit(0.0)
-        for _, i, w in bits:
-            out = out + F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(w)).otherwise(F.lit(0.0))
-        return out
-
-    dh = d.join(F.broadcast(hot_map), "itemId")
-    masks = dh.groupBy("userId").agg(F.expr("bit_or(shiftleft(CAST(1 AS BIGINT), bit))").alias("mask"))
-    users = (d.groupBy("userId").agg(F.count(F.lit(1)).alias("n"))
-             .join(masks, "userId", "left").select("userId", "n", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")))
-    users = users.checkpoint(eager=True)
-
-    # members that can matter: the first k + 1 of each mask class by (n, id)
-    firsts = top_k(users.where(F.col("mask") != 0), "mask", [F.asc("n"), F.asc("userId")], k + 1, "_r")
-    n_firsts = firsts.count()
-    if n_firsts * len(bits) > HOT_MAX_CANDIDATES:
-        return None
-    set_bits = F.explode(F.expr(
-        f"filter(sequence(0, {len(bits) - 1}), i -> (mask & shiftleft(CAST(1 AS BIGINT), i)) != 0)"))
-    by_bit = firsts.select(set_bits.alias("bit"), F.col("userId").alias("otherId"), F.col("n").alias("nv"),
-                           F.col("mask").alias("mv"))
-    hot_users = users.where(F.col("mask") != 0).select("userId", "n", "mask", set_bits.alias("bit"))
-    hot_cand = (hot_users.join(F.broadcast(by_bit), "bit").where(F.col("userId") != F.col("otherId"))
-                .select("userId", "otherId",
-                        (w_of(F.col("mask").bitwiseAND(F.col("mv"))) / F.sqrt((F.col("n") * F.col("nv")).cast("double")))
-                        .alias("sim")))
-
-    # pairs with a common non-hot item, exact score including shared hot items
-    cold = d.join(F.broadcast(hot_map.select("itemId")), "itemId", "left_anti")
-    pc = _pairs(cold, users, ni, method, bucket_size)
-    full = pc.select("u", "v", ((F.col("co") + w_of(F.col("mu").bitwiseAND(F.col("mv"))))
-                                / F.sqrt((F.col("nu") * F.col("nv")).cast("double"))).alias("sim"))
-    both = F.explode(F.array(
-        F.struct(F.col("u").alias("userId"), F.col("v").alias("otherId"), F.col("sim").alias("sim")),
-        F.struct(F.col("v").alias("userId"), F.col("u").alias("otherId"), F.col("sim").alias("sim"))))
-    cold_sims = full.select(both.alias("p")).select("p.userId", "p.otherId", "p.sim")
-    sims = cold_sims.unionByName(hot_cand).groupBy("userId", "otherId").agg(F.max("sim").alias("sim"))
-    return top_k(sims, "userId", [F.desc(rank_key("sim")), F.asc("otherId")], k)
+    items = _item_weights(d, method)
+    top = items.agg(F.max("size").alias("m")).first()["m"] or 0
+    if hot_threshold is None or top <= hot_threshold:
+        near = _both_ways(_pairs(d, items, bucket_size, _sizes(d)))
+    else:
+        near = _near_by_class(d, items, k, bucket_size, hot_threshold)
+    return top_k(near, "userId", _best_first(), k).select("userId", "otherId", _sim(method).alias("sim"), "rank")
+
+
+def _near_by_class(d: DataFrame, items: DataFrame, k: int, bucket_size: int, hot_threshold: int) -> DataFrame:
+    """(userId, otherId, co, n, m) holding the best k of every user; see nearest_users."""
+    hot = items.where(F.col("size") > hot_threshold)
+    dh = d.join(hot.select("itemId", "w"), "itemId")
+    # a class is named by the count and two 64-bit hash sums of its items: no list is gathered
+    cls = F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(F.xxhash64("itemId")),
+                      F.bit_xor(F.xxhash64(F.lit("class"), "itemId")))
+    users = _sizes(d).join(dh.groupBy("userId").agg(cls.alias("cls")), "userId", "left").checkpoint(eager=True)
+    members = users.where(F.col("cls").isNotNull())
+    speakers = members.groupBy("cls").agg(F.min("userId").alias("userId"))
+    dc = dh.join(speakers, "userId").select(F.col("cls").alias("userId"), "itemId", "w").checkpoint(eager=True)
+    class_items = dc.groupBy("itemId").agg(F.count(F.lit(1)).alias("size"), F.max("w").alias("w"))
+    pc = _pairs(dc.select("userId", "itemId"), class_items, bucket_size)
+    own = dc.groupBy(F.col("userId").alias("cls"), F.col("userId").alias("other")).agg(F.sum("w").alias("shared"))
+    ways = F.explode(F.array(F.struct(F.col("u").alias("cls"), F.col("v").alias("other"), F.col("co").alias("shared")),
+                             F.struct(F.col("v").alias("cls"), F.col("u").alias("other"), F.col("co").alias("shared"))))
+    shared = pc.select(ways.alias("p")).select("p.*").unionByName(own).checkpoint(eager=True)
+
+    firsts = top_k(members, "cls", [F.asc("n"), F.asc("userId")], k + 1, "_r").select(
+        F.col("cls").alias("other"), F.col("userId").alias("otherId"), F.col("n").alias("m"))
+    cand = shared.join(firsts, "other").select("cls", "otherId", "m", F.col("shared").alias("co"))
+    cand = top_k(cand, "cls", _best_first(), k + 1, "_r").drop("_r")
+    by_class = (members.join(cand, "cls").where(F.col("userId") != F.col("otherId"))
+                .select("userId", "otherId", "co", "n", "m"))
+
+    pairs = _pairs(d, items.where(F.col("size") <= hot_threshold), bucket_size, users)
+    # a user without a class gets a key of its own, so such pairs stay spread out
+    keyed = pairs.withColumn("cls", F.coalesce("cls_u", F.concat(F.lit("-"), F.col("u").cast("string"))))
+    keyed = keyed.withColumn("other", F.coalesce("cls_v", F.concat(F.lit("-"), F.col("v").cast("string"))))
+    keyed = keyed.join(shared, ["cls", "other"], "left").withColumn(
+        "co", F.col("co") + F.coalesce(F.col("shared"), F.lit(0)))
+    near = top_k(_both_ways(keyed), "userId", _best_first(), k, "_r").drop("_r")
+    # a pair found both ways: the sum over all its items is the larger one
+    return (near.unionByName(by_class).groupBy("userId", "otherId", "n", "m").agg(F.max("co").alias("co")))
 
 
 def similar_users(inter: DataFrame, n: int = 10, method: str = "cosine",
@@ -244,15 +252,17 @@ def similar_users(inter: DataFrame, n: int = 10, method: str = "cosine",
 def usercf_recommend(inter: DataFrame, n: int = 5, k: int = 10, method: str = "cosine",
                      bucket_size: int = DEFAULT_BUCKET, hot_threshold: int | None = HOT_USERS) -> DataFrame:
     """(userId, itemId, score, rank): sum of the similarities of the k nearest
-    neighbours over items the user has not seen, top n (C3).  Users unknown to
-    the interactions get no rows."""
+    neighbours over items the user has not seen, top n, ties by smaller item id
+    (C3).  Similarities are summed in units of 1 / SCORE_UNITS, so the sum does
+    not depend on its order.  Users unknown to the interactions get no rows."""
     d = materialized_interactions(inter)
+    units = F.floor(F.col("sim") * F.lit(float(SCORE_UNITS)) + F.lit(0.5)).cast("long")
     nbrs = nearest_users(d, k, method, bucket_size, distinct=True,
-                         hot_threshold=hot_threshold).select("userId", "otherId", "sim")
+                         hot_threshold=hot_threshold).select("userId", "otherId", units.alias("units"))
     cand = nbrs.join(d.select(F.col("userId").alias("otherId"), "itemId"), "otherId")
     # sum first (partial + final aggregate), then drop seen items: the exclusion
     # is per (user, item), so the order does not change the result
-    scored = cand.groupBy("userId", "itemId").agg(F.sum("sim").alias("score"))
+    scored = cand.groupBy("userId", "itemId").agg(F.sum("units").alias("units"))
     scored = scored.join(d, ["userId", "itemId"], "left_anti")
-    top = top_k(scored, "userId", [F.desc(rank_key("score")), F.asc("itemId")], n)
-    return top.select("userId", "itemId", F.round("score", 6).alias("score"), "rank")
+    top = top_k(scored, "userId", [F.desc("units"), F.asc("itemId")], n)
+    return top.select("userId", "itemId", F.round(F.col("units") / F.lit(float(SCORE_UNITS)), 6).alias("score"), "rank")

@@ -52,19 +52,22 @@ wtok AS (
 
 
 def sims_cte(src: str, method: str) -> str:
-    """CTE 'sims' (userId, otherId, sim unrounded, both directions) over 'src'."""
-    w = "1.0" if method == "cosine" else "1.0 / ln(1 + a_n.n)"
+    """CTE 'sims' (userId, otherId, sim unrounded, ord, both directions) over 'src'.
+
+    Weights are whole numbers (IIF in units of 1e-12); the neighbours of a user are
+    ordered by ord = sum / sqrt(items of the other), i.e. by sim, ties by id."""
+    w, units = ("1", "1.0") if method == "cosine" else ("CAST(floor(1e12 / ln(1 + a_n.n) + 0.5) AS BIGINT)", "1e12")
     return f"""nu AS (SELECT userId, COUNT(*) AS n FROM {src} GROUP BY userId),
 ni AS (SELECT itemId, COUNT(*) AS n FROM {src} GROUP BY itemId),
 pc AS (
-  SELECT a.userId AS u, b.userId AS v, SUM({w}) AS co
-  FROM {src} a JOIN {src} b ON a.itemId = b.itemId AND a.userId < b.userId
+  SELECT a.userId AS u, b.userId AS v, CAST(SUM({w}) AS DOUBLE) AS co
+  FROM {src} a JOIN {src} b ON a.itemId = b.itemId AND a.userId <> b.userId
   JOIN ni a_n ON a_n.itemId = a.itemId
   GROUP BY 1, 2),
-s1 AS (
-  SELECT u, v, CASE WHEN n2.n > 0 THEN co / sqrt(n1.n * n2.n) ELSE 0.0 END AS sim
-  FROM pc JOIN nu n1 ON n1.userId = u JOIN nu n2 ON n2.userId = v),
-sims AS (SELECT u AS userId, v AS otherId, sim FROM s1 UNION ALL SELECT v, u, sim FROM s1)"""
+sims AS (
+  SELECT u AS userId, v AS otherId, co / CAST({units} AS DOUBLE) / sqrt(CAST(n1.n * n2.n AS DOUBLE)) AS sim,
+         co / sqrt(CAST(n2.n AS DOUBLE)) AS ord
+  FROM pc JOIN nu n1 ON n1.userId = u JOIN nu n2 ON n2.userId = v)"""
 
 
 def similar_users_sql(src_cte: str, src: str, method: str, n: int) -> str:
@@ -72,7 +75,7 @@ def similar_users_sql(src_cte: str, src: str, method: str, n: int) -> str:
 {sims_cte(src, method)},
 ranked AS (
   SELECT userId, otherId,
-         ROW_NUMBER() OVER (PARTITION BY userId ORDER BY round(sim, 10) DESC, otherId) AS rk
+         ROW_NUMBER() OVER (PARTITION BY userId ORDER BY ord DESC, otherId) AS rk
   FROM sims),
 lists AS (
   SELECT userId, string_agg(CAST(otherId AS VARCHAR), ';' ORDER BY rk) AS similarUsers
@@ -81,6 +84,21 @@ SELECT u.userId, COALESCE(l.similarUsers, '') AS similarUsers
 FROM (SELECT DISTINCT userId FROM {src}) u LEFT JOIN lists l ON l.userId = u.userId"""
 
 
+def usercf_sql(src: str, n: int, k: int) -> str:
+    return f"""{sims_cte(src, 'cosine')},
+nbrs AS (
+  SELECT userId, otherId, sim FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY userId ORDER BY ord DESC, otherId) AS rk
+    FROM sims) r WHERE rk <= {k}),
+cand AS (SELECT n.userId, i.itemId, n.sim FROM nbrs n JOIN {src} i ON i.userId = n.otherId),
+unseen AS (
+  SELECT * FROM cand c
+  WHERE NOT EXISTS (SELECT 1 FROM {src} s WHERE s.userId = c.userId AND s.itemId = c.itemId)),
+sc AS (SELECT userId, itemId, SUM(CAST(floor(sim * 1e15 + 0.5) AS BIGINT)) AS units FROM unseen GROUP BY 1, 2),
+rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY userId ORDER BY units DESC, itemId) AS rank FROM sc)
+SELECT userId, itemId, round(CAST(units AS DOUBLE) / 1e15, 6) AS score, rank FROM rk WHERE rank <= {n}"""
+
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["wide_to_long"] = f"""WITH {WIDE_TOKENS}
@@ -148,20 +166,19 @@ SELECT userId, otherId, round(sim, 6) AS sim FROM sims"""
 ORACLES["similar_users_wide"] = similar_users_sql(FX_INTER, "fx_inter", "cosine", 10)
 ORACLES["similar_users_iif"] = similar_users_sql(FX_EVENTS, "fx_events", "iif", 10)
 ORACLES["similar_users_hot_items"] = ORACLES["similar_users_iif"]
-
-ORACLES["usercf_recommend"] = f"""WITH {FX_INTER},
-{sims_cte('fx_inter', 'cosine')},
-nbrs AS (
-  SELECT userId, otherId, sim FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY userId ORDER BY round(sim, 10) DESC, otherId) AS rk
-    FROM sims) r WHERE rk <= 10),
-cand AS (SELECT n.userId, i.itemId, n.sim FROM nbrs n JOIN fx_inter i ON i.userId = n.otherId),
-unseen AS (
-  SELECT * FROM cand c
-  WHERE NOT EXISTS (SELECT 1 FROM fx_inter s WHERE s.userId = c.userId AND s.itemId = c.itemId)),
-sc AS (SELECT userId, itemId, SUM(sim) AS score FROM unseen GROUP BY 1, 2),
-rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY userId ORDER BY round(score, 10) DESC, itemId) AS rank FROM sc)
-SELECT userId, itemId, round(score, 6) AS score, rank FROM rk WHERE rank <= 5"""
+ORACLES["similar_users_text_ids"] = similar_users_sql(FX_EVENTS + """,
+fx_text AS (SELECT 'u' || CAST(userId AS VARCHAR) AS userId, 'i' || CAST(itemId AS VARCHAR) AS itemId FROM fx_events)""",
+                                                      "fx_text", "cosine", 10)
+ORACLES["similar_users_heavy"] = similar_users_sql("""fx_heavy AS (
+  SELECT DISTINCT 'u' || CAST(user_id % 50 AS VARCHAR) AS userId, 'e' || CAST(event_id AS VARCHAR) AS itemId FROM events
+  UNION ALL SELECT DISTINCT 'u' || CAST(user_id % 50 AS VARCHAR), 'all' FROM events
+  UNION ALL SELECT DISTINCT 'u' || CAST(user_id % 50 AS VARCHAR), 'third' FROM events WHERE user_id % 50 % 3 = 0)""",
+                                                   "fx_heavy", "cosine", 3)
+ORACLES["usercf_text_ids"] = f"""WITH {FX_EVENTS},
+fx_text AS (SELECT 'u' || CAST(userId AS VARCHAR) AS userId, 'i' || CAST(itemId AS VARCHAR) AS itemId FROM fx_events),
+{usercf_sql('fx_text', 5, 3)}"""
+
+ORACLES["usercf_recommend"] = f"WITH {FX_INTER},\n{usercf_sql('fx_inter', 5, 10)}"
 
 FACTORS = """uf AS (
   SELECT vec_id AS userId, CAST(embedding AS DOUBLE[]) AS f, CAST(label AS DOUBLE) / 20.0 AS bu

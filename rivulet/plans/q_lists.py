@@ -141,6 +141,37 @@ def q_similar_users_hot_items(spark, sf_dir):
     return sim.similar_users(inter, n=10, method="iif", hot_threshold=threshold)
 
 
+def _text_ids(spark, sf_dir):
+    inter = T.event_interactions(spark, sf_dir)
+    return inter.select(F.concat(F.lit("u"), F.col("userId").cast("string")).alias("userId"),
+                        F.concat(F.lit("i"), F.col("itemId").cast("string")).alias("itemId"))
+
+
+@query("similar_users_text_ids")
+def q_similar_users_text_ids(spark, sf_dir):
+    """Text ids, every item hot: all candidates come from classes of users."""
+    return sim.similar_users(_text_ids(spark, sf_dir), n=10, hot_threshold=1)
+
+
+@query("similar_users_heavy")
+def q_similar_users_heavy(spark, sf_dir):
+    """50 heavy users with one private item per event, so nearly equal similarities;
+    one hot item is common to all and one to a third."""
+    ev = T.read_table(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")).alias("userId"),
+        F.col("user_id"), F.col("event_id"))
+    inter = ev.select("userId", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("itemId"))
+    inter = inter.unionByName(ev.select("userId", F.lit("all").alias("itemId")))
+    third = ev.where(F.col("user_id") % 50 % 3 == 0).select("userId", F.lit("third").alias("itemId"))
+    return sim.similar_users(inter.unionByName(third), n=3, hot_threshold=4)
+
+
+@query("usercf_text_ids")
+def q_usercf_text_ids(spark, sf_dir):
+    r = sim.usercf_recommend(_text_ids(spark, sf_dir), n=5, k=3, hot_threshold=20)
+    return r.select("userId", "itemId", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("usercf_recommend")
 def q_usercf_recommend(spark, sf_dir):
     r = sim.usercf_recommend(T.interactions(spark, sf_dir), n=5, k=10)

@@ -80,15 +80,29 @@ def test_nearest_users_hot_item_path(spark, method):
     pairs |= {(500, 0), (501, 0), (501, 1)}                   # users with hot items only
     df = spark.createDataFrame(sorted(pairs), "userId long, itemId long")
     d = similarity.materialized_interactions(df)
-    got_rows = similarity._nearest_with_hot_items(d, 5, method, bucket_size=7, hot_threshold=25)
-    assert got_rows is not None                               # the pruned path was taken
+    got_rows = similarity.nearest_users(d, 5, method, bucket_size=7, distinct=True, hot_threshold=25)
     got = defaultdict(list)
     for r in sorted(got_rows.collect(), key=lambda r: (r.userId, r.rank)):
         got[r.userId].append(r.otherId)
     assert dict(got) == _brute_topk(pairs, method, 5)
-    plain = {r.userId: r.similarUsers for r in similarity.similar_users(df, 5, method, hot_threshold=None).collect()}
-    hot = {r.userId: r.similarUsers for r in similarity.similar_users(df, 5, method, hot_threshold=25).collect()}
-    assert plain == hot
+
+
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_nearest_users_same_for_every_threshold(spark, ids):
+    # users with many private items and nearly tied similarities, some exactly tied, and common items
+    pairs = set()
+    for u in range(12):
+        pairs |= {(u, 10_000 * (u + 1) + i) for i in range(2000 + u // 3)}
+        pairs.add((u, 0))
+        pairs |= {(u, j) for j in (1, 2, 3) if u % (j + 1) == 0}
+        pairs |= {(u, 5) for _ in range(u in (4, 7))}
+    df = spark.createDataFrame(sorted(pairs), "userId long, itemId long")
+    df = df.select(*[F.col(c).cast(ids).alias(c) for c in df.columns])
+    rows = {}
+    for t in (None, 0, 1, 2, 4, 6, 11, 12):
+        got = similarity.nearest_users(df, 2, "iif", bucket_size=5, hot_threshold=t).collect()
+        rows[t] = sorted((r.userId, r["rank"], r.otherId, r.sim) for r in got)
+    assert len(rows[None]) == 24 and all(r == rows[None] for r in rows.values())
 
 
 def test_similar_users_and_usercf(spark):
