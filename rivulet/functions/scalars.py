@@ -55,8 +55,9 @@ def gender_code(c: Column | str) -> Column:
 
 
 def clamp_int(c: Column | str, lo: int, hi: int) -> Column:
-    """Clamp to [lo, hi] then truncate toward zero."""
-    return F.least(F.greatest(_c(c).cast("double"), F.lit(float(lo))), F.lit(float(hi))).cast("int")
+    """Clamp to [lo, hi] then truncate toward zero; null stays null."""
+    x = _c(c).cast("double")
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi)))).cast("int")
 
 
 def round_half_even(c: Column | str) -> Column:

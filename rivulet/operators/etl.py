@@ -11,9 +11,6 @@ from pyspark.sql import Window
 from rivulet.functions.lists import long_to_wide, wide_to_long
 from rivulet.functions.scalars import clamp_int, normalize_gender, parse_duration, round_half_even
 
-MAX_BROADCAST_ROWS = 1_000_000   # bound for the small side of a lookup join
-LIST_PART_MAX = 100_000          # most ids gathered into one wide row
-
 
 def row_ids(df: DataFrame, order_cols: list[str], out_col: str = "row_id", start: int = 1,
             partitions: int | None = None) -> DataFrame:
@@ -71,39 +68,41 @@ def clean_items(raw: DataFrame, order_col: str = "key") -> DataFrame:
 
 
 def invert_lists(wide_items: DataFrame, item_col: str = "itemId", list_col: str = "userId",
-                 sep: str = ";", out_sep: str = "; ", max_items: int = LIST_PART_MAX) -> DataFrame:
-    """item -> users lists into user -> items lists (C16): (userId, part,
-    itemId) with items in item-row order, duplicates kept, blank user tokens
-    ignored.  A user's list is cut into ordered parts of at most
-    ``max_items`` items, so no group is gathered whole; users within the
-    bound have one row, part 0."""
+                 sep: str = ";", out_sep: str = "; ") -> DataFrame:
+    """item -> users lists into user -> items lists (C16): (userId, itemId), one
+    row per user, items in item-row order, duplicates kept, blank user tokens
+    ignored.  This is the wide form for a sink; ``inverted_pairs`` is the same
+    as long rows."""
+    long = inverted_pairs(wide_items, item_col, list_col, sep)
+    return long_to_wide(long, "userId", "itemId", ["itemId", "pos"], sep=out_sep)
+
+
+def inverted_pairs(wide_items: DataFrame, item_col: str = "itemId", list_col: str = "userId",
+                   sep: str = ";") -> DataFrame:
+    """(userId, itemId, pos): one row per non-blank user token of an item's list."""
     long = wide_to_long(wide_items.select(item_col, list_col), item_col, list_col, sep, drop_blank=True,
-                        pos_col="_pos")
-    long = long.select(F.col(list_col).alias("userId"), F.col(item_col).alias("itemId"), "_pos")
-    return long_to_wide(long, "userId", "itemId", ["itemId", "_pos"], sep=out_sep, max_items=max_items)
+                        pos_col="pos")
+    return long.select(F.col(list_col).alias("userId"), F.col(item_col).alias("itemId"), "pos")
+
+
+def renumber_users(raw: DataFrame, order_cols: list[str]) -> DataFrame:
+    """Raw users with ids 1..n in the order of ``order_cols`` (unique together) in place
+    of their own, which may repeat or have gaps; level dropped, age clamped to [14, 60]."""
+    u = row_ids(raw.drop("level", "id"), order_cols, "id")
+    return u.withColumn("age", clamp_int("age", 14, 60))
 
 
 def clean_users(raw: DataFrame, user_lists: DataFrame, seed: int = 42) -> DataFrame:
-    """raw users -> (userId, part, itemId, name, gender, following, age, fans)
-    (C17): level dropped if present, gender normalised, age clamped to
-    [14, 60], users without an item list dropped (inner join); ``part``
-    numbers the parts of very long lists (see ``invert_lists``)."""
+    """raw users -> (userId, itemId, name, gender, following, age, fans), one row
+    per user (C17): level dropped if present, gender normalised, the given age
+    clamped to [14, 60] (null stays null), users without an item list dropped
+    (inner join).  Ids are kept; ``renumber_users`` makes new ones first."""
     u = raw.drop("level")
     u = u.select(F.col("id").cast("string").alias("userId"), "name",
                  normalize_gender("sex", "id", seed).alias("gender"),
-                 "following", clamp_int(F.col("fans") / 150.0, 14, 60).alias("age"), "fans")
-    if "part" not in user_lists.columns:
-        user_lists = user_lists.withColumn("part", F.lit(0))
-    lists = user_lists.select(F.col("userId").cast("string").alias("userId"), "part", "itemId")
-    return u.join(lists, "userId").select("userId", "part", "itemId", "name", "gender", "following", "age",
-                                          "fans")
-
-
-def _lookup_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """Join with a side whose size is checked first; broadcast when bounded."""
-    n = small.count()
-    side = F.broadcast(small) if n <= MAX_BROADCAST_ROWS else small
-    return big.join(side, on, how)
+                 "following", clamp_int("age", 14, 60).alias("age"), "fans")
+    lists = user_lists.select(F.col("userId").cast("string").alias("userId"), "itemId")
+    return u.join(lists, "userId").select("userId", "itemId", "name", "gender", "following", "age", "fans")
 
 
 def category_share(items: DataFrame, cat_col: str = "category", watch_col: str = "watch") -> DataFrame:
@@ -123,25 +122,23 @@ def audience_quota(items: DataFrame, n_users: int, cat_col: str = "category", wa
     cats = category_share(items, cat_col, watch_col)
     pool = F.least(round_half_even(F.col("share") * F.lit(n_users) * F.lit(scale)), F.lit(n_users))
     cats = cats.select(cat_col, "cat_watch", F.when(pool > 0, pool).otherwise(F.lit(0)).alias("pool"))
-    j = _lookup_join(items.select("itemId", cat_col, watch_col), cats, cat_col, "left")
+    j = items.select("itemId", cat_col, watch_col).join(cats, cat_col, "left")
     ratio = F.col(watch_col) / F.col("cat_watch")
     k = F.greatest(F.lit(lo), F.least(round_half_even(F.col("pool") * F.lit(scale) * ratio), F.lit(hi)))
     ok = (F.col("cat_watch") > 0) & (F.col("pool") > 0)
     return j.select("itemId", cat_col, F.when(ok, k).otherwise(F.lit(0)).cast("long").alias("k"))
 
 
-def keyed_sample(df: DataFrame, group: str, id_col: str, k: int | str, seed: int = 42,
-                 k_max: int | None = None) -> DataFrame:
+def keyed_sample(df: DataFrame, group: str, id_col: str, k: int | str, seed: int = 42) -> DataFrame:
     """Deterministic sample without replacement: per group the rows with the
     smallest md5('seed:group:id') (T5, T6).  ``k`` is a number or a column
-    with a per-group size; ``k_max`` bounds it so the window keeps at most
-    k_max rows per group before the shuffle (WindowGroupLimit)."""
+    with a per-group size; its maximum is read first, so that the window keeps
+    no more rows of a group than that before the shuffle (WindowGroupLimit)."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"), F.col(id_col).cast("string")))
     w = Window.partitionBy(group).orderBy(key, F.col(id_col))
-    limit = k if isinstance(k, int) else k_max
+    limit = k if isinstance(k, int) else df.agg(F.max(k)).first()[0] or 0
     ranked = df.withColumn("rank", F.row_number().over(w))
-    if limit is not None:
-        ranked = ranked.where(F.col("rank") <= limit)
+    ranked = ranked.where(F.col("rank") <= limit)
     if isinstance(k, str):
         ranked = ranked.where(F.col("rank") <= F.col(k))
     return ranked

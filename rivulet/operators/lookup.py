@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions.lists import numeric_tokens, split_list
 from rivulet.functions.scalars import thousands, truncate_text
-from rivulet.operators.etl import _lookup_join, keyed_sample
+from rivulet.operators.etl import keyed_sample
 
 
 def popularity_lookup(ids: DataFrame, popularity: DataFrame, id_col: str = "itemId") -> DataFrame:
@@ -50,22 +50,16 @@ def cluster_peers(members: DataFrame, key: str, k: int = 10, seed: int = 7) -> D
     """(key, cluster, peerId, rank): up to k other members of the same cluster,
     a deterministic sample (smallest md5 of 'seed:cluster:id').
 
-    No pairs within a cluster are formed: each cluster keeps only its first
-    k + 1 members in sample order (a bounded table of clusters x (k + 1)
-    rows, broadcast after a size check), every member joins that table on its
-    cluster and drops itself; k peers always remain among k + 1."""
+    No pairs within a cluster are formed: each cluster keeps its first k + 1
+    members in sample order as one array, every member joins that row on its
+    cluster, drops itself and takes the first k of the rest, so nothing is
+    shuffled by member."""
     m = members.select(key, "cluster")
-    sample = keyed_sample(m, "cluster", key, k + 1, seed).select(
-        "cluster", F.col(key).alias("peerId"), F.col("rank").alias("_srank"))
-    j = _lookup_join(m, sample, "cluster").where(F.col(key) != F.col("peerId"))
-    return keyed_rank(j, key, k)
-
-
-def keyed_rank(j: DataFrame, key: str, k: int) -> DataFrame:
-    """Number each key's peers by their sample rank and keep the first k."""
-    w = Window.partitionBy(key).orderBy("_srank")
-    return (j.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-            .drop("_srank"))
+    sample = keyed_sample(m, "cluster", key, k + 1, seed).groupBy("cluster").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", key))), lambda x: x[key]).alias("_peers"))
+    others = F.slice(F.filter("_peers", lambda x: x != F.col(key)), 1, k)
+    return (m.join(sample, "cluster").select(key, "cluster", F.posexplode(others).alias("_pos", "peerId"))
+            .select("cluster", key, "peerId", (F.col("_pos") + 1).cast("long").alias("rank")))
 
 
 def user_peers(user_clusters: DataFrame, users: DataFrame, k: int = 10, seed: int = 7) -> DataFrame:

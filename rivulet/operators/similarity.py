@@ -51,15 +51,10 @@ def distinct_interactions(inter: DataFrame, user_col: str = "userId", item_col:
     return d.distinct()
 
 
-def user_item_sets(inter: DataFrame, max_items: int = 100_000) -> DataFrame:
-    """(userId, part, items): the sorted item set of each user, the edge form
-    of A2, cut into parts of at most ``max_items`` items (part 0 holds the
-    whole set for every user within the bound)."""
-    from pyspark.sql import Window
-    d = distinct_interactions(inter)
-    w = Window.partitionBy("userId").orderBy("itemId")
-    d = d.withColumn("part", F.floor((F.row_number().over(w) - 1) / F.lit(max_items)).cast("int"))
-    return d.groupBy("userId", "part").agg(F.sort_array(F.collect_list("itemId")).alias("items"))
+def user_item_sets(inter: DataFrame) -> DataFrame:
+    """(userId, items): the sorted item set of each user, the edge form of A2 for a
+    sink; the operators themselves work on ``distinct_interactions``."""
+    return distinct_interactions(inter).groupBy("userId").agg(F.sort_array(F.collect_list("itemId")).alias("items"))
 
 
 def items_per_user(inter: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ SELECT {strip_sql('tok')} AS itemId, COUNT(DISTINCT userId) AS user_count
 FROM wtok GROUP BY 1"""
 
 ORACLES["user_item_sets"] = f"""WITH {FX_INTER}
-SELECT userId, 0 AS part, string_agg(CAST(itemId AS VARCHAR), ';' ORDER BY itemId) AS items, COUNT(*) AS n_items
+SELECT userId, string_agg(CAST(itemId AS VARCHAR), ';' ORDER BY itemId) AS items, COUNT(*) AS n_items
 FROM fx_inter GROUP BY userId"""
 
 ORACLES["long_to_wide_parts"] = f"""WITH {FX_INTER},
@@ -405,7 +405,8 @@ RAW_USERS = """raw_users AS (
                            WHEN 'FURNITURE' THEN '女' WHEN 'HOUSEHOLD' THEN '女' WHEN 'BUILDING' THEN '保密' END AS sex,
          CAST(COALESCE(o.n_orders, 0) AS BIGINT) AS following,
          CAST(trunc(abs(c_acctbal)) AS BIGINT) AS fans,
-         CAST(c_nationkey % 8 - 1 AS INTEGER) AS level
+         CAST(c_nationkey % 8 - 1 AS INTEGER) AS level,
+         CASE WHEN c_custkey % 19 <> 0 THEN CAST(c_custkey % 80 AS INTEGER) END AS age
   FROM customer
   LEFT JOIN (SELECT o_custkey, COUNT(*) AS n_orders FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey)"""
 
@@ -440,7 +441,7 @@ INVERT = """inv_tok AS (
   SELECT itemId, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS tok
   FROM (SELECT itemId, string_split(userId, ';') AS s FROM items) x),
 inverted AS (
-  SELECT """ + strip_sql("tok") + """ AS userId, 0 AS part,
+  SELECT """ + strip_sql("tok") + """ AS userId,
          string_agg(CAST(itemId AS VARCHAR), '; ' ORDER BY itemId, pos) AS itemId
   FROM inv_tok WHERE """ + strip_sql("tok") + """ <> '' GROUP BY 1)"""
 
@@ -504,10 +505,15 @@ ORACLES["invert_lists"] = f"""WITH {FX_INTER}, {FX_META}, {ITEMS_BODY}, {INVERT}
 SELECT * FROM inverted"""
 
 ORACLES["clean_users"] = f"""WITH {FX_INTER}, {FX_META}, {ITEMS_BODY}, {INVERT}, {RAW_USERS}
-SELECT CAST(u.id AS VARCHAR) AS userId, l.part, l.itemId, u.name, {gender_sql('u.sex', 'u.id')} AS gender, u.following,
-       CAST(trunc(least(greatest(CAST(u.fans AS DOUBLE) / 150.0, 14.0), 60.0)) AS INTEGER) AS age, u.fans
+SELECT CAST(u.id AS VARCHAR) AS userId, l.itemId, u.name, {gender_sql('u.sex', 'u.id')} AS gender, u.following,
+       CASE WHEN u.age < 14 THEN 14 WHEN u.age > 60 THEN 60 ELSE u.age END AS age, u.fans
 FROM raw_users u JOIN inverted l ON l.userId = CAST(u.id AS VARCHAR)"""
 
+ORACLES["renumber_users"] = f"""WITH {RAW_USERS}
+SELECT ROW_NUMBER() OVER (ORDER BY mid) AS id, mid, name,
+       CASE WHEN age < 14 THEN 14 WHEN age > 60 THEN 60 ELSE age END AS age
+FROM raw_users"""
+
 ORACLES["category_share"] = f"""WITH {CLEAN_ITEMS}
 SELECT category, CAST(SUM(watch) AS BIGINT) AS cat_watch,
        round(CAST(SUM(watch) AS DOUBLE) / (SELECT CAST(SUM(watch) AS DOUBLE) FROM clean_items), 6) AS share
@@ -524,6 +530,69 @@ r AS (
   FROM aud)
 SELECT itemId, userId, rank FROM r WHERE rank <= 100 AND rank <= k"""
 
+SKEWED_ITEMS = """sk_items AS (
+  SELECT p_partkey AS itemId, CAST((p_partkey % 97) ** 3 AS BIGINT) AS watch,
+         CASE WHEN p_partkey % 97 = 0 THEN 'none' WHEN p_partkey % 97 = 1 THEN 'tiny'
+              WHEN p_partkey % 97 <> 2 THEN p_brand END AS category
+  FROM part)"""
+
+SPREAD = f"""{SKEWED_ITEMS},
+tot AS (SELECT SUM(watch) AS t FROM sk_items),
+pools AS (
+  SELECT category, SUM(watch) AS cw,
+         least(CAST(round_even(CAST(SUM(watch) AS DOUBLE) / CAST((SELECT t FROM tot) AS DOUBLE)
+                               * (SELECT COUNT(*) FROM customer) * 100, 0) AS BIGINT),
+               (SELECT COUNT(*) FROM customer)) AS pool
+  FROM sk_items WHERE category IS NOT NULL GROUP BY category),
+spread AS (
+  SELECT s.itemId, s.category,
+         CAST(CASE WHEN cw > 0 AND pool > 0
+              THEN least(greatest(round_even(pool * 100 * (CAST(watch AS DOUBLE) / CAST(cw AS DOUBLE)), 0), 20), 100)
+              ELSE 0 END AS BIGINT) AS k
+  FROM sk_items s LEFT JOIN pools p ON p.category = s.category)"""
+
+ORACLES["audience_quota_spread"] = f"""WITH {SPREAD} SELECT itemId, category, k FROM spread"""
+
+ORACLES["stratified_sample_spread"] = f"""WITH {FX_INTER}, {SPREAD},
+draw AS (
+  SELECT f.itemId, f.userId, s.k,
+         row_number() OVER (PARTITION BY f.itemId
+                            ORDER BY md5(concat_ws(':', '42', CAST(f.itemId AS VARCHAR), CAST(f.userId AS VARCHAR)))) AS rank
+  FROM fx_inter f JOIN spread s USING (itemId))
+SELECT itemId, userId, rank FROM draw WHERE rank <= k"""
+
+ORACLES["category_share_null"] = f"""WITH {SKEWED_ITEMS}
+SELECT category, CAST(SUM(watch) AS BIGINT) AS cat_watch,
+       round(CAST(SUM(watch) AS DOUBLE) / (SELECT CAST(SUM(watch) AS DOUBLE) FROM sk_items), 6) AS share
+FROM sk_items WHERE category IS NOT NULL GROUP BY category"""
+
+ORACLES["popularity_lookup_spread"] = """WITH c AS (
+  SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS itemId, COUNT(DISTINCT event_id) AS n
+  FROM events GROUP BY 1)
+SELECT p_partkey AS itemId, CAST(COALESCE(n, 0) AS BIGINT) AS user_count,
+       format('{:,}', CAST(COALESCE(n, 0) AS BIGINT)) AS user_count_text
+FROM part LEFT JOIN c ON c.itemId = p_partkey"""
+
+ORACLES["item_peers_long_titles"] = """SELECT p_partkey AS itemId,
+       substr(p_name || ' / ' || p_type || repeat(' / ' || p_name, CAST(p_partkey % 4 AS INTEGER)), 1, 35) AS title
+FROM part"""
+
+ORACLES["parse_duration_edges"] = """WITH t AS (
+  SELECT p_partkey AS key, CAST(p_partkey AS BIGINT) * 9999 AS h, p_size AS m, p_partkey % 60 AS s FROM part),
+x AS (
+  SELECT key, CASE key % 6
+           WHEN 0 THEN CAST(h AS VARCHAR) || ':' || CAST(m AS VARCHAR) || ':' || CAST(s AS VARCHAR)
+           WHEN 1 THEN CAST(h AS VARCHAR) || '99999999999999999999:0:1'
+           WHEN 2 THEN CAST(m AS VARCHAR) || ':' WHEN 3 THEN 'x:' || CAST(s AS VARCHAR)
+           WHEN 4 THEN '' ELSE CAST(m AS VARCHAR) || ':' || CAST(s AS VARCHAR) END AS duration,
+         CASE key % 6 WHEN 0 THEN h * 3600 + m * 60 + s WHEN 5 THEN m * 60 + s END AS secs
+  FROM t)
+SELECT key, duration, CASE WHEN secs <= 2147483647 THEN CAST(secs AS INTEGER) END AS length FROM x"""
+
+ORACLES["json_fields_missing"] = """SELECT event_id,
+       CASE WHEN event_id % 3 = 0 THEN '0' ELSE json_extract_string(props, '$.k') END AS k
+FROM events"""
+
 TITLE_SQL = "'<title>(.*?)</title>'"
 LANG_SQL = "'<html lang=\"(.*?)\"'"
 NUM_SQL = "'/([0-9]+)'"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rivulet.functions.scalars import normalize_gender, parse_duration, strip_tags
+from rivulet.functions.scalars import normalize_gender, parse_duration, strip_tags, truncate_text
 from rivulet.operators import etl, lookup, pages
 from rivulet.operators.popularity import item_popularity
 from rivulet.operators.rerank import rerank
@@ -98,6 +98,70 @@ def q_clean_users(spark, sf_dir):
     return etl.clean_users(T.raw_users(spark, sf_dir), lists)
 
 
+@query("renumber_users")
+def q_renumber_users(spark, sf_dir):
+    return etl.renumber_users(T.raw_users(spark, sf_dir), ["mid"]).select("id", "mid", "name", "age")
+
+
+@query("category_share_null")
+def q_category_share_null(spark, sf_dir):
+    s = etl.category_share(T.skewed_items(spark, sf_dir))
+    return s.select("category", "cat_watch", F.round("share", 6).alias("share"))
+
+
+@query("audience_quota_spread")
+def q_audience_quota_spread(spark, sf_dir):
+    """Quotas of 0, 20, 100 and between."""
+    return _quota(spark, sf_dir, T.skewed_items(spark, sf_dir))
+
+
+@query("stratified_sample_spread")
+def q_stratified_sample_spread(spark, sf_dir):
+    """Audiences larger than their quota, and quotas of 0."""
+    quota = _quota(spark, sf_dir, T.skewed_items(spark, sf_dir)).select("itemId", "k")
+    aud = T.interactions(spark, sf_dir).join(quota, "itemId")
+    s = etl.keyed_sample(aud, "itemId", "userId", "k", seed=42)
+    return s.select("itemId", "userId", F.col("rank").cast("long").alias("rank"))
+
+
+@query("popularity_lookup_spread")
+def q_popularity_lookup_spread(spark, sf_dir):
+    """Counts beyond a thousand, and items nobody used."""
+    ev = T.read_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("userId"), (F.get_json_object("props", "$.k").cast("long") % 7).alias("itemId"))
+    ids = T.read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("itemId"))
+    return lookup.popularity_lookup(ids, item_popularity(ev, ordered=False))
+
+
+@query("item_peers_long_titles")
+def q_item_peers_long_titles(spark, sf_dir):
+    """Titles below and beyond the cut."""
+    p = T.read_table(spark, sf_dir, "part")
+    more = F.expr("repeat(concat(' / ', p_name), CAST(p_partkey % 4 AS INT))")
+    long = F.concat("p_name", F.lit(" / "), "p_type", more)
+    return p.select(F.col("p_partkey").alias("itemId"), truncate_text(long, 35).alias("title"))
+
+
+@query("parse_duration_edges")
+def q_parse_duration_edges(spark, sf_dir):
+    """Hours beyond an int, missing and non-numeric parts."""
+    p = T.read_table(spark, sf_dir, "part")
+    k, m = F.col("p_partkey"), F.col("p_size").cast("string")
+    h, s = (k.cast("long") * 9999).cast("string"), (k % 60).cast("string")
+    dur = (F.when(k % 6 == 0, F.concat_ws(":", h, m, s))
+           .when(k % 6 == 1, F.concat(h, F.lit("99999999999999999999:0:1")))
+           .when(k % 6 == 2, F.concat(m, F.lit(":"))).when(k % 6 == 3, F.concat(F.lit("x:"), s))
+           .when(k % 6 == 4, F.lit("")).otherwise(F.concat_ws(":", m, s)))
+    return p.select(k.alias("key"), dur.alias("duration"), parse_duration(dur).alias("length"))
+
+
+@query("json_fields_missing")
+def q_json_fields_missing(spark, sf_dir):
+    ev = T.read_table(spark, sf_dir, "events")
+    ev = ev.withColumn("props", F.when(F.col("event_id") % 3 == 0, F.lit('{"other": 1}')).otherwise(F.col("props")))
+    return pages.event_fields(ev).select("event_id", "k")
+
+
 @query("category_share")
 def q_category_share(spark, sf_dir):
     s = etl.category_share(etl.clean_items(T.raw_items(spark, sf_dir)))
@@ -120,7 +184,7 @@ def q_stratified_sample(spark, sf_dir):
     md5 of '42:item:user'."""
     quota = _quota(spark, sf_dir, T.items_table(spark, sf_dir)).select("itemId", "k")
     aud = T.interactions(spark, sf_dir).join(quota, "itemId")
-    s = etl.keyed_sample(aud, "itemId", "userId", "k", seed=42, k_max=100)
+    s = etl.keyed_sample(aud, "itemId", "userId", "k", seed=42)
     return s.select("itemId", "userId", F.col("rank").cast("long").alias("rank"))
 
 

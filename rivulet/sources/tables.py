@@ -90,7 +90,7 @@ def users_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """raw_users: id, mid, name, sex (男/女/保密/null), following, fans, level (-1..6)."""
+    """raw_users: id, mid, name, sex (男/女/保密/null), following, fans, level (-1..6), age."""
     c = read_table(spark, sf_dir, "customer")
     n_orders = user_orders(spark, sf_dir)
     return (c.join(n_orders, c.c_custkey == n_orders.o_custkey, "left")
@@ -100,7 +100,17 @@ def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _segment_map("c_mktsegment", SEGMENT_SEX).alias("sex"),
                     F.coalesce(F.col("n_orders"), F.lit(0)).cast("bigint").alias("following"),
                     F.abs(F.col("c_acctbal")).cast("bigint").alias("fans"),
-                    (F.col("c_nationkey") % 8 - 1).cast("int").alias("level")))
+                    (F.col("c_nationkey") % 8 - 1).cast("int").alias("level"),
+                    F.when(F.col("c_custkey") % 19 != 0, F.col("c_custkey") % 80).cast("int").alias("age")))
+
+
+def skewed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """itemId, watch (a cube, so that quotas spread over their range) and category: brands,
+    one category without any watch, one with next to none, and null."""
+    p = read_table(spark, sf_dir, "part")
+    r = F.col("p_partkey") % 97
+    cat = F.when(r == 0, "none").when(r == 1, "tiny").when(r != 2, F.col("p_brand"))
+    return p.select(F.col("p_partkey").alias("itemId"), (r * r * r).cast("long").alias("watch"), cat.alias("category"))
 
 
 def item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

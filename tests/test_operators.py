@@ -280,11 +280,14 @@ def test_invert_and_clean_users(spark):
     items = spark.createDataFrame([(1, "3; 4"), (2, "4;;3 "), (3, None)], "itemId long, userId string")
     inv = {r.userId: r.itemId for r in etl.invert_lists(items).collect()}
     assert inv == {"3": "1; 2", "4": "1; 2"}
-    raw = spark.createDataFrame([(3, "m3", "a", "男", 5, 3000, 2), (4, "m4", "b", "保密", 1, 100, -1),
-                                 (5, "m5", "c", "女", 0, 0, 6)],
-                                "id long, mid string, name string, sex string, following long, fans long, level int")
+    raw = spark.createDataFrame([(3, "m3", "a", "男", 5, 3000, 2, 30), (4, "m4", "b", "保密", 1, 100, -1, 9),
+                                 (5, "m5", "c", "女", 0, 0, 6, 99)],
+                                "id long, mid string, name string, sex string, following long, fans long, level int, "
+                                "age int")
     cu = {r.userId: r for r in etl.clean_users(raw, etl.invert_lists(items)).collect()}
-    assert set(cu) == {"3", "4"} and cu["3"].gender == "M" and cu["3"].age == 20 and cu["4"].age == 14
+    assert set(cu) == {"3", "4"} and cu["3"].gender == "M" and cu["3"].age == 30 and cu["4"].age == 14
+    ids = {r.mid: (r.id, r.age) for r in etl.renumber_users(raw, ["name"]).collect()}
+    assert ids == {"m3": (1, 30), "m4": (2, 14), "m5": (3, 60)}
 
 
 def test_first_k_tie_rule():

@@ -52,3 +52,19 @@ def test_query(spark, con, name):
     c2, r2 = rows_of(dpdf, True)
     assert c1 == c2
     assert r1 == r2, (name, list((r1 - r2).items())[:3], list((r2 - r1).items())[:3])
+
+
+def test_branches_are_reached(con):
+    def count(name, cond):
+        return con.execute(f"SELECT COUNT(*) FROM ({ORACLES[name]}) q WHERE {cond}").fetchone()[0]
+    for cond in ("k = 0", "k = 20", "k > 20 AND k < 100", "k = 100", "category IS NULL"):
+        assert count("audience_quota_spread", cond), cond
+    cut = con.execute(f"SELECT COUNT(*) FROM ({ORACLES['distinct_pairs']}) q").fetchone()[0]
+    assert 0 < count("stratified_sample_spread", "TRUE") < cut
+    for cond in ("user_count = 0", "user_count_text LIKE '%,%' OR user_count > 100"):
+        assert count("popularity_lookup_spread", cond), cond
+    assert count("item_peers_long_titles", "length(title) = 35") and count("item_peers_long_titles", "length(title) < 35")
+    assert count("parse_duration_edges", "length IS NULL") and count("parse_duration_edges", "length IS NOT NULL")
+    assert count("json_fields_missing", "k = '0'") and count("json_fields_missing", "k <> '0'")
+    for cond in ("age = 14", "age = 60", "age > 14 AND age < 60", "age IS NULL"):
+        assert count("clean_users", cond), cond
