@@ -5,14 +5,14 @@ the scores are min-max scaled over the unseen items (all 0 when they are
 equal), and the best n are returned.  b_u cancels in ranking and scaling but
 is kept in the raw score.
 
-Physical plan of the scorer.  The item factors are a model, not data: their
-size is checked (rows x rank) and they are shipped to the executors in slices
-of at most ``max_slice_bytes``.  Users stream through one Arrow-batched
-``mapInPandas`` stage per slice; for a user who has seen s items the stage
-keeps only the top (n + s) items by (rounded score desc, item id asc) and the
-(s + 1) lowest scores, so users x items rows never exist.  An anti-join with
-the seen pairs and one window per user then give the exact top n, minimum and
-maximum over unseen items (at most s of the kept rows can be seen).
+Physical plan of the scorer.  Users and items are cut into hash blocks whose
+numpy form fits ``max_slice_bytes``; a block pair (user block, item block) is one
+group of a cogrouped ``applyInPandas``, so nothing passes through the driver and
+a task holds two blocks and a bounded score matrix.  The items a user has seen
+come along as a list per (user, item block) and are masked before selection, so
+each pair emits at most n rows per user, which also carry the lowest and
+highest unseen score of the block.  One window per user then gives the exact
+top n, minimum and maximum: users x blocks x n rows, never users x items.
 """
 
 from __future__ import annotations
@@ -24,16 +24,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rivulet.functions.lists import long_to_wide
+from rivulet.operators.etl import encode_ids
 from rivulet.operators.topk import rank_key, top_k
 
 SCORE_DIGITS = 9          # ranking key: raw score rounded to this many digits
-DEFAULT_SLICE_BYTES = 256 << 20
-CHUNK_CELLS = 4_000_000    # users x items scores held at once by one task (32 MB)
-TASK_CELLS = 50_000_000    # users x items scores per scorer task, sets the task count
-
-_CAND_SCHEMA = "userId long, itemId long, raw double, is_top boolean"
+DEFAULT_SLICE_BYTES = 64 << 20   # numpy bytes of one block of users or items
+CHUNK_CELLS = 4_000_000          # users x items scores held at once by one task (32 MB)
+TASK_CELLS = 5_000_000_000       # users x items scores of one block pair at most
+PAIRS_PER_CORE = 4               # block pairs per core at least, so that small tables use all cores
 
 
 def _dot(a: str, b: str):
@@ -48,20 +49,6 @@ def _with_bias(df: DataFrame, bias: str | None) -> DataFrame:
     return df.withColumn("bias", F.lit(0.0))
 
 
-def _slices(items: DataFrame, max_slice_bytes: int) -> list[DataFrame]:
-    """Cut the item factor table into slices whose numpy form fits the bound."""
-    n_items = items.count()
-    if n_items == 0:
-        return []
-    rank = items.select(F.size("features")).head()[0]
-    size = n_items * (rank + 2) * 8
-    n_slices = max(1, math.ceil(size / max_slice_bytes))
-    if n_slices == 1:
-        return [items]
-    tagged = items.withColumn("_slice", F.pmod(F.xxhash64("itemId"), F.lit(n_slices)))
-    return [tagged.where(F.col("_slice") == s).drop("_slice") for s in range(n_slices)]
-
-
 def _make_first_k():
     """Built inside a factory so that the function is shipped to the Python
     workers by value (they need not import this package)."""
@@ -92,40 +79,44 @@ def _make_first_k():
 _first_k = _make_first_k()
 
 
-def _slice_scorer(spark, item_slice: DataFrame, n: int):
-    pdf = item_slice.select("itemId", "features", "bias").toPandas().sort_values("itemId", kind="stable")
-    ids = pdf["itemId"].to_numpy(dtype=np.int64)
-    mat = (np.stack(pdf["features"].to_numpy()).astype(np.float64) if len(pdf)
-           else np.zeros((0, 0)))
-    ib = pdf["bias"].to_numpy(dtype=np.float64)
-    bc = spark.sparkContext.broadcast((ids, mat, ib))
-
-    def score(batches):
-        ids_, V, bi = bc.value
-        n_items = len(ids_)
-        chunk = max(1, CHUNK_CELLS // max(1, n_items))      # bounded score matrix per step
-        for b in batches:
-            if len(b) == 0 or n_items == 0:
-                continue
-            feats = b["features"].to_numpy()
-            ubias = b["bias"].to_numpy(dtype=np.float64)
-            seen = b["n_seen"].to_numpy(dtype=np.int64)
-            uid = b["userId"].to_numpy(dtype=np.int64)
-            for lo in range(0, len(b), chunk):
-                hi = min(len(b), lo + chunk)
-                S = np.stack(feats[lo:hi]).astype(np.float64) @ V.T
-                S += ubias[lo:hi, None]
-                S += bi[None, :]
+def _blocks(n_users: int, n_items: int, rank: int, max_slice_bytes: int, cores: int) -> tuple[int, int]:
+    """(user blocks, item blocks) by bytes, scores of a pair and cores."""
+    row = (rank + 2) * 8
+    ib = max(1, math.ceil(n_items * row / max_slice_bytes))
+    per_pair = max(1, min(max_slice_bytes // row, TASK_CELLS // max(1, math.ceil(n_items / ib))))
+    ub = max(math.ceil(n_users / per_pair), math.ceil(PAIRS_PER_CORE * cores / ib))
+    return max(1, min(ub, n_users)), ib
+
+
+def _pair_scorer(n: int):
+    def score(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        cols = ["userId", "itemId", "raw", "mn", "mx"]
+        out = [pd.DataFrame({"userId": users["userId"][:0], "itemId": items["itemId"][:0],
+                             "raw": np.zeros(0), "mn": np.zeros(0), "mx": np.zeros(0)})]
+        if len(users) and len(items):
+            items = items.sort_values("itemId", kind="stable")
+            ids = items["itemId"].to_numpy()
+            V = np.stack(items["features"].to_numpy()).astype(np.float64)
+            bi = items["bias"].to_numpy(dtype=np.float64)
+            chunk = max(1, CHUNK_CELLS // len(ids))      # bounded score matrix per step
+            for lo in range(0, len(users), chunk):
+                part = users.iloc[lo:lo + chunk]
+                S = np.stack(part["features"].to_numpy()).astype(np.float64) @ V.T
+                S += part["bias"].to_numpy(dtype=np.float64)[:, None] + bi[None, :]
+                seen = np.zeros(S.shape, dtype=bool)
+                for j, its in enumerate(part["seen"]):
+                    if its is not None and len(its):
+                        at = np.minimum(np.searchsorted(ids, its), len(ids) - 1)
+                        seen[j, at[ids[at] == its]] = True
                 K = np.sign(S) * np.floor(np.abs(S) * float(10 ** SCORE_DIGITS) + 0.5)   # = rank_key
-                s_j = seen[lo:hi]
-                top = _first_k(-K, np.minimum(n_items, n + s_j))          # key desc, then item id asc
-                bottom = _first_k(S, np.minimum(n_items, s_j + 1))        # lowest raw scores
-                rows = []
-                for sel, flag in ((top, True), (bottom, False)):
-                    r, c = np.nonzero(sel)
-                    rows.append(pd.DataFrame({"userId": uid[lo:hi][r], "itemId": ids_[c], "raw": S[r, c],
-                                              "is_top": np.full(len(r), flag)}))
-                yield pd.concat(rows, ignore_index=True)
+                K[seen] = -np.inf
+                top = _first_k(-K, np.minimum(n, (~seen).sum(axis=1)))    # key desc, then item id asc
+                mn = np.where(seen, np.inf, S).min(axis=1)
+                mx = np.where(seen, -np.inf, S).max(axis=1)
+                r, c = np.nonzero(top)
+                out.append(pd.DataFrame({"userId": part["userId"].to_numpy()[r], "itemId": ids[c],
+                                         "raw": S[r, c], "mn": mn[r], "mx": mx[r]}))
+        return pd.concat(out[1:] or out, ignore_index=True)[cols]
 
     return score
 
@@ -133,34 +124,32 @@ def _slice_scorer(spark, item_slice: DataFrame, n: int):
 def factor_candidates(users: DataFrame, items: DataFrame, seen: DataFrame, n: int,
                       user_bias: str | None = "bias", item_bias: str | None = "bias",
                       max_slice_bytes: int = DEFAULT_SLICE_BYTES) -> DataFrame:
-    """Unseen candidate rows (userId, itemId, raw, is_top) holding the exact
-    top n and the exact minimum of every user."""
+    """Unseen candidates (userId, itemId, raw, mn, mx): the best n of every user in
+    every item block, with the block's lowest and highest unseen score."""
     spark = users.sparkSession
     u = _with_bias(users.select("userId", "features", *([user_bias] if user_bias in users.columns else [])), user_bias)
     it = _with_bias(items.select("itemId", "features", *([item_bias] if item_bias in items.columns else [])), item_bias)
-    seen_d = seen.select("userId", "itemId").distinct()
-    n_seen = seen_d.groupBy("userId").agg(F.count(F.lit(1)).alias("n_seen"))
-    u = (u.join(n_seen, "userId", "left")
-         .select("userId", "features", "bias", F.coalesce("n_seen", F.lit(0)).cast("long").alias("n_seen")))
-    slices = _slices(it.select("itemId", "features", "bias"), max_slice_bytes)
-    # The scorer is CPU-bound on a small input: spread users by work (users x
-    # items), not by bytes, so AQE does not coalesce it onto a few tasks.
-    n_items = sum(sl.count() for sl in slices) if len(slices) > 1 else (slices[0].count() if slices else 0)
-    n_users = u.count()
-    n_tasks = max(spark.sparkContext.defaultParallelism, math.ceil(n_users * n_items / TASK_CELLS))
-    u = u.repartition(n_tasks)
-    if len(slices) > 1:
-        # every slice streams the same users: write them once, read them per slice
-        from rivulet.session import checkpoint_dir
-        checkpoint_dir(spark)
-        u = u.checkpoint(eager=True)
-    parts = [u.mapInPandas(_slice_scorer(spark, s, n), _CAND_SCHEMA) for s in slices]
-    if not parts:
-        return spark.createDataFrame([], _CAND_SCHEMA)
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    return cand.join(seen_d, ["userId", "itemId"], "left_anti")
+    uid, iid = u.schema["userId"].dataType, it.schema["itemId"].dataType
+    schema = StructType([StructField("userId", uid), StructField("itemId", iid),
+                         *[StructField(c, DoubleType()) for c in ("raw", "mn", "mx")]])
+    facts = it.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("rank")).first()
+    ub, ib = _blocks(u.count(), facts["n"], facts["rank"] or 0, max_slice_bytes, spark.sparkContext.defaultParallelism)
+
+    def block(c: str, k: int):
+        return F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+
+    lists = (seen.select(F.col("userId").cast(uid), F.col("itemId").cast(iid)).where("itemId IS NOT NULL").distinct()
+             .groupBy("userId", block("itemId", ib).alias("ib")).agg(F.collect_list("itemId").alias("seen")))
+    u = u.select("userId", "features", "bias", block("userId", ub).alias("ub"),
+                 F.explode(F.sequence(F.lit(0), F.lit(ib - 1))).alias("ib"))
+    u = u.join(lists, ["userId", "ib"], "left").select("ub", "ib", "userId", "features", "bias", "seen")
+    it = it.select(F.explode(F.sequence(F.lit(0), F.lit(ub - 1))).alias("ub"), block("itemId", ib).alias("ib"),
+                   "itemId", "features", "bias")
+    # The work of a pair is not its bytes: an explicit partition count keeps AQE from joining pairs up.
+    parts = ub * ib
+    pairs = [df.repartition(parts, "ub", "ib").groupBy("ub", "ib") for df in (u, it)]
+    fn = _pair_scorer(n)
+    return pairs[0].cogroup(pairs[1]).applyInPandas(fn, schema)
 
 
 def factor_recommend(users: DataFrame, items: DataFrame, seen: DataFrame, n: int = 5,
@@ -171,10 +160,9 @@ def factor_recommend(users: DataFrame, items: DataFrame, seen: DataFrame, n: int
     n unseen items gets fewer rows; one who saw everything gets none."""
     cand = factor_candidates(users, items, seen, n, user_bias, item_bias, max_slice_bytes)
     w = Window.partitionBy("userId")
-    cand = cand.withColumn("mn", F.min("raw").over(w)).withColumn("mx", F.max("raw").over(w))
+    cand = cand.withColumn("mn", F.min("mn").over(w)).withColumn("mx", F.max("mx").over(w))
     denom = F.when(F.col("mx") == F.col("mn"), F.lit(1.0)).otherwise(F.col("mx") - F.col("mn"))
-    top = cand.where("is_top")
-    top = top_k(top, "userId", [F.desc(rank_key("raw", SCORE_DIGITS)), F.asc("itemId")], n)
+    top = top_k(cand, "userId", [F.desc(rank_key("raw", SCORE_DIGITS)), F.asc("itemId")], n)
     return top.select("userId", "itemId", F.round((F.col("raw") - F.col("mn")) / denom, digits).alias("score"),
                       F.col("rank").cast("long").alias("rank"))
 
@@ -265,9 +253,6 @@ def factor_loss(users: DataFrame, items: DataFrame, seen: DataFrame, reg: float
     return row.select(F.round(mse + regt, 6).alias("loss"), F.round(mse, 6).alias("mse"))
 
 
-INT_MAX = 2**31 - 1
-
-
 def train_factors(inter: DataFrame, rank: int = 32, max_iter: int = 10, reg: float = 0.01,
                   unobserved_weight: float = 0.1, seed: int = 42):
     """Implicit-feedback factors with ALS (C4).  Returns (user_factors,
@@ -275,14 +260,14 @@ def train_factors(inter: DataFrame, rank: int = 32, max_iter: int = 10, reg: flo
 
     Every distinct interaction gets rating 1 (P15).  Weight 1 for observed and
     ``unobserved_weight`` for the rest is ALS confidence 1 + alpha with
-    alpha = 1 / unobserved_weight - 1.  Ids must fit an int (checked)."""
+    alpha = 1 / unobserved_weight - 1.  Ids of any type: ALS itself works on dense
+    codes 0..n-1 (``encode_ids``), which the factors are decoded from."""
     from pyspark.ml.recommendation import ALS
 
     d = inter.select("userId", "itemId").where("userId IS NOT NULL AND itemId IS NOT NULL").distinct()
-    rng = d.agg(F.min("userId"), F.max("userId"), F.min("itemId"), F.max("itemId")).head()
-    if min(rng[0], rng[2]) < 0 or max(rng[1], rng[3]) > INT_MAX:
-        raise ValueError("ids outside int range: encode them first (encode_ids)")
-    ratings = d.select(F.col("userId").cast("int").alias("u"), F.col("itemId").cast("int").alias("i"),
+    d, users = encode_ids(d, "userId", "u")
+    d, items = encode_ids(d, "itemId", "i")
+    ratings = d.select(F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"),
                        F.lit(1.0).alias("rating"))
     # one block per core: ALS's fixed default of 10 under-uses a large cluster
     blocks = max(2, inter.sparkSession.sparkContext.defaultParallelism)
@@ -290,6 +275,6 @@ def train_factors(inter: DataFrame, rank: int = 32, max_iter: int = 10, reg: flo
               alpha=1.0 / unobserved_weight - 1.0, userCol="u", itemCol="i", ratingCol="rating",
               seed=seed, coldStartStrategy="drop", numUserBlocks=blocks, numItemBlocks=blocks)
     model = als.fit(ratings)
-    uf = model.userFactors.select(F.col("id").cast("long").alias("userId"), "features")
-    itf = model.itemFactors.select(F.col("id").cast("long").alias("itemId"), "features")
+    uf = model.userFactors.join(users, F.col("id") == F.col("u")).select("userId", "features")
+    itf = model.itemFactors.join(items, F.col("id") == F.col("i")).select("itemId", "features")
     return uf, itf

@@ -213,6 +213,9 @@ ORACLES["factor_recommend_sliced"] = ORACLES["factor_recommend"]
 ORACLES["factor_recommend_one_user"] = f"""WITH {FACTORS}
 SELECT userId, itemId, round(score, 4) AS score, rank FROM ranked WHERE rank <= 5 AND userId = 2"""
 
+ORACLES["factor_recommend_unknown_user"] = f"""WITH {FACTORS}
+SELECT userId, itemId, round(score, 4) AS score, rank FROM ranked WHERE rank <= 5 AND userId = -1"""
+
 ORACLES["retrieval_wide"] = f"""WITH {FACTORS}
 SELECT userId, string_agg(CAST(itemId AS VARCHAR), '; ' ORDER BY rank) AS itemId
 FROM ranked WHERE rank <= 100 GROUP BY userId"""

@@ -154,6 +154,29 @@ def test_factor_recommend_brute_force(spark, slice_bytes):
     assert 11 not in got and got[10] == [(106, 0.0)]
 
 
+def test_factor_candidates_keep_n_rows_per_user_and_block(spark):
+    rng = np.random.default_rng(5)
+    users = spark.createDataFrame([(f"u{i}", rng.normal(size=4).tolist()) for i in range(20)],
+                                  "userId string, features array<double>")
+    items = spark.createDataFrame([(f"i{i}", rng.normal(size=4).tolist()) for i in range(400)],
+                                  "itemId string, features array<double>")
+    seen = spark.createDataFrame([(f"u{u}", f"i{i}") for u in range(20) for i in range(u, u + 100)],
+                                 "userId string, itemId string")
+    blocks = factors._blocks(20, 400, 4, 2000, spark.sparkContext.defaultParallelism)[1]
+    assert blocks > 5
+    cand = factors.factor_candidates(users, items, seen, 3, max_slice_bytes=2000)
+    assert cand.count() <= 20 * blocks * 3 and cand.join(seen, ["userId", "itemId"], "left_semi").count() == 0
+    small = factors.factor_recommend(users, items, seen, 3, max_slice_bytes=2000).collect()
+    assert sorted(small) == sorted(factors.factor_recommend(users, items, seen, 3).collect()) and len(small) == 60
+
+
+def test_train_factors_any_id_type(spark):
+    big = [(f"user {u}", 2 ** 40 + i) for u in range(12) for i in range(10) if (u + i) % 3]
+    uf, itf = factors.train_factors(spark.createDataFrame(big, "userId string, itemId long"), rank=3, max_iter=2)
+    assert {r.userId for r in uf.collect()} == {u for u, _ in big}
+    assert {r.itemId for r in itf.collect()} == {i for _, i in big}
+
+
 def test_factor_loss_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     U = {u: rng.normal(size=3).astype(np.float32).tolist() for u in range(6)}
