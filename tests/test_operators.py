@@ -255,19 +255,20 @@ def test_row_ids_many_partitions(spark, reuse):
     assert [p[1] for p in pairs] == list(range(1, 5001))
 
 
-def test_kmeans_assign_paths_agree(spark):
+def test_kmeans_assign_same_for_every_block_size(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    pts = spark.createDataFrame([(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(200)],
-                                "vec_id long, embedding array<float>")
+    pts = spark.createDataFrame([(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(200)]
+                                + [(999, None)], "vec_id long, embedding array<float>")
     cen = pts.where("vec_id < 5")
-    a = {r.vec_id: (r.cluster, round(r.dist, 9)) for r in cl.kmeans_assign(pts, cen).collect()}
-    old = cl.EXPR_CELLS
-    cl.EXPR_CELLS = 0
-    try:
-        b = {r.vec_id: (r.cluster, round(r.dist, 9)) for r in cl.kmeans_assign(pts, cen).collect()}
-    finally:
-        cl.EXPR_CELLS = old
-    assert a == b and all(a[i] == (i, 0.0) for i in range(5))
+    a = {r.vec_id: (r.cluster, r.dist) for r in cl.kmeans_assign(pts, cen).collect()}
+    monkeypatch.setattr(cl, "BLOCK_CELLS", 1)
+    b = {r.vec_id: (r.cluster, r.dist) for r in cl.kmeans_assign(pts, cen).collect()}
+    assert a == b and all(a[i] == (i, 0.0) for i in range(5)) and a[999] == (None, None)
+    X = {r.vec_id: np.array(r.embedding, dtype=float) for r in pts.where("vec_id < 999").collect()}
+    assert all(a[i][0] == min(range(5), key=lambda c: ((x - X[c]) ** 2).sum()) for i, x in X.items())
+    monkeypatch.setattr(cl, "MAX_MODEL_BYTES", 8)
+    with pytest.raises(ValueError):
+        cl.kmeans_assign(pts, cen)
 
 
 def test_kmeans_labels_every_row(spark):
