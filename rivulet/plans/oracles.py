@@ -220,6 +220,29 @@ ORACLES["retrieval_wide"] = f"""WITH {FACTORS}
 SELECT userId, string_agg(CAST(itemId AS VARCHAR), '; ' ORDER BY rank) AS itemId
 FROM ranked WHERE rank <= 100 GROUP BY userId"""
 
+ORACLES["als_recommend_facts"] = f"""WITH {FX_INTER}
+SELECT COUNT(DISTINCT userId) AS users, 5 * COUNT(DISTINCT userId) AS n_rows, CAST(0 AS BIGINT) AS seen_rows,
+       CAST(0 AS BIGINT) AS bad_scores, CAST(0 AS BIGINT) AS bad_firsts
+FROM fx_inter"""
+
+ORACLES["kmeans_users_facts"] = """SELECT COUNT(*) AS n_rows, COUNT(DISTINCT c_custkey) AS n_ids,
+       COUNT(c_custkey) AS labelled, TRUE AS parted FROM customer"""
+
+ORACLES["kmeans_items_facts"] = """SELECT COUNT(*) AS n_rows, COUNT(DISTINCT p_partkey) AS n_ids,
+       COUNT(p_partkey) AS labelled, TRUE AS parted FROM part"""
+
+ORACLES["item_popularity_approx_facts"] = f"""WITH {FX_INTER}
+SELECT COUNT(DISTINCT itemId) AS items, CAST(0 AS BIGINT) AS off FROM fx_inter"""
+
+ORACLES["batch_facts"] = f"""WITH {FX_INTER},
+a AS (SELECT COUNT(DISTINCT userId) AS u, COUNT(DISTINCT itemId) AS i FROM fx_inter),
+unseen AS (SELECT userId, (SELECT i FROM a) - COUNT(*) AS n FROM fx_inter GROUP BY userId)
+SELECT 'F3' AS output, u AS rows FROM a
+UNION ALL SELECT 'F4', CAST(SUM(least(n, 5)) AS BIGINT) FROM unseen
+UNION ALL SELECT 'Retrieval', COUNT(*) FROM unseen WHERE n > 0
+UNION ALL SELECT 'F6', COUNT(*) FROM part
+UNION ALL SELECT 'F7', COUNT(*) FROM customer"""
+
 ORACLES["factor_loss"] = f"""WITH {FACTORS},
 cells AS (
   SELECT sc.raw AS p, CASE WHEN s.userId IS NULL THEN 0.0 ELSE 1.0 END AS y
@@ -622,8 +645,7 @@ ORACLES["page_fields"] = f"""SELECT page_id,
   {first_class_sql('html', LEVELS)} AS level
 FROM pages WHERE contains(html, '<title>')"""
 
-ORACLES["strip_tags"] = """SELECT page_id,
-  regexp_replace(regexp_extract(html, '<p>(.*?)</p>', 1), '<[^>]+>', '', 'g') AS text FROM pages"""
+ORACLES["strip_tags"] = """SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS text FROM pages"""
 
 ORACLES["level_class"] = f"""SELECT page_id, {first_class_sql('html', LEVELS)} AS level,
   {first_class_sql('url', SECTIONS_SQL)} AS section FROM pages"""

@@ -195,9 +195,7 @@ def q_page_fields(spark, sf_dir):
 
 @query("strip_tags")
 def q_strip_tags(spark, sf_dir):
-    p = T.read_table(spark, sf_dir, "pages")
-    first_p = F.regexp_extract("html", r"<p>(.*?)</p>", 1)
-    return p.select("page_id", strip_tags(first_p).alias("text"))
+    return T.read_table(spark, sf_dir, "pages").select("page_id", strip_tags("html").alias("text"))
 
 
 @query("level_class")

@@ -61,6 +61,22 @@ def q_kmeans_items(spark, sf_dir):
     return cl.kmeans(feats, cl.ITEM_FEATURES, k=50).select("itemId", "cluster")
 
 
+def _cluster_facts(labelled, k):
+    return labelled.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(labelled.columns[0]).alias("n_ids"),
+                        F.sum((F.coalesce("cluster", F.lit(-1)).between(0, k - 1)).cast("long")).alias("labelled"),
+                        (F.countDistinct("cluster") > 1).alias("parted"))
+
+
+@query("kmeans_users_facts")
+def q_kmeans_users_facts(spark, sf_dir):
+    return _cluster_facts(q_kmeans_users(spark, sf_dir), 20)
+
+
+@query("kmeans_items_facts")
+def q_kmeans_items_facts(spark, sf_dir):
+    return _cluster_facts(q_kmeans_items(spark, sf_dir), 50)
+
+
 @query("streak_cap")
 def q_streak_cap(spark, sf_dir):
     known = rr.known_items(T.ranked_lists(spark, sf_dir), T.item_meta(spark, sf_dir))
