@@ -34,7 +34,7 @@ SCORE_DIGITS = 9          # ranking key: raw score rounded to this many digits
 DEFAULT_SLICE_BYTES = 64 << 20   # numpy bytes of one block of users or items
 CHUNK_CELLS = 4_000_000          # users x items scores held at once by one task (32 MB)
 TASK_CELLS = 5_000_000_000       # users x items scores of one block pair at most
-PAIRS_PER_CORE = 4               # block pairs per core at least, so that small tables use all cores
+PAIRS_PER_CORE = 2               # block pairs per core at least, so that small tables use all cores
 
 
 def _dot(a: str, b: str):
@@ -103,16 +103,18 @@ def _pair_scorer(n: int):
                 part = users.iloc[lo:lo + chunk]
                 S = np.stack(part["features"].to_numpy()).astype(np.float64) @ V.T
                 S += part["bias"].to_numpy(dtype=np.float64)[:, None] + bi[None, :]
-                seen = np.zeros(S.shape, dtype=bool)
-                for j, its in enumerate(part["seen"]):
-                    if its is not None and len(its):
-                        at = np.minimum(np.searchsorted(ids, its), len(ids) - 1)
-                        seen[j, at[ids[at] == its]] = True
-                K = np.sign(S) * np.floor(np.abs(S) * float(10 ** SCORE_DIGITS) + 0.5)   # = rank_key
-                K[seen] = -np.inf
-                top = _first_k(-K, np.minimum(n, (~seen).sum(axis=1)))    # key desc, then item id asc
-                mn = np.where(seen, np.inf, S).min(axis=1)
-                mx = np.where(seen, -np.inf, S).max(axis=1)
+                lists = [x if x is not None else ids[:0] for x in part["seen"]]
+                r, flat = np.repeat(np.arange(len(part)), [len(x) for x in lists]), np.concatenate(lists)
+                c = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+                hit = ids[c] == flat
+                r, c = r[hit], c[hit]                         # cells of seen items
+                S[r, c] = np.inf
+                mn = S.min(axis=1)
+                S[r, c] = -np.inf
+                mx = S.max(axis=1)
+                K = -np.sign(S) * np.floor(np.abs(S) * float(10 ** SCORE_DIGITS) + 0.5)   # = -rank_key
+                unseen = len(ids) - np.bincount(r, minlength=len(part))
+                top = _first_k(K, np.minimum(n, unseen))      # key desc, then item id asc
                 r, c = np.nonzero(top)
                 out.append(pd.DataFrame({"userId": part["userId"].to_numpy()[r], "itemId": ids[c],
                                          "raw": S[r, c], "mn": mn[r], "mx": mx[r]}))

@@ -68,10 +68,10 @@ def q_item_popularity(spark, sf_dir):
 
 @query("item_popularity_approx_facts")
 def q_item_popularity_approx_facts(spark, sf_dir):
-    """Items of the sketch form, and those off by more than three standard errors and one user."""
+    """Items of the sketch form, and those off by more than five standard errors and one user."""
     sketch = q_item_popularity_approx(spark, sf_dir).withColumnRenamed("user_count", "approx")
     both = pop.item_popularity(T.interactions(spark, sf_dir), ordered=False).join(sketch, "itemId", "left")
-    off = F.abs(F.col("approx") - F.col("user_count")) > F.greatest(F.lit(1.0), F.col("user_count") * 0.15)
+    off = F.abs(F.col("approx") - F.col("user_count")) > F.greatest(F.lit(1.0), F.col("user_count") * 0.25)
     return both.agg(F.count("approx").alias("items"), F.sum(off.cast("long")).alias("off"))
 
 
