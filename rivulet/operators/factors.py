@@ -266,10 +266,10 @@ def train_factors(inter: DataFrame, rank: int = 32, max_iter: int = 10, reg: flo
     codes 0..n-1 (``encode_ids``), which the factors are decoded from."""
     from pyspark.ml.recommendation import ALS
 
-    d = inter.select("userId", "itemId").where("userId IS NOT NULL AND itemId IS NOT NULL").distinct()
-    d, users = encode_ids(d, "userId", "u")
-    d, items = encode_ids(d, "itemId", "i")
-    ratings = d.select(F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"),
+    d = inter.select("userId", "itemId").where("userId IS NOT NULL AND itemId IS NOT NULL")
+    _, users = encode_ids(d, "userId", "u")
+    _, items = encode_ids(d, "itemId", "i")
+    ratings = d.distinct().join(users, "userId").join(items, "itemId").select(F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"),
                        F.lit(1.0).alias("rating"))
     # one block per core: ALS's fixed default of 10 under-uses a large cluster
     blocks = max(2, inter.sparkSession.sparkContext.defaultParallelism)
