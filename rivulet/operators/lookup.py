@@ -5,7 +5,6 @@ P8, P14, F16, F17).  Each runs for all keys at once; filter by id for one.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.lists import numeric_tokens, split_list
