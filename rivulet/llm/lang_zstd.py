@@ -1,7 +1,8 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary made of a bounded sample
-of its labelled texts.  A text is lower-cased, stripped of ASCII digits and
+of its labelled texts: a few pieces from all over each of them, without phrases
+that another language's sample has too or that were already taken.  A text is lower-cased, stripped of ASCII digits and
 signs, cut into blocks (the whole text, so the dictionary matters throughout)
 and compressed with every dictionary; the smallest total names the language.
 The score is the relative margin to the second; below ``min_margin`` the answer
@@ -22,9 +23,12 @@ from pyspark.sql import types as T
 
 from rivulet.llm.common import fresh, map_text
 
-#: Texts sampled for each language, and bytes taken of one: the bound of what is learned from.
+#: Texts sampled for each language, and characters taken of one, in pieces: the bound of what is learned from.
 SAMPLE_TEXTS = 448
-SAMPLE_BYTES = 256
+SAMPLE_CHARS = 256
+PIECES = 4
+#: Words in a row that are taken once.
+PHRASE = 4
 DICT_BYTES = 112 * 1024
 BLOCK_BYTES = 2048
 LEVEL = 6
@@ -49,18 +53,64 @@ def held_out(id_col: str) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary bytes of every language of the documents that are not held out.
 
-    The sample of a language are the documents with the smallest id hashes;
-    rows with a null id, text or language are not learned from.
+    The sample of a language are the documents with the smallest id hashes, of
+    each the pieces of ``_pieces``; rows with a null id, text or language are
+    not learned from.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).where(~held_out("id"))
-    rows = rows.select("lang", F.xxhash64("id").alias("h"), "id", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-    first = Window.partitionBy("lang").orderBy("h", "id", "text")
+    rows = rows.select("lang", F.xxhash64("id").alias("h"), "id", _pieces("id", "text").alias("pieces"))
+    first = Window.partitionBy("lang").orderBy("h", "id", "pieces")
     got = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_TEXTS).collect()
-    sample: dict[str, list[str]] = {}
+    sample: dict[str, list[list[str]]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], -r["rank"])):
-        sample.setdefault(r["lang"], []).append(r["text"])
-    return _dictionaries(_cleaned(sample))
+        sample.setdefault(r["lang"], []).append(r["pieces"])
+    return _dictionaries(_cleaned(_distinct(sample)))
+
+
+def _pieces(id_col: str, text_col: str) -> Column:
+    """A text up to ``SAMPLE_CHARS``, else a piece at an id-hashed place of each of its ``PIECES`` equal parts."""
+    n, size = F.length(text_col), SAMPLE_CHARS // PIECES
+    part = F.floor(n / PIECES).cast("int")
+    cut = []
+    for i in range(PIECES):
+        at = F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), F.greatest(part - size + 1, F.lit(1))).cast("int")
+        cut.append(F.substring(F.col(text_col), part * i + at + 1, F.lit(size)))
+    return F.when(n <= SAMPLE_CHARS, F.array(text_col)).otherwise(F.array(*cut))
+
+
+def _phrases(words: list[bytes]) -> list[tuple[bytes, ...]]:
+    """Runs of ``PHRASE`` words; of fewer words, all of them."""
+    return [tuple(words[j:j + PHRASE]) for j in range(max(1, len(words) - PHRASE + 1))] if words else []
+
+
+def _distinct(sample: dict[str, list[list[str]]]) -> dict[str, list[str]]:
+    """The texts of the pieces without the words of a phrase that another language or an earlier text has.
+
+    A language that would lose all its words keeps them.
+    """
+    split = {lang: [[plain(p).split() for p in t] for t in texts] for lang, texts in sample.items()}
+    owner: dict[tuple[bytes, ...], str | None] = {}
+    for lang, texts in split.items():
+        for g in (g for t in texts for p in t for g in _phrases(p)):
+            owner[g] = lang if owner.get(g, lang) == lang else None
+    out = {}
+    for lang, texts in split.items():
+        seen, left = set(), []
+        for t in texts:
+            keep, own = [], set()
+            for p in t:
+                drop = set()
+                for j, g in enumerate(_phrases(p)):
+                    own.add(g)
+                    if owner[g] is None or g in seen:
+                        drop.update(range(j, j + PHRASE))
+                keep += [w for j, w in enumerate(p) if j not in drop]
+            seen |= own
+            if keep:
+                left.append(b" ".join(keep).decode())
+        out[lang] = left or [" ".join(t) for t in sample[lang]]
+    return out
 
 
 def _dictionaries(sample: dict[str, list[str]]) -> dict[str, bytes]:

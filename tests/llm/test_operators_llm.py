@@ -283,6 +283,17 @@ def test_language(spark, docs, empty):
     assert lang_zstd.identified(empty).count() == 0
 
 
+def test_language_with_a_shared_head(spark):
+    head = ("Skip to main content. This page is part of the public archive of our news service; please read the terms of use "
+            "before you copy, print or share any part of it. Sign in, subscribe, contact us, about the editors, help and site map. ") * 2
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents").withColumn("headed", F.crc32(F.concat(F.lit("h"), "doc_id")) % 3 == 0)
+    docs = docs.withColumn("text", F.concat(F.when(F.col("headed"), head[:256]).otherwise(""), "text"))
+    out = lang_zstd.identify(docs, lang_zstd.learn(docs), columns=["lang", "headed", "doc_id"])
+    rows = out.where(lang_zstd.held_out("doc_id") & F.col("headed")).join(
+        docs.where(F.size(F.split("text", " ")) >= 60).select("doc_id"), "doc_id").select("lang", "lang_result.lang_pred").collect()
+    assert len(rows) > 40 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
+
+
 RULES = queries.URL_RULES
 
 
