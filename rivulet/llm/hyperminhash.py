@@ -13,10 +13,15 @@ Small sets use wider bands, by size class: a document emits bands of its class
 and, near the class border, of the class below, so two sets that can reach the
 threshold always meet in one class.
 
-Recall: from about 200 shingles on, at the threshold 0.85 the 42 bands of 6
-registers miss a pair with a probability near 2e-9 (0.8: 3e-6); smaller sets
-differ in fewer shingles than there are bands, each of which breaks one band
-at most.
+Recall: a pair is no candidate if every common shingle lies in a band that a
+differing one breaks.  From about 200 shingles on, at the threshold 0.85 the 42
+bands of 6 registers miss a pair with a probability near 2e-9 (0.8: 3e-6).  c
+common and d differing shingles miss w bands with at most (d / w)^c, at 0.8 for
+sets of 16 shingles (4 / 16)^16 = 2e-10, less for more.  For sets of fewer than
+``SMALL`` this is not small ((1 / 4)^4 for 4 and 5 shingles), so they, and sets
+that can reach the threshold with one of them, are also candidates by single
+shingles: similar sets of n share one of the first n - ceil(t n) + 1 in the
+order of the hashes, and no such pair is lost.
 
 Skew: copies collapse before anything else; band groups reduce to a few numbers
 with map-side combining; a group beyond ``GROUP`` nodes, and a cluster beyond
@@ -43,6 +48,8 @@ R_BITS = 10
 SLACK = 6.0
 #: Shingles of a cluster that one task holds; larger clusters are split into block pairs.
 BLOCK = 1 << 22
+#: Sets of fewer shingles are candidates by single shingles too.
+SMALL = 16
 #: Nodes of a candidate group that one task holds.
 GROUP = 1 << 14
 
@@ -78,11 +85,14 @@ def set_names(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text",
-             keep: list[str] | None = None, with_registers: bool = True) -> DataFrame:
-    """``keep`` columns (default the id), n_shingles, fp1, fp2 (the set's name) and registers of each row."""
+             keep: list[str] | None = None, with_registers: bool = True, num: int = 80, den: int = 100) -> DataFrame:
+    """``keep`` columns (default the id), n_shingles, fp1, fp2 (the set's name) of each row.
+
+    With registers also these and, for small sets, the candidate keys at num / den.
+    """
     fields = [T.StructField("n_shingles", L), T.StructField("fp1", L), T.StructField("fp2", L)]
     if with_registers:
-        fields.append(T.StructField("regs", T.BinaryType()))
+        fields += [T.StructField("regs", T.BinaryType()), T.StructField("firsts", T.BinaryType())]
 
     def fn(text):
         sets, off = shingle_sets(*text_buffer(text), k)
@@ -90,6 +100,7 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
         cols = [longs(np.diff(off)), longs(a), longs(b)]
         if with_registers:
             cols.append(binaries(registers(sets, off).tobytes(), np.arange(len(off)) * (2 * REGISTERS)))
+            cols.append(prefix_bodies(sets, off, num, den))
         return cols
 
     return map_text(docs, text_col, keep or [id_col], fields, fn)
@@ -121,6 +132,20 @@ def band_keys(ids: np.ndarray, n: np.ndarray, regs: np.ndarray, num: int, den: i
     return np.concatenate(keys).view(np.int64), np.concatenate(who)
 
 
+def prefixes(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many shingles of a set of ``n`` are candidate keys; none if it is far from small."""
+    least = -(-n * num // den)
+    return np.where(least < SMALL, n - least + 1, 0)
+
+
+def prefix_bodies(sets: np.ndarray, offsets: np.ndarray, num: int, den: int) -> pa.Array:
+    """The candidate keys of each set: its first sorted hashes, mixed."""
+    take = prefixes(np.diff(offsets), num, den)
+    to = np.concatenate(([0], np.cumsum(take)))
+    at = np.arange(to[-1]) - np.repeat(to[:-1] - offsets[:-1], take)
+    return binaries(mix(sets[at] ^ U(BASE)).tobytes(), to * 8)
+
+
 def _bands(nodes: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -130,8 +155,11 @@ def _bands(nodes: DataFrame, num: int, den: int) -> DataFrame:
                     s = slice(at, at + 4096)
                     key, who = band_keys(b.column(0).to_numpy()[s], b.column(1).to_numpy()[s], regs[s], num, den)
                     yield pa.RecordBatch.from_arrays([longs(key), longs(who)], names=["key", "node"])
+                bodies = b.column(3).to_pylist()
+                who = np.repeat(b.column(0).to_numpy(), [len(x) // 8 for x in bodies])
+                yield pa.RecordBatch.from_arrays([longs(np.frombuffer(b"".join(bodies), np.int64)), longs(who)], names=["key", "node"])
 
-    return map_arrow(nodes.select("node", "n_shingles", "regs"), run, "key long, node long")
+    return map_arrow(nodes.select("node", "n_shingles", "regs", "firsts"), run, "key long, node long")
 
 
 def random_matches(n: np.ndarray, m: int) -> np.ndarray:
@@ -285,7 +313,7 @@ def set_components(docs: DataFrame, sk: DataFrame, k: int, num: int, den: int, i
     """(n_shingles, fp1, fp2, component_id) of every distinct non-empty shingle set."""
     name = ["n_shingles", "fp1", "fp2"]
     nodes = staged(sk.where((F.col("n_shingles") > 0) & F.col("doc").isNotNull()).groupBy(*name).agg(
-        F.min("doc").alias("node"), F.first("regs").alias("regs")), "nodes")
+        F.min("doc").alias("node"), F.first("regs").alias("regs"), F.first("firsts").alias("firsts")), "nodes")
     bands = _bands(nodes, num, den)
     groups = (bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"),
                                        F.bit_xor(F.xxhash64("node")).alias("who")).where("low < high"))
@@ -326,10 +354,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     Columns of ``docs`` other than the two named are not read.
     """
     sk = staged(sketches(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")),
-                         k, "doc"), "sketches")
+                         k, "doc", num=num, den=den), "sketches")
     sets = staged(set_components(docs, sk, k, num, den, id_col, text_col, block), "sets")
     none = F.col("doc").isNull() | (F.col("n_shingles") == 0)
-    named = sk.drop("regs")
+    named = sk.drop("regs", "firsts")
     linked = named.where(~none).join(sets, ["n_shingles", "fp1", "fp2"])
     alone = named.where(none).withColumn("component_id", F.col("doc"))
     return linked.unionByName(alone).select(

@@ -113,6 +113,32 @@ def test_dense_group_of_near_copies_is_one_component(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_small_sets_that_differ_in_one_word(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(3000):
+        w = [f"w{rng.randrange(10 ** 6)}" for _ in range(9)]
+        rows += [(2 * i, " ".join(w[:8])), (2 * i + 1, " ".join(w))]
+    got = hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+    assert [r["doc_id"] for r in got if r["component_id"] != r["doc_id"] // 2 * 2] == []
+
+
+@pytest.mark.parametrize("num", [80, 85, 50])
+def test_small_similar_sets_share_a_first_shingle(num):
+    rng = np.random.default_rng(6)
+    met = 0
+    for _ in range(6000):
+        c, d, e = rng.integers(1, 19), rng.integers(0, 4), rng.integers(0, 4)
+        h = rng.integers(0, 1 << 64, c + d + e, np.uint64)
+        a, b = np.sort(h[:c + d]), np.sort(np.delete(h, np.s_[c:c + d]))
+        if 100 * c < num * (c + d + e) or min(len(a), len(b)) >= hyperminhash.SMALL:
+            continue
+        keys = hyperminhash.prefix_bodies(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), num, 100).to_pylist()
+        assert np.intersect1d(*[np.frombuffer(x, np.uint64) for x in keys]).size
+        met += 1
+    assert met > 500
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3)]
