@@ -5,6 +5,8 @@ of its labelled texts: a few pieces from all over each of them, without phrases
 that another language's sample has too or that were already taken.  A text is lower-cased, stripped of ASCII digits and
 signs, cut into blocks (the whole text, so the dictionary matters throughout)
 and compressed with every dictionary; the smallest total names the language.
+A text so short that zstandard would store it as it is, is repeated first: the
+copies cost the same with every dictionary, the first one does not.
 The score is the relative margin to the second; below ``min_margin`` the answer
 is marked as not accepted.
 """
@@ -31,6 +33,9 @@ PIECES = 4
 PHRASE = 4
 DICT_BYTES = 112 * 1024
 BLOCK_BYTES = 2048
+#: Texts of fewer bytes are repeated, ``COPIES`` times and to this size at least.
+SHORT_BYTES = 128
+COPIES = 8
 LEVEL = 6
 MIN_MARGIN = 0.01
 UNKNOWN = "und"
@@ -120,13 +125,14 @@ def _dictionaries(sample: dict[str, list[str]]) -> dict[str, bytes]:
 def _cleaned(sample: dict[str, list[str]]) -> dict[str, list[str]]:
     """The sample without texts that the other half of it gives another language (wrong labels).
 
-    A language that would lose all its texts keeps them.
+    A tie gives it no other.  A language that would lose all its texts keeps them.
     """
     halves = [{k: v[i::2] for k, v in sample.items() if v[i::2]} for i in (0, 1)]
     models = [tuple(_dictionaries(h).items()) for h in halves]
     out = {}
     for lang, texts in sample.items():
-        good = [t for i, t in enumerate(texts) if predict(t, models[1 - i % 2])[0] == lang]
+        told = [predict(t, models[1 - i % 2]) for i, t in enumerate(texts)]
+        good = [t for t, (name, margin) in zip(texts, told) if name == lang or margin == 0 and name != UNKNOWN]
         out[lang] = good or texts
     return out
 
@@ -143,12 +149,17 @@ def _compressors(model: tuple[tuple[str, bytes], ...]):
 
 
 def predict(text: str | None, model: tuple[tuple[str, bytes], ...]) -> tuple[str, float]:
-    """(language, margin): the smallest compressed size, ties to the first name; ``und`` without a letter."""
+    """(language, margin): the smallest compressed size; ``und`` without a letter.
+
+    A tie has margin 0 and the first name, which says nothing.
+    """
     if not text or not model:
         return UNKNOWN, 0.0
     body = plain(text)
     if not any(c in body for c in _LETTERS) and not any(c.isalpha() for c in text):
         return UNKNOWN, 0.0
+    if 0 < len(body) < SHORT_BYTES:
+        body = b" " + b" ".join([body] * max(COPIES, -(-SHORT_BYTES // len(body)))) + b" "
     cut = [body[i:i + BLOCK_BYTES] for i in range(0, len(body), BLOCK_BYTES)] or [b""]
     sizes = [(sum(len(c.compress(b)) for b in cut), lang) for lang, c in _compressors(model)]
     sizes.sort()

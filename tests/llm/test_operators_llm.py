@@ -320,6 +320,16 @@ def test_language_with_a_shared_head(spark):
     assert len(rows) > 40 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
 
 
+def test_language_keeps_short_good_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
+    short = docs.where(F.size(F.split(F.trim("text"), r"\s+")) <= 5).join(labels.where("quality = 1"), "doc_id")
+    rows = lang_zstd.identify(short, lang_zstd.learn(docs), columns=["lang"]).select("lang", "lang_result.*").collect()
+    kept = [r for r in rows if r["accepted"]]
+    assert len(rows) > 20 and len(kept) > 0.85 * len(rows)
+    assert sum(r["lang"] == r["lang_pred"] for r in kept) > 0.9 * len(kept)
+
+
 RULES = queries.URL_RULES
 
 
