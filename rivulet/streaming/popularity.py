@@ -4,9 +4,11 @@ Streaming.
 New order lines arrive as files; each micro-batch joins them to the order
 table (stream-static join), drops (user, item) pairs already seen
 (streaming deduplication state), and updates the distinct-user count per
-item (streaming aggregation state).  The complete result is rewritten to a
-table in the shared folder at each batch, so readers always see whole
-results and a restarted query resumes from its checkpoint.
+item (streaming aggregation state).  The complete result is rewritten in place
+to a table in the shared folder at each batch: it is whole once the query has
+ended, a reader during a batch can find it missing or in part.  A line whose
+order is not in the order table when it arrives is dropped and not looked at
+again.  A restarted query resumes from its checkpoint.
 """
 
 from __future__ import annotations
