@@ -17,7 +17,7 @@ Recall: a pair is no candidate if every common shingle lies in a band that a
 differing one breaks.  From about 200 shingles on, at the threshold 0.85 the 42
 bands of 6 registers miss a pair with a probability near 2e-9 (0.8: 3e-6).  c
 common and d differing shingles miss w bands with at most (d / w)^c, at 0.8 for
-sets of 16 shingles (4 / 16)^16 = 2e-10, less for more.  For sets of fewer than
+sets of 16 shingles (4 / 16)^16 = 2e-10, less up to 128.  For sets of fewer than
 ``SMALL`` this is not small ((1 / 4)^4 for 4 and 5 shingles), so they, and sets
 that can reach the threshold with one of them, are also candidates by single
 shingles: similar sets of n share one of the first n - ceil(t n) + 1 in the
