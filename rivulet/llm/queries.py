@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import extendible, hyperminhash, lang_zstd, prefix_bpe, quality_llr, raking, site_bayes, token_frames, url_gbt, vector_join
+from rivulet.llm import (dual_tree, extendible, hyperminhash, lang_zstd, pii_transducer, prefix_bpe, quality_llr, raking, site_bayes, source_audit,
+                         token_frames, url_gbt, vector_join)
 
 #: (verdict, host/path) of the URL filter.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -82,8 +83,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible.assign_shards(docs).select("doc_id", "shard.*")
 
 
+def op11_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_pii_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_transducer.pii_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("pii", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii_transducer.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii_transducer.digest(base), 256).alias("base_sha256"),
+                        pii_transducer.digest(F.col("pii")).alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_frames, op2_vector_join, op3_hyperminhash, op4_quality_rules, op5_prefix_bpe,
-                                   op6_language, op7_url_gbt, op8_site_bayes, op9_raking, op10_sharding)}
+                                   op6_language, op7_url_gbt, op8_site_bayes, op9_raking, op10_sharding,
+                                   op11_dual_tree, op12_source_audit, op13_pii_transducer)}
 
 # ---- DuckDB SQL --------------------------------------------------------------
 
@@ -143,4 +161,29 @@ leaf AS (SELECT doc_id, h, n, (SELECT count(*) FROM node WHERE is_full AND node.
 SELECT doc_id, substr(printf('%060b', h), 1, depth::INT) AS shard_id, depth::INT AS depth, n AS n_bytes, b::BIGINT AS shard_bytes, b > {extendible.SHARD_BYTES} AS oversized
 FROM leaf JOIN node ON node.d = leaf.depth AND node.p = leaf.h >> (60 - leaf.depth)"""
 
-ORACLES = {"op2_vector_join": _OP2, "op3_hyperminhash": _OP3, "op9_raking": _op9_sql(), "op10_sharding": _OP10}
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
+_OP11 = f"""WITH d AS (SELECT doc_id, {_TERMS.format(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")} AS t FROM documents),
+corpus AS (SELECT count(*) AS nd, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest({_TERMS.format(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")}) AS t FROM benchmark) GROUP BY ALL),
+tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, corpus GROUP BY t, nd),
+g AS (SELECT doc_id, t, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // l)) AS g FROM tf, corpus),
+s AS (SELECT item_id, doc_id, sum(c * w * g)::BIGINT AS score FROM q JOIN w USING (t) JOIN g USING (t) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
+_OP12 = f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS.format(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")} AS t FROM documents),
+u AS (SELECT doc_id, lang, source, unnest(t) AS t FROM d),
+k AS (SELECT lang, t, count(*) AS n FROM u GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.t, k.n AS all_n, coalesce(x.n, 0) AS n FROM g JOIN k ON k.lang = g.lang
+  LEFT JOIN (SELECT lang, source, t, count(*) AS n FROM u GROUP BY ALL) x ON x.lang = g.lang AND x.source = g.source AND x.t = k.t),
+p AS (SELECT lang, source, t, n, (1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)))::BIGINT AS p,
+  (1 + (1000000000 * (all_n + 1)) // (sum(all_n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)))::BIGINT AS q FROM c),
+pair AS (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+v AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM pair LEFT JOIN v USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', t, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r
+QUALIFY part = 'pair' OR rank <= 200"""
+
+ORACLES = {"op2_vector_join": _OP2, "op3_hyperminhash": _OP3, "op9_raking": _op9_sql(), "op10_sharding": _OP10, "op11_dual_tree": _OP11, "op12_source_audit": _OP12}
