@@ -106,6 +106,8 @@ LOOKALIKES |= dict.fromkeys("‐‑‒–—―−﹣", "-") | dict.fromkeys("
 LOOKALIKES |= dict.fromkeys(map(chr, range(0x2000, 0x200B)), " ")
 # Invisible characters.
 INVISIBLE = "\xad͏؜᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
+# Letters that stand for digits inside a number.
+DIGIT_LETTERS = {"O": "0", "o": "0", "I": "1", "l": "1"}
 # Digit words, in the order of the digits.
 DIGIT_WORDS = ["zero oh null zéro cero", "one eins un uno", "two zwei zwo deux dos", "three drei trois tres", "four vier quatre cuatro",
                "five fünf fuenf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve"]
@@ -125,13 +127,14 @@ def _any(words) -> str:
 
 _NO_LETTER_BEFORE, _NO_LETTER_AFTER = r"(?<![^\W\d_])", r"(?![^\W\d_])"
 _DIGIT_WORD = rf"{_NO_LETTER_BEFORE}(?:(?:{_any(REPEATS)})[ -])?(?:{_any(DIGIT)}){_NO_LETTER_AFTER}"
-_GAP = rf"(?:[ \t\r\n,()]{{1,3}}(?:-[ ]?)?|-|[ \t]{{1,3}}(?:{_any(DOT_WORDS.split())})[ \t]{{1,3}}|\.)"
+_GAP = rf"(?:[ \t]{{1,3}}(?:{_any(DOT_WORDS.split())})[ \t]{{1,3}}|[ \t\r\n,()]{{1,3}}(?:-[ ]?)?|-|\.)"
 _SPELLED = re.compile(rf"(?:{_NO_LETTER_BEFORE}(?:{_any(PLUS_WORDS.split())})[ \t\r\n(-]{{1,3}})?(?:{_DIGIT_WORD}|[0-9]+)(?:{_GAP}(?:{_DIGIT_WORD}|[0-9]+))+", re.I)
 _PIECE = re.compile(rf"(?P<plus>(?:{_any(PLUS_WORDS.split())})[ \t\r\n(-]{{1,3}})|(?P<word>{_DIGIT_WORD})|(?P<number>[0-9]+)|(?P<gap>{_GAP})", re.I)
-_HIDDEN_DOT = rf"(?:[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:{_any(DOT_WORDS.split())}|\.)[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}|[ \t]{{1,3}}(?:{_any(DOT_WORDS.split())})[ \t]{{1,3}})"
+_HIDDEN_DOT = rf"(?:[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:{_any(DOT_WORDS.split())}|\.)[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}|[ \t]{{1,3}}(?:{_any(DOT_WORDS.split())}|\.)[ \t]{{1,3}}|[_*](?:{_any(DOT_WORDS.split())})[_*])"
 _DIGIT_DOT = re.compile(rf"(?<=[0-9]){_HIDDEN_DOT}(?=[0-9])", re.I)
 _AT = re.compile(rf"(?P<bracket>[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:{_any(AT_WORDS.split())}|@)[ \t]{{0,3}}[\])}}>][ \t]{{0,3}})"
                  rf"|(?P<word>(?:[ \t]{{1,3}}|[_*-])(?:{_any(AT_WORDS.split())})(?:[ \t]{{1,3}}|[_*-]))|(?P<sign>[ \t]{{0,3}}@[ \t]{{0,3}})", re.I)
+_MIXED = re.compile(rf"{_NO_LETTER_BEFORE}(?=[OoIl]*[0-9])(?=[0-9]*[OoIl])[0-9OoIl]+{_NO_LETTER_AFTER}")
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
 _ANY_DOT = re.compile(rf"\.|{_HIDDEN_DOT}", re.I)
 _DOT_BEFORE = re.compile(rf"(?P<dot>{_HIDDEN_DOT})\Z", re.I)
@@ -179,6 +182,11 @@ class Rewrite:
         e = e if j < 0 else self.end[j] if e <= self.last[j] else e + self.end[j] - self.last[j]
         return s, e
 
+    def spelled(self, s: int, e: int) -> int:
+        """How many edits that wrote something lie inside an output span."""
+        i, j = bisect_left(self.first, s), bisect_right(self.last, e)
+        return sum(a < b for a, b in zip(self.first[i:j], self.last[i:j]))
+
     def touches(self, span: tuple[int, int]) -> bool:
         i = bisect_left(self.last, span[0])
         while i < len(self.first) and self.first[i] < span[1]:
@@ -189,8 +197,10 @@ class Rewrite:
 
 
 def plain_characters(text: str) -> Rewrite:
-    return Rewrite(text, [] if text.isascii() else
-                   [(m.start(), m.end(), new) for m in _odd_characters().finditer(text) if (new := _plain(m.group())) != m.group()])
+    edits = [(m.start() + i, m.start() + i + 1, DIGIT_LETTERS[c]) for m in _MIXED.finditer(text) for i, c in enumerate(m.group()) if c in DIGIT_LETTERS]
+    if not text.isascii():
+        edits += [(m.start(), m.end(), new) for m in _odd_characters().finditer(text) if (new := _plain(m.group())) != m.group()]
+    return Rewrite(text, sorted(edits))
 
 
 def plain_digits(text: str) -> Rewrite:
@@ -253,16 +263,17 @@ def _address(text: str, m: re.Match, floor: int) -> list[tuple[int, int, str]]:
         telling = worded or hidden or re.search(r"[0-9._%+]", local.strip(".")) or m.group()[0] in "_*-"
         if last.lower() not in ENDINGS or not telling:
             return []  # "see the page at example.com"
-    return [*edits, (m.start(), m.end(), "@")]
+    return sorted([*edits, (m.start(), m.end(), "@")])
 
 
 def plain_signs(text: str) -> Rewrite:
     edits = [(m.start(), m.end(), ".") for m in _DIGIT_DOT.finditer(text)]
     floor = 0
     for m in _AT.finditer(text):
-        if m.start() >= floor and (found := _address(text, m, floor)):
+        if m.start() >= floor:
+            found = _address(text, m, floor)
             edits += found
-            floor = max(e for _, e, _ in found)
+            floor = max([m.end(), *(e for _, e, _ in found)])  # an address holds one sign
     out, at = [], 0
     for e in sorted(set(edits)):
         if e[0] >= at:
@@ -284,7 +295,7 @@ def disguised_spans(text: str) -> list[tuple[int, int, int]]:
     for m in _CARD.finditer(last):  # ten and more spelled digits without a sign
         if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15 and not any(k > 1 and s < m.end() and e > m.start() for s, k, e in found):
             span = steps[2].back(m.span())
-            if sum(a < span[1] and b > span[0] and b > a for a, b in zip(words.first, words.last)) >= 10:
+            if words.spelled(*span) >= 10:
                 found.append((m.start(), 3, m.end()))
     out = []
     for s, k, e in found:
@@ -333,9 +344,12 @@ def needs(text: pa.Array) -> dict[str, np.ndarray]:
     spelled[starts[hit & (kind[at] == 1)]] = True
     sign[starts[hit & (kind[at] == 2)]] = True
     at_sign = per_row(data == 0x40, off)
+    letter = np.isin(data, np.frombuffer(b"OoIl", np.uint8))
+    mixed = np.zeros(len(data), bool)
+    mixed[1:] = digit[:-1] & letter[1:] | letter[:-1] & digit[1:]
     return {"email": at_sign > 0, "ip": per_row(dotted, off) >= 3, "card": per_row(digit, off) >= 14,
             "phone": (per_row(data == 0x2B, off) > 0) & (per_row(digit, off) >= 10),
-            "hidden": (per_row(lead, off) > 0) | (per_row(spelled, off) > 1) | (per_row(sign, off) > 0) | (at_sign > 0)
+            "hidden": (per_row(lead | mixed, off) > 0) | (per_row(spelled, off) > 1) | (per_row(sign, off) > 0) | (at_sign > 0)
                       | (per_row((data == 0x5B) | (data == 0x28), off) > 0) & (per_row(digit, off) >= 4)}
 
 
