@@ -19,7 +19,7 @@ import rivulet
 from rivulet.session import checkpoint_dir
 
 #: Text bytes that one numpy step works on; bounds a Python worker's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -87,7 +87,8 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFie
 
     ``fn`` gets a text array of bounded bytes and returns one Arrow array per field.
     """
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    own, = fresh(keep, "text_in")
+    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(own))
     out = T.StructType([*src.schema.fields[:-1], *fields])
     n = len(keep)
 

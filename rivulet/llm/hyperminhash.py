@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import binaries, longs, map_arrow, map_text, staged, text_buffer
+from rivulet.llm.common import binaries, fresh, longs, map_arrow, map_text, staged, text_buffer
 from rivulet.llm.components import connected_components
 from rivulet.llm.text import BASE, U, mix, shingle_sets
 
@@ -46,8 +46,9 @@ REGISTERS = 1 << P_BITS
 R_BITS = 10
 #: Standard deviations that an estimate may lie below the threshold before a pair is rejected unverified.
 SLACK = 6.0
-#: Shingles of a cluster that one task holds; larger clusters are split into block pairs.
-BLOCK = 1 << 22
+#: Shingles and nodes of one block of a cluster; larger clusters are split into block pairs.
+BLOCK = 1 << 20
+BLOCK_NODES = 1 << 13
 #: Sets of fewer shingles are candidates by single shingles too.
 SMALL = 16
 #: Nodes of a candidate group that one task holds.
@@ -58,6 +59,17 @@ L = T.LongType()
 
 def registers(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(rows, REGISTERS) uint16 registers of sorted distinct hashes."""
+    n = len(offsets) - 1
+    out = np.zeros((n, REGISTERS), np.uint16)
+    at = 0
+    while at < n:  # bounded steps: the intermediate arrays are many times the result
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 16), "right")) - 1)
+        out[at:to] = _registers(sets[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at])
+        at = to
+    return out
+
+
+def _registers(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     out = np.zeros((n, REGISTERS), np.uint16)
     if not len(sets):
@@ -89,10 +101,13 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
     """``keep`` columns (default the id), n_shingles, fp1, fp2 (the set's name) of each row.
 
     With registers also these and, for small sets, the candidate keys at num / den.
+    A name that ``keep`` has already gets leading underscores.
     """
-    fields = [T.StructField("n_shingles", L), T.StructField("fp1", L), T.StructField("fp2", L)]
+    keep = keep or [id_col]
+    names = fresh(keep, "n_shingles", "fp1", "fp2", "regs", "firsts")
+    fields = [T.StructField(c, L) for c in names[:3]]
     if with_registers:
-        fields += [T.StructField("regs", T.BinaryType()), T.StructField("firsts", T.BinaryType())]
+        fields += [T.StructField(c, T.BinaryType()) for c in names[3:]]
 
     def fn(text):
         sets, off = shingle_sets(*text_buffer(text), k)
@@ -103,7 +118,7 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
             cols.append(prefix_bodies(sets, off, num, den))
         return cols
 
-    return map_text(docs, text_col, keep or [id_col], fields, fn)
+    return map_text(docs, text_col, keep, fields, fn)
 
 
 def band_width(n: np.ndarray) -> np.ndarray:
@@ -236,8 +251,8 @@ def _groups(batches, keys: int):
         cut = 0 if last is None or first != last else int(at[1])
         if held and cut < b.num_rows:  # the group held so far ends here
             t = pa.concat_batches([*held, b.slice(0, cut)])
-            yield t, borders(t)
             held = []
+            yield t, borders(t)
         if cut == b.num_rows:
             held.append(b)
             continue
@@ -304,16 +319,18 @@ def _verified(groups: DataFrame, num: int, den: int) -> DataFrame:
                 found.append(link_group(ids[at[g]:at[g + 1]], size, regs, num, den, confirm))
             yield from _edges(found)
 
-    g = groups.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-    return map_arrow(g, run, "a long, b long")
+    g = groups.repartition("cluster", "i", "j").dropDuplicates(["cluster", "i", "j", "node"])  # repeated rows; needs no other exchange
+    return map_arrow(g.sortWithinPartitions("cluster", "i", "j", "node").select("cluster", "i", "j", "node", "body"), run, "a long, b long")
 
 
 def set_components(docs: DataFrame, sk: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str,
                    block: int = BLOCK) -> DataFrame:
     """(n_shingles, fp1, fp2, component_id) of every distinct non-empty shingle set."""
     name = ["n_shingles", "fp1", "fp2"]
+    # nodes are numbered, not named by an id: one id may stand before several texts
     nodes = staged(sk.where((F.col("n_shingles") > 0) & F.col("doc").isNotNull()).groupBy(*name).agg(
-        F.min("doc").alias("node"), F.first("regs").alias("regs"), F.first("firsts").alias("firsts")), "nodes")
+        F.min("doc").alias("least"), F.first("regs").alias("regs"), F.first("firsts").alias("firsts"))
+        .withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = _bands(nodes, num, den)
     groups = (bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"),
                                        F.bit_xor(F.xxhash64("node")).alias("who")).where("low < high"))
@@ -325,22 +342,27 @@ def set_components(docs: DataFrame, sk: DataFrame, k: int, num: int, den: int, i
 
     member = connected_components(likely)
     member = staged(member.union(member.select("component", "component").distinct()).toDF("node", "cluster")
-                    .join(nodes.select("node", "n_shingles"), "node"), "members")
-    big = staged(member.groupBy("cluster").agg(F.sum("n_shingles").alias("total")).where(F.col("total") > block)
-                 .select("cluster", F.ceil(F.col("total") / block).cast("int").alias("blocks")), "big")
-    member = member.join(big, "cluster", "left").select("node", "cluster", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    body = map_text(docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").alias("text"))
-                    .join(member, "node"), "text", ["node", "cluster", "blocks"], [T.StructField("body", T.BinaryType())],
-                    lambda text: [_set_bodies(text, k)])
+                    .join(nodes.select("node", "least", *name), "node"), "members")
+    big = staged(member.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n_shingles") / block), F.ceil(F.count(F.lit(1)) / BLOCK_NODES))
+                                               .cast("int").alias("blocks")).where("blocks > 1"), "big")
+    member = member.join(big, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    text = docs.select(F.col(f"`{id_col}`").cast("long").alias("least"), F.col(f"`{text_col}`").alias("text")).join(member, "least")
+    body = map_text(text, "text", ["node", "cluster", "blocks", *name],
+                    [T.StructField("body", T.BinaryType()), *[T.StructField(c, L) for c in ("n", "x", "y")]], lambda text: _set_bodies(text, k))
+    body = body.where((F.col("n") == F.col("n_shingles")) & (F.col("x") == F.col("fp1")) & (F.col("y") == F.col("fp2")))  # not another text of this id
     groups = _dealt(body, F.col("blocks"), "node", "cluster", "body").select("cluster", "i", "j", "node", "body")
-    comp = connected_components(_verified(groups, num, den))
-    return nodes.select(*name, "node").join(comp, nodes["node"] == comp["id"], "left").select(
-        *name, F.coalesce("component", "node").alias("component_id"))
+    comp = staged(connected_components(_verified(groups, num, den)).toDF("node", "component"), "components")
+    low = comp.union(comp.select("component", "component").distinct()).join(nodes.select("node", "least"), "node").groupBy("component").agg(
+        F.min("least").alias("component_id"))
+    of = comp.union(comp.select("component", "component").distinct()).join(low, "component").select("node", "component_id")
+    return nodes.select(*name, "node", "least").join(of, "node", "left").select(*name, F.coalesce("component_id", "least").alias("component_id"))
 
 
-def _set_bodies(text: pa.Array, k: int) -> pa.Array:
+def _set_bodies(text: pa.Array, k: int) -> list[pa.Array]:
+    """The whole sets, their sizes and names."""
     sets, off = shingle_sets(*text_buffer(text), k)
-    return binaries(sets.tobytes(), off * 8)
+    a, b = set_names(sets, off)
+    return [binaries(sets.tobytes(), off * 8), longs(np.diff(off)), longs(a), longs(b)]
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
@@ -351,6 +373,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     component_id is the smallest id reachable.  Null text, empty text and text
     without words: no shingles, component_id = id, kept.  Null id: linked with
     nothing, component_id null, kept.  Repeated rows are copies of each other.
+    Rows with one id and different texts are different documents: each is linked
+    by its own text, and each is kept if no smaller id is reachable from it.
+    Shingles are compared by 64-bit hashes, equal sets found by a 128-bit name.
     Columns of ``docs`` other than the two named are not read.
     """
     sk = staged(sketches(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")),
@@ -369,16 +394,19 @@ def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_
                  text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with their columns.
 
-    Of a group the row with the smallest id stays; rows with the same id and
-    the same shingle set count once.  Rows with a null id stay.
+    Of a group the row with the smallest id stays; of rows with the same id and
+    the same shingle set the one whose columns have the smallest hash; rows with
+    the same id and different sets are judged each on its own.  Rows with a null
+    id stay.
     """
-    kept = near_duplicates(docs, k, num, den, id_col, text_col).where("kept").where(F.col(id_col).isNotNull())
-    kept = staged(kept.select(F.col(id_col).alias("__id"), F.col("fp1").alias("__a"), F.col("fp2").alias("__b"))
-                  .distinct(), "kept")
-    body = docs.where(F.col(f"`{id_col}`").isNotNull())
-    named = sketches(body.withColumn("__text", F.col(f"`{text_col}`")), k, id_col, "__text",
-                     keep=docs.columns, with_registers=False)
-    named = named.toDF(*docs.columns, "__n", "__x", "__y")
-    stay = named.join(kept, (named[id_col] == kept["__id"]) & (named["__x"] == kept["__a"]) & (named["__y"] == kept["__b"])
-                      ).dropDuplicates(["__id", "__a", "__b"]).select(*[named[c] for c in docs.columns])
-    return stay.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    cols = docs.columns
+    name = fresh(cols, "n_shingles", "fp1", "fp2")
+    doc, a, b, row = fresh([*cols, *name], "kept_doc", "kept_a", "kept_b", "kept_row")
+    kept = near_duplicates(docs, k, num, den, id_col, text_col).where("kept").where(F.col(f"`{id_col}`").isNotNull())
+    kept = staged(kept.select(F.col(f"`{id_col}`").alias(doc), F.col("fp1").alias(a), F.col("fp2").alias(b)).distinct(), "kept")
+    known = F.col(f"`{id_col}`").cast("long").isNotNull()
+    named = sketches(docs.where(known), k, id_col, text_col, keep=cols, with_registers=False)
+    stay = named.join(kept, (F.col(f"`{id_col}`").cast("long") == F.col(doc)) & (F.col(name[1]) == F.col(a)) & (F.col(name[2]) == F.col(b)))
+    whole = F.struct(*[F.col(f"`{c}`") for c in cols])
+    stay = stay.groupBy(doc, a, b).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(row))
+    return stay.select(*[F.col(row)[c].alias(c) for c in cols]).unionByName(docs.where(~known))

@@ -8,7 +8,6 @@ taken from prefix sums, then mixed.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 
@@ -32,7 +31,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * U(BASE))
 
 
-@lru_cache(maxsize=2)
+#: Entries of the tables that a worker keeps; those of longer texts are made anew.
+KEPT_POWERS = 1 << 20
+_held: list[tuple[np.ndarray, np.ndarray]] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     def table(b):
@@ -45,7 +48,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(20, int(n).bit_length()))
+    """Tables of at least n entries, grown by need."""
+    size = 1 << max(16, int(n).bit_length())
+    if size > KEPT_POWERS:
+        return _powers(size)
+    if not _held or len(_held[0][0]) < size:
+        _held[:] = [_powers(size)]
+    return _held[0]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:

@@ -39,6 +39,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
 FRAME_BYTES = 1 << 18
+#: Text bytes whose words are encoded at once.
+TEXT_BYTES = 1 << 20
 LEVEL = 1
 #: Words whose ids a worker remembers, at most; the memory is emptied when full.
 WORD_MEMORY = 1_200_000
@@ -230,7 +232,7 @@ def write_token_files(docs: DataFrame, out_dir: str, model_path: str, end_id: in
         with fs.open_output_stream(f"{folder}/{name}", compression=None) as f:
             w = FrameWriter(f, frame_bytes)
             for b in itertools.chain([first], batches):
-                for part in text_slices(b, 1):
+                for part in text_slices(b, 1, TEXT_BYTES):
                     ids = enc.encode([t or "" for t in part.column(1).to_pylist()])
                     for doc, body in zip(part.column(0).to_pylist(), ids):
                         w.add(doc, body + end)

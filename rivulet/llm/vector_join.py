@@ -30,6 +30,8 @@ from rivulet.llm.text import BASE, U, mix
 #: Vectors aimed at per cell, and the bound of the pivots that every task holds.
 CELL = 16_384
 MAX_PIVOTS = 512
+#: Small tables are cut into as many cells as there are cores, but not below this many vectors.
+LEAST_CELL = 64
 #: Vectors of a cell that one block holds.
 BLOCK = 8_192
 #: What rounding may add to distances and single-precision cosines.
@@ -72,7 +74,8 @@ def _unit(bodies, dim: int) -> np.ndarray:
 def pick_pivots(nodes: DataFrame, cell: int, limit: int) -> dict[int, np.ndarray]:
     """Unit pivots by dimension: the nodes with the smallest id hashes, ``limit`` at most in all."""
     n = nodes.count()
-    k = min(limit, max(1, math.ceil(n / cell)))
+    cores = nodes.sparkSession.sparkContext.defaultParallelism
+    k = min(limit, max(1, math.ceil(n / cell), min(cores, n // LEAST_CELL)))
     rows = nodes.orderBy(F.xxhash64("node"), "node").select("dim", "body").limit(k).collect()
     out: dict[int, list[bytes]] = {}
     for r in rows:
@@ -193,7 +196,9 @@ def cosine_links(vectors: DataFrame, cos: float = 0.95, id_col: str = "vec_id",
     that are null, empty, zero or hold a null or non-finite component link with
     nothing, as do vectors of different lengths with each other.  Null id:
     linked with nothing, component_id null, kept.  Repeated rows link with each
-    other.  Other columns are not read.
+    other.  Rows with one id and different vectors are different vectors, each
+    with its own links.  Equal vectors are found by a 128-bit name.  Other
+    columns are not read.
     """
     if not 0 < cos <= 1:
         raise ValueError("cos must lie in (0, 1]")
@@ -201,8 +206,9 @@ def cosine_links(vectors: DataFrame, cos: float = 0.95, id_col: str = "vec_id",
     vec = staged(_vectors(src), "vectors")
     usable = vec.where(F.col("good") & F.col("id").isNotNull())
     name = ["dim", "h1", "h2"]
-    nodes = staged(usable.groupBy(*name).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"),
-                                             F.first("body").alias("body")), "nodes")
+    # nodes are numbered, not named by an id: one id may stand before several vectors
+    nodes = staged(usable.groupBy(*name).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("body").alias("body"))
+                   .withColumn("node", F.monotonically_increasing_id()), "nodes")
     cells = _cells(nodes, pick_pivots(nodes, cell, max_pivots), cos)
     size = staged(cells.groupBy("dim", "cell").count().where(F.col("count") > block).select(
         "dim", "cell", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "sizes")  # a row for each large cell
@@ -213,11 +219,13 @@ def cosine_links(vectors: DataFrame, cos: float = 0.95, id_col: str = "vec_id",
                                  lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j"))))
     groups = dealt.withColumn("p", pair).select("dim", "cell", "p.i", "p.j", "mine", "home", "node", "n", "body")
     found = staged(_joined(groups, cos), "links")
-    comp = connected_components(found, "node", "peer")
+    comp = staged(connected_components(found, "node", "peer").toDF("node", "component"), "components")
+    comp = comp.union(comp.select("component", "component").distinct())
+    low = comp.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     total = found.groupBy("node").agg(F.sum("links").alias("links"))
-    merged = staged(nodes.select(*name, "node", "n").join(total, "node", "left").join(comp.withColumnRenamed("id", "node"), "node", "left").select(
+    merged = staged(nodes.select(*name, "node", "least", "n").join(total, "node", "left").join(comp.join(low, "component"), "node", "left").select(
         *name, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("component", "node").alias("component_id")), "merged")
+        F.coalesce("component_id", "least").alias("component_id")), "merged")
     linked = usable.select("id", *name).join(merged, name).select("id", "n_links", "component_id")
     alone = vec.where(~F.col("good") | F.col("id").isNull()).select(
         "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
