@@ -213,7 +213,7 @@ def _moments(df: DataFrame, kind: str) -> DataFrame:
 
 
 def factor_loss(users: DataFrame, items: DataFrame, seen: DataFrame, reg: float = 0.01,
-                user_bias: str | None = "bias", item_bias: str | None = "bias") -> DataFrame:
+                user_bias: str | None = "bias", item_bias: str | None = "bias", digits: int | None = 6) -> DataFrame:
     """Mean squared error of p = u.v + b_u + b_i against the 0/1 seen matrix over
     all user x item cells, plus reg * (|U|^2 + |V|^2 + |b_u|^2 + |b_i|^2) / 2 (A16).
 
@@ -252,7 +252,8 @@ def factor_loss(users: DataFrame, items: DataFrame, seen: DataFrame, reg: float
               + 2 * F.col("t34") + 2 * F.col("u_b") * F.col("i_b"))
     mse = (sum_p2 - 2 * F.col("p_seen") + F.col("n_seen")) / (F.col("u_n") * F.col("i_n"))
     regt = F.lit(reg) * 0.5 * (F.col("u_ff") + F.col("i_ff") + F.col("u_bb") + F.col("i_bb"))
-    return row.select(F.round(mse + regt, 6).alias("loss"), F.round(mse, 6).alias("mse"))
+    cut = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+    return row.select(cut(mse + regt).alias("loss"), cut(mse).alias("mse"))
 
 
 def train_factors(inter: DataFrame, rank: int = 32, max_iter: int = 10, reg: float = 0.01,

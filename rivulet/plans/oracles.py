@@ -226,10 +226,10 @@ SELECT COUNT(DISTINCT userId) AS users, 5 * COUNT(DISTINCT userId) AS n_rows, CA
 FROM fx_inter"""
 
 ORACLES["kmeans_users_facts"] = """SELECT COUNT(*) AS n_rows, COUNT(DISTINCT c_custkey) AS n_ids,
-       COUNT(c_custkey) AS labelled, TRUE AS parted FROM customer"""
+       COUNT(c_custkey) AS labelled, TRUE AS parted, CAST(0 AS BIGINT) AS n_off FROM customer"""
 
 ORACLES["kmeans_items_facts"] = """SELECT COUNT(*) AS n_rows, COUNT(DISTINCT p_partkey) AS n_ids,
-       COUNT(p_partkey) AS labelled, TRUE AS parted FROM part"""
+       COUNT(p_partkey) AS labelled, TRUE AS parted, CAST(0 AS BIGINT) AS n_off FROM part"""
 
 ORACLES["item_popularity_approx_facts"] = f"""WITH {FX_INTER}
 SELECT COUNT(DISTINCT itemId) AS items, CAST(0 AS BIGINT) AS off FROM fx_inter"""
