@@ -237,11 +237,13 @@ SELECT COUNT(DISTINCT itemId) AS items, CAST(0 AS BIGINT) AS off FROM fx_inter""
 ORACLES["batch_facts"] = f"""WITH {FX_INTER},
 a AS (SELECT COUNT(DISTINCT userId) AS u, COUNT(DISTINCT itemId) AS i FROM fx_inter),
 unseen AS (SELECT userId, (SELECT i FROM a) - COUNT(*) AS n FROM fx_inter GROUP BY userId)
-SELECT 'F3' AS output, u AS rows FROM a
-UNION ALL SELECT 'F4', CAST(SUM(least(n, 5)) AS BIGINT) FROM unseen
-UNION ALL SELECT 'Retrieval', COUNT(*) FROM unseen WHERE n > 0
-UNION ALL SELECT 'F6', COUNT(*) FROM part
-UNION ALL SELECT 'F7', COUNT(*) FROM customer"""
+SELECT 'F3' AS output, u AS rows, CAST(NULL AS BIGINT) AS total, 'userId,similarUsers' AS columns FROM a
+UNION ALL SELECT 'F4', CAST(SUM(least(n, 5)) AS BIGINT), NULL, 'userId,itemId,score' FROM unseen
+UNION ALL SELECT 'Retrieval', COUNT(*), NULL, 'userId,itemId' FROM unseen WHERE n > 0
+UNION ALL SELECT 'F5', NULL, CAST(SUM(least(n, 100)) AS BIGINT), 'itemId,user_count' FROM unseen
+UNION ALL SELECT 'F6', COUNT(*), NULL, 'itemId,length,comment,like,watch,share,name,userId,category,cluster' FROM part
+UNION ALL SELECT 'F7', COUNT(*), NULL, 'userId,itemId,name,gender,following,age,fans,cluster' FROM customer
+UNION ALL SELECT 'Filtered_Recommendations', COUNT(*), NULL, 'userId,itemId' FROM unseen WHERE n > 0"""
 
 ORACLES["factor_loss"] = f"""WITH {FACTORS},
 cells AS (

@@ -193,3 +193,27 @@ def factor_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     cand = users.select("userId", F.explode(F.sequence(F.lit(0), F.col("label"))).alias("j")) \
         .select("userId", (F.col("userId") + 2 * F.col("j") + 1).alias("itemId"))
     return cand.join(items, "itemId", "left_semi").select("userId", "itemId")
+
+
+PAGE_RECORDS = 20
+
+
+def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, status, body: stored JSON answers of a search, ``PAGE_RECORDS`` parts a page.
+
+    Some records lack the counts that have a default; some pages failed, were
+    cut off, hold no list, or have a record without author."""
+    p = read_table(spark, sf_dir, "part")
+    k, page = F.col("p_partkey"), F.floor(F.col("p_partkey") / PAGE_RECORDS).cast("long")
+    author = F.when(~((page % 23 == 4) & (k % PAGE_RECORDS == 7)), F.concat(F.lit("up"), F.col("p_size").cast("string")))
+    record = F.struct(
+        F.concat(F.lit('<em class="keyword">'), F.col("p_brand"), F.lit("</em> "), F.col("p_name")).alias("title"), author.alias("author"),
+        F.concat(F.lit("BV"), k.cast("string")).alias("bvid"), (F.lit(1500000000) + k * 3600).alias("pubdate"),
+        F.concat(F.col("p_size").cast("string"), F.lit(":07")).alias("duration"), F.when(k % 5 != 0, k % 1000).alias("video_review"),
+        F.when(k % 7 != 0, k * 3).alias("like"), (k * 10).alias("play"), (k % 100).alias("favorites"), F.col("p_type").alias("typename"),
+        F.concat_ws(",", "p_brand", "p_type").alias("tag"), F.concat(F.lit('"'), F.col("p_name"), F.lit('"\n')).alias("description"))
+    pages = p.groupBy(page.alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), record.alias("r")))).alias("rs"))
+    whole = F.to_json(F.struct(F.lit(0).alias("code"), F.struct(F.transform("rs", lambda x: x["r"]).alias("result")).alias("data")))
+    n = F.col("page_id")
+    cut = F.when(n % 17 == 3, F.expr("substr(body, 1, length(body) - 10)")).when(n % 31 == 6, F.lit('{"code": -412}')).otherwise(F.col("body"))
+    return pages.select("page_id", whole.alias("body")).select("page_id", F.when(n % 29 == 5, 412).otherwise(200).alias("status"), cut.alias("body"))
