@@ -1,8 +1,8 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary made of a bounded sample
-of its labelled texts: a few pieces from all over each of them, without phrases
-that another language's sample has too or that were already taken.  A text is lower-cased, stripped of ASCII digits and
+of its labelled texts, whole, without phrases that another language's sample
+has too or that were already taken.  A text is lower-cased, stripped of ASCII digits and
 signs, cut into blocks (the whole text, so the dictionary matters throughout)
 and compressed with every dictionary; the smallest total names the language.
 A text so short that zstandard would store it as it is, is repeated first: the
@@ -25,13 +25,12 @@ from pyspark.sql import types as T
 
 from rivulet.llm.common import fresh, map_text
 
-#: Texts sampled for each language, and characters taken of one, in pieces: the bound of what is learned from.
-SAMPLE_TEXTS = 448
-SAMPLE_CHARS = 256
-PIECES = 4
+#: Whole texts sampled for each language, and languages learned, those with the most documents: the bound of what is
+#: learned from.  Every text is compressed with every dictionary, so time grows with the languages.
+SAMPLE_TEXTS = 128
+LANGUAGES = 256
 #: Words in a row that are taken once.
 PHRASE = 4
-DICT_BYTES = 112 * 1024
 BLOCK_BYTES = 2048
 #: Texts of fewer bytes are repeated, ``COPIES`` times and to this size at least.
 SHORT_BYTES = 128
@@ -58,30 +57,36 @@ def held_out(id_col: str) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary bytes of every language of the documents that are not held out.
 
-    The sample of a language are the documents with the smallest id hashes, of
-    each the pieces of ``_pieces``; rows with a null id, text or language are
-    not learned from.
+    The sample of a language are the documents with the smallest hashes of id and
+    text; rows with a null id, text or language are not learned from.  Counts a
+    language give a hash below which about four times the sample lies, so that
+    no task ranks a whole language; one with too few rows below it (copies of
+    one row) is ranked whole.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).where(~held_out("id"))
-    rows = rows.select("lang", F.xxhash64("id").alias("h"), "id", _pieces("id", "text").alias("pieces"))
-    first = Window.partitionBy("lang").orderBy("h", "id", "pieces")
-    got = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_TEXTS).collect()
-    sample: dict[str, list[list[str]]] = {}
-    for r in sorted(got, key=lambda r: (r["lang"], -r["rank"])):
-        sample.setdefault(r["lang"], []).append(r["pieces"])
-    return _dictionaries(_cleaned(_distinct(sample)))
-
-
-def _pieces(id_col: str, text_col: str) -> Column:
-    """A text up to ``SAMPLE_CHARS``, else a piece at an id-hashed place of each of its ``PIECES`` equal parts."""
-    n, size = F.length(text_col), SAMPLE_CHARS // PIECES
-    part = F.floor(n / PIECES).cast("int")
-    cut = []
-    for i in range(PIECES):
-        at = F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), F.greatest(part - size + 1, F.lit(1))).cast("int")
-        cut.append(F.substring(F.col(text_col), part * i + at + 1, F.lit(size)))
-    return F.when(n <= SAMPLE_CHARS, F.array(text_col)).otherwise(F.array(*cut))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if not counts:
+        return {}
+    rows = rows.withColumn("h", F.xxhash64("id", "text"))
+    got = _smallest(rows, {lang: min(1.0, 4 * SAMPLE_TEXTS / n) for lang, n in counts.items()})
+    short = [lang for lang, n in counts.items() if len(got.get(lang, [])) < min(SAMPLE_TEXTS, n)]
+    if short:
+        got |= _smallest(rows, dict.fromkeys(short, 1.0))
+    return _dictionaries(_cleaned(_distinct({lang: [[t] for t in reversed(texts)] for lang, texts in sorted(got.items())})))
+
+
+def _smallest(rows: DataFrame, part: dict[str, float]) -> dict[str, list[str]]:
+    """The texts with the smallest hashes of each language, of those in the lowest ``part`` of all hashes."""
+    cuts = [(lang, min((1 << 63) - 1, int(p * (1 << 64)) - (1 << 63))) for lang, p in part.items()]
+    cut = rows.sparkSession.createDataFrame(cuts, "lang string, cut long")  # LANGUAGES rows at most
+    first = Window.partitionBy("lang").orderBy("h", "id", "text")
+    few = rows.join(F.broadcast(cut), "lang").where(F.col("h") <= F.col("cut"))
+    got = few.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_TEXTS).select("lang", "rank", "text").collect()
+    out: dict[str, list[str]] = {}
+    for r in sorted(got, key=lambda r: (r["lang"], r["rank"])):
+        out.setdefault(r["lang"], []).append(r["text"])
+    return out
 
 
 def _phrases(words: list[bytes]) -> list[tuple[bytes, ...]]:
@@ -119,7 +124,7 @@ def _distinct(sample: dict[str, list[list[str]]]) -> dict[str, list[str]]:
 
 
 def _dictionaries(sample: dict[str, list[str]]) -> dict[str, bytes]:
-    return {k: b" ".join(map(plain, v))[-DICT_BYTES:] for k, v in sorted(sample.items())}
+    return {k: b" ".join(map(plain, v)) for k, v in sorted(sample.items())}
 
 
 def _cleaned(sample: dict[str, list[str]]) -> dict[str, list[str]]:
@@ -174,7 +179,8 @@ def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", c
 
     Null text and text without a letter: ``und``, score 0, not accepted.  Only
     the text is looked at; repeated rows get the same answer.  With no learned
-    language everything is ``und``.
+    language everything is ``und``; with more than ``LANGUAGES`` in the table,
+    those with the fewest documents are never answered.
     """
     columns = columns or docs.columns
     known = tuple(sorted(model.items()))

@@ -45,9 +45,14 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(lang_zstd.held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_result.*")
 
 
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, doc_id): a page shows the document whose number ends its path."""
+    return table(spark, sf_dir, "pages").select("url", F.regexp_extract("url", r"/(\d+)[^/?#]*/?(?:[?#].*)?$", 1).try_cast("long").alias("doc_id"))
+
+
 def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(url, bad): a page shows the document whose number ends its path; bad if that is labelled toxic or of low quality."""
-    pages = table(spark, sf_dir, "pages").select("url", F.regexp_extract("url", r"/(\d+)[^/?#]*/?(?:[?#].*)?$", 1).try_cast("long").alias("doc_id"))
+    """(url, bad): bad if the document of the page is labelled toxic or of low quality."""
+    pages = page_documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return pages.join(labels, "doc_id").select("url", "bad")
 
@@ -57,7 +62,10 @@ def op7_url_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = site_bayes.site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
+    url = F.col("url")  # host, and the first part of the path, of the page that shows the document
+    places = page_documents(spark, sf_dir).where("doc_id IS NOT NULL").select(
+        "doc_id", F.nullif(url_gbt.host_of(url), F.lit("")).alias("site"), F.regexp_extract(url_gbt.path_of(url), "^/?([^/]*)", 1).alias("path"))
+    out = site_bayes.site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"], places=places)
     r = F.col("quality_result")
     return out.select("doc_id", *[F.round(r[c], 9).alias(c) for c in ("doc_prob", "site_prob", "path_prob", "prob")], r["kept"].alias("kept"))
 

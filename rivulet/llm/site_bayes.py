@@ -144,11 +144,17 @@ def _logit(p: Column) -> Column:
 
 def site_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  site: str = "source", path: str = "lang", label_id: str = "doc_id", label: str = "quality",
-                 label_limit: int = LABEL_LIMIT, columns: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
+                 label_limit: int = LABEL_LIMIT, columns: list[str] | None = None, threshold: float = 0.5,
+                 places: DataFrame | None = None) -> DataFrame:
     """``columns`` of ``docs`` (default all) and a struct ``quality_result`` (renamed if taken) with
     doc_prob, site_prob, path_prob, prob, kept.
 
-    site_prob and path_prob are the shrunk means without the document itself;
+    ``places`` (id, site, path) names the site and path of documents, host and
+    path of their page, say; ids it lacks, or has a null site for, take the columns ``site`` and
+    ``path``.  Of several rows of an id the smallest counts.  The join with it
+    moves ``columns``, so leave the text out of them.  Without ``places`` nothing is joined by id.
+    The texts are read twice: for the labelled sample, and for the evidence,
+    which is written once and then read.  site_prob and path_prob are the shrunk means without the document itself;
     kept: prob >= threshold.  Null and empty texts get the evidence of a text
     without words.  Null sites and paths are groups of their own.  Null ids are
     judged but never labelled, repeated rows judged each.  Without labels of
@@ -156,16 +162,26 @@ def site_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """
     columns = columns or docs.columns
     model = classifier(docs, labels, id_col, text_col, label_id, label, label_limit)
-    keep = list(dict.fromkeys([*columns, site, path]))
     p, result = fresh(docs.columns, "p", "quality_result")
-    ev = evidence(docs.select(F.col(f"`{site}`").alias("site"), F.col(f"`{path}`").alias("path"), F.col(f"`{text_col}`").alias("text")),
-                  "text", ["site", "path"], model, "p")
-    groups, prior = group_posteriors(ev, "site", "path")
-    g = groups.select(F.struct("*").alias("g"), F.col("site").alias("__site"), F.col("path").alias("__path"))
-    g = g.toDF(*fresh([*docs.columns, p], "g", "__site", "__path"))
+    own_site, own_path = fresh([*docs.columns, p, result], "own_site", "own_path")
+    keep = list(dict.fromkeys([*columns, id_col, site, path]))
+    named = evidence(docs, text_col, keep, model, p)
+    if places is not None:
+        key, = fresh([*docs.columns, p, result, own_site, own_path], "place_id")
+        where = places.toDF(key, "site", "path").where(F.col("site").isNotNull()).groupBy(key).agg(
+            F.min(F.struct(F.col("site").cast("string").alias("site"), F.col("path").cast("string").alias("path"))).alias(own_path))
+        named = named.join(where, F.col(f"`{id_col}`") == F.col(key), "left").drop(key)
+        known = F.col(own_path).isNotNull()  # a page's host is never the same site as a source of that name
+        named = named.withColumn(own_site, F.when(known, F.concat(F.lit("host "), F.col(own_path)["site"])).otherwise(F.concat(F.lit("source "), F.col(f"`{site}`").cast("string"))))
+        named = named.withColumn(own_path, F.when(known, F.col(own_path)["path"]).otherwise(F.col(f"`{path}`").cast("string")))
+    else:
+        named = named.withColumn(own_site, F.col(f"`{site}`")).withColumn(own_path, F.col(f"`{path}`"))
+    named = staged(named, "evidence")
+    groups, prior = group_posteriors(named.select(F.col(own_site).alias("site"), F.col(own_path).alias("path"), F.col(p).alias("p")), "site", "path")
+    g = groups.select(F.struct("*").alias("g"), F.col("site").alias("g_site"), F.col("path").alias("g_path"))
+    g = g.toDF(*fresh(named.columns, "g", "g_site", "g_path"))
     gs, gp = g.columns[1:]
-    named = evidence(docs, text_col, keep, model, p).join(
-        g, F.col(f"`{site}`").eqNullSafe(g[gs]) & F.col(f"`{path}`").eqNullSafe(g[gp]))
+    named = named.join(g, F.col(own_site).eqNullSafe(g[gs]) & F.col(own_path).eqNullSafe(g[gp]))
     own, st = F.col(p), F.col(g.columns[0])
     mu = F.lit(prior["mean"])
     site_prob = ((st["site_s"] - own) / MICRO + prior["site"] * mu) / (st["site_n"] - 1 + prior["site"])
