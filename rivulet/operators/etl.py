@@ -113,8 +113,12 @@ def category_share(items: DataFrame, cat_col: str = "category", watch_col: str =
     return cats.withColumn("share", F.col("cat_watch") / F.lit(float(total)) if total else F.lit(None))
 
 
+#: Smallest and largest quota of an item whose category has users.
+QUOTA_LOW, QUOTA_HIGH = 20, 100
+
+
 def audience_quota(items: DataFrame, n_users: int, cat_col: str = "category", watch_col: str = "watch",
-                   lo: int = 20, hi: int = 100, scale: int = 100) -> DataFrame:
+                   lo: int = QUOTA_LOW, hi: int = QUOTA_HIGH, scale: int = 100) -> DataFrame:
     """(itemId, category, k) (C14, F4): a category pool of
     min(round(share * n_users * scale), n_users) users; per item
     k = clamp(round(pool * scale * watch / cat_watch), lo, hi), or 0 when the
@@ -129,14 +133,16 @@ def audience_quota(items: DataFrame, n_users: int, cat_col: str = "category", wa
     return j.select("itemId", cat_col, F.when(ok, k).otherwise(F.lit(0)).cast("long").alias("k"))
 
 
-def keyed_sample(df: DataFrame, group: str, id_col: str, k: int | str, seed: int = 42) -> DataFrame:
+def keyed_sample(df: DataFrame, group: str, id_col: str, k: int | str, seed: int = 42, at_most: int | None = None) -> DataFrame:
     """Deterministic sample without replacement: per group the rows with the
     smallest md5('seed:group:id') (T5, T6).  ``k`` is a number or a column
-    with a per-group size; its maximum is read first, so that the window keeps
-    no more rows of a group than that before the shuffle (WindowGroupLimit)."""
+    with a per-group size that is never above ``at_most`` (for quotas, their upper
+    clamp): the window keeps no more rows of a group than that before the shuffle
+    (WindowGroupLimit).  Without ``at_most`` the largest size is read first, which
+    runs ``df`` twice."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"), F.col(id_col).cast("string")))
     w = Window.partitionBy(group).orderBy(key, F.col(id_col))
-    limit = k if isinstance(k, int) else df.agg(F.max(k)).first()[0] or 0
+    limit = k if isinstance(k, int) else at_most if at_most is not None else df.agg(F.max(k)).first()[0] or 0
     ranked = df.withColumn("rank", F.row_number().over(w))
     ranked = ranked.where(F.col("rank") <= limit)
     if isinstance(k, str):

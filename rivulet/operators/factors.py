@@ -13,6 +13,11 @@ come along as a list per (user, item block) and are masked before selection, so
 each pair emits at most n rows per user, which also carry the lowest and
 highest unseen score of the block.  One window per user then gives the exact
 top n, minimum and maximum: users x blocks x n rows, never users x items.
+
+An item table of at most ``max_slice_bytes`` (counted first) is broadcast
+instead: users stream through one Arrow stage beside their lists of seen items,
+nothing is copied per block, every user's rows are final where they are made, and
+``scoring.ItemBlock`` skips the items that cannot reach a user's list or ends.
 """
 
 from __future__ import annotations
@@ -24,11 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from rivulet.functions.lists import long_to_wide
 from rivulet.operators.etl import encode_ids
+from rivulet.operators.scoring import ItemBlock
 from rivulet.operators.topk import rank_key, top_k
+from rivulet.session import ship_package
 
 SCORE_DIGITS = 9          # ranking key: raw score rounded to this many digits
 DEFAULT_SLICE_BYTES = 64 << 20   # numpy bytes of one block of users or items
@@ -154,12 +161,69 @@ def factor_candidates(users: DataFrame, items: DataFrame, seen: DataFrame, n: in
     return pairs[0].cogroup(pairs[1]).applyInPandas(fn, schema)
 
 
+def _flat(col) -> np.ndarray:
+    """The values of a list column's rows, one after another."""
+    return col.flatten().to_numpy(zero_copy_only=False)
+
+
+def _streamed(users: DataFrame, items: DataFrame, seen: DataFrame, n: int, user_bias: str | None, item_bias: str | None,
+              cells=None) -> DataFrame:
+    """(userId, itemId, raw, mn, mx, rank): the final rows of every user, with the item table in every task.
+
+    ``cells`` (an accumulator) counts the user-item cells that were multiplied."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    spark = users.sparkSession
+    ship_package(spark)
+    u = _with_bias(users.select("userId", "features", *([user_bias] if user_bias in users.columns else [])), user_bias)
+    it = _with_bias(items.select("itemId", "features", *([item_bias] if item_bias in items.columns else [])), item_bias)
+    uid, iid = u.schema["userId"].dataType, it.schema["itemId"].dataType
+    table = it.select("itemId", "features", "bias").where("itemId IS NOT NULL").toArrow()   # max_slice_bytes at most
+    table = table.take(pc.sort_indices(table.column(0))).combine_chunks()
+    ids = table.column(0).combine_chunks()
+    v = np.zeros((0, 1)) if not len(ids) else _flat(table.column(1).combine_chunks()).astype(np.float64).reshape(len(ids), -1)
+    known = spark.sparkContext.broadcast((ids, v, table.column(2).to_numpy().astype(np.float64)))
+    lists = (seen.select(F.col("userId").cast(uid), F.col("itemId").cast(iid)).where("itemId IS NOT NULL")
+             .groupBy("userId").agg(F.collect_set("itemId").alias("seen")))
+    rows = u.select("userId", "features", "bias").join(lists, "userId", "left").select("userId", "features", "bias", "seen")
+    schema = StructType([StructField("userId", uid), StructField("itemId", iid), *[StructField(c, DoubleType()) for c in ("raw", "mn", "mx")],
+                         StructField("rank", LongType())])
+
+    def run(batches):
+        ids, v, bias = known.value
+        block = ItemBlock(v, bias) if len(v) else None
+        step = max(1, CHUNK_CELLS // 2048)
+        for whole in batches:
+            for at in range(0, whole.num_rows if block else 0, step):
+                b = whole.slice(at, step)
+                x = _flat(b.column(1)).astype(np.float64).reshape(b.num_rows, -1)
+                have = pc.fill_null(pc.list_value_length(b.column(3)), 0).to_numpy(zero_copy_only=False)
+                pos = pc.index_in(b.column(3).flatten(), value_set=ids)
+                ok = pos.is_valid().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(b.num_rows), have)[ok]
+                pos = pc.fill_null(pos, -1).to_numpy(zero_copy_only=False)[ok].astype(np.int64)
+                r, p, score, mn, mx, n_cells = block.best_unseen(x, b.column(2).to_numpy(zero_copy_only=False), row, pos, n)
+                if cells is not None:
+                    cells.add(int(n_cells))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(r)), ids.take(pa.array(p)), pa.array(score), pa.array(mn[r]), pa.array(mx[r]),
+                     pa.array(np.arange(len(r)) - np.searchsorted(r, r) + 1)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def factor_recommend(users: DataFrame, items: DataFrame, seen: DataFrame, n: int = 5,
                      user_bias: str | None = "bias", item_bias: str | None = "bias",
-                     max_slice_bytes: int = DEFAULT_SLICE_BYTES, digits: int = 4) -> DataFrame:
+                     max_slice_bytes: int = DEFAULT_SLICE_BYTES, digits: int = 4, cells=None) -> DataFrame:
     """(userId, itemId, score, rank), best first, score min-max scaled over the
     user's unseen items and rounded to ``digits`` (C5).  A user with fewer than
     n unseen items gets fewer rows; one who saw everything gets none."""
+    facts = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("rank")).first()
+    if facts["n"] * ((facts["rank"] or 0) + 2) * 8 <= max_slice_bytes:
+        top = _streamed(users, items, seen, n, user_bias, item_bias, cells)
+        denom = F.when(F.col("mx") == F.col("mn"), F.lit(1.0)).otherwise(F.col("mx") - F.col("mn"))
+        return top.select("userId", "itemId", F.round((F.col("raw") - F.col("mn")) / denom, digits).alias("score"), "rank")
     cand = factor_candidates(users, items, seen, n, user_bias, item_bias, max_slice_bytes)
     w = Window.partitionBy("userId")
     cand = cand.withColumn("mn", F.min("mn").over(w)).withColumn("mx", F.max("mx").over(w))

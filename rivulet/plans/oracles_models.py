@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rivulet.plans.oracles import FX_INTER, ORACLES
+from rivulet.plans.oracles import FACTORS, FX_INTER, ORACLES
 
 
 def minibatch_sql(features_sql: str, key: str, features: list[str], k: int, batch_size: int, batches: int) -> str:
@@ -41,3 +41,7 @@ ORACLES["factor_train_facts"] = f"""WITH {FX_INTER}
 SELECT COUNT(DISTINCT userId) AS users, COUNT(DISTINCT userId) AS whole, COUNT(DISTINCT itemId) AS items, CAST(8 AS BIGINT) AS half_sweeps,
        CAST(0 AS BIGINT) AS rises, TRUE AS learned
 FROM fx_inter"""
+
+ORACLES["factor_recommend_pruned_facts"] = f"""WITH {FACTORS}
+SELECT CAST(SUM(least(5, (SELECT COUNT(*) FROM itf) - COALESCE(n, 0))) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS off
+FROM uf LEFT JOIN (SELECT userId, COUNT(*) AS n FROM seen GROUP BY userId) k ON k.userId = uf.userId"""

@@ -120,7 +120,7 @@ def q_stratified_sample_spread(spark, sf_dir):
     """Audiences larger than their quota, and quotas of 0."""
     quota = _quota(spark, sf_dir, T.skewed_items(spark, sf_dir)).select("itemId", "k")
     aud = T.interactions(spark, sf_dir).join(quota, "itemId")
-    s = etl.keyed_sample(aud, "itemId", "userId", "k", seed=42)
+    s = etl.keyed_sample(aud, "itemId", "userId", "k", seed=42, at_most=etl.QUOTA_HIGH)
     return s.select("itemId", "userId", F.col("rank").cast("long").alias("rank"))
 
 
@@ -184,7 +184,7 @@ def q_stratified_sample(spark, sf_dir):
     md5 of '42:item:user'."""
     quota = _quota(spark, sf_dir, T.items_table(spark, sf_dir)).select("itemId", "k")
     aud = T.interactions(spark, sf_dir).join(quota, "itemId")
-    s = etl.keyed_sample(aud, "itemId", "userId", "k", seed=42)
+    s = etl.keyed_sample(aud, "itemId", "userId", "k", seed=42, at_most=etl.QUOTA_HIGH)
     return s.select("itemId", "userId", F.col("rank").cast("long").alias("rank"))
 
 

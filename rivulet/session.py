@@ -8,6 +8,7 @@ session runs in local mode and nothing is configured (tests, local bench).
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -61,3 +62,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the application, once."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "rivulet_operators"), "zip", root, "rivulet"))
+        _SHIPPED.add(sc.applicationId)
