@@ -16,6 +16,7 @@ the files that count; a lost executor leaves at most an unnamed file.
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import struct
 import zlib
@@ -62,22 +63,40 @@ def _plain(text: str) -> str:
     return END_SIGNS.sub(r" \g<0>", text.lower() if text.isascii() else text)
 
 
+# The rules of a tokenizer file under which ``_plain`` and encoding by words are right.
+WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def parts_at_blanks(model: str) -> bool:
+    """Whether the tokenizer file has the rules above, with nothing that looks over a blank."""
+    m = json.loads(model)
+    cut = (m.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    return ((m.get("normalizer") or {}).get("normalizers") == WORD_NORMALIZER and cut[0] == WORD_SPLIT
+            and all(s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in cut[1:])
+            and not any(t["lstrip"] or t["rstrip"] for t in m.get("added_tokens") or []) and not m.get("truncation") and not m.get("padding"))
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library, each distinct word once.
 
-    Blanks and line feeds always end a token of the tokenizers used here, and
-    neither normalisation nor lower-casing reaches over them, so the ids of a
-    text are those of its words, one after another (tested against whole texts).
+    Where blanks and line feeds always end a token, and neither normalisation
+    nor lower-casing reaches over them (``parts_at_blanks``), the ids of a text
+    are those of its words, one after another (tested against whole texts).
+    Texts for any other tokenizer are encoded whole.
     """
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(model)
+        self.by_word = parts_at_blanks(model)
         self.known: dict[str, bytes] = {}
         self.held = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        if not self.by_word:
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         cut = [_plain(t).replace("\n", " ").split(" ") for t in texts]
         met = set().union(*cut)
         new = met.difference(self.known)
