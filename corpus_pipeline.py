@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rivulet.llm import hyperminhash, lang_zstd, prefix_bpe, raking, site_bayes
-from rivulet.llm.common import staged
+from rivulet.llm.common import scratch, work_dir
 from rivulet.llm.queries import mix_dims, table
 
 
@@ -51,5 +51,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; every stage's result is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        path = work_dir(spark, name)
+        with scratch(spark):  # what the stage wrote on its way goes once its result is there
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
