@@ -101,10 +101,10 @@ def text_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) ->
 
 
 def map_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField],
-             fn: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+             fn: Callable[[pa.Array], list[pa.Array]], limit: int = SLICE_BYTES) -> DataFrame:
     """``keep`` columns of ``df`` with the columns that ``fn`` makes of each row's whole text.
 
-    ``fn`` gets a text array of bounded bytes and returns one Arrow array per field.
+    ``fn`` gets a text array of about ``limit`` bytes at most and returns one Arrow array per field.
     """
     own, = fresh(keep, "text_in")
     src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(own))
@@ -113,7 +113,7 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFie
 
     def run(batches):
         for b in batches:
-            for part in text_slices(b, n):
+            for part in text_slices(b, n, limit):
                 made = fn(part.column(n))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=out.names)
 

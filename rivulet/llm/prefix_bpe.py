@@ -31,6 +31,9 @@ PIECE_MEMORY = 500_000
 CHAR_MEMORY = 24_000_000
 PAIR_MEMORY = 400_000
 
+#: Text bytes whose pieces are looked up at once.
+TEXT_BYTES = 1 << 19
+
 
 def read_ranks(path: str) -> bytes:
     """A rank file (base64 token, blank, rank per line), read on the driver and sent to the tasks."""
@@ -231,7 +234,7 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, text_col: str =
             out.append(pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(body), np.int32))))
         return out
 
-    return map_text(docs, text_col, columns, [T.StructField(a, k) for a, k in zip(names, kinds)], fn)
+    return map_text(docs, text_col, columns, [T.StructField(a, k) for a, k in zip(names, kinds)], fn, TEXT_BYTES)
 
 
 def decode_ids(tokens: DataFrame, rank_path: str, ids_col: str = "ids") -> DataFrame:
