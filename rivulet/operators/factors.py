@@ -29,13 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegralType, LongType, StructField, StructType
 
 from rivulet.functions.lists import long_to_wide
 from rivulet.operators.etl import encode_ids
 from rivulet.operators.scoring import ItemBlock
 from rivulet.operators.topk import rank_key, top_k
-from rivulet.session import ship_package
+from rivulet.session import shared_path, ship_package
 
 SCORE_DIGITS = 9          # ranking key: raw score rounded to this many digits
 DEFAULT_SLICE_BYTES = 64 << 20   # numpy bytes of one block of users or items
@@ -327,21 +327,41 @@ def train_factors(inter: DataFrame, rank: int = 32, max_iter: int = 10, reg: flo
 
     Every distinct interaction gets rating 1 (P15).  Weight 1 for observed and
     ``unobserved_weight`` for the rest is ALS confidence 1 + alpha with
-    alpha = 1 / unobserved_weight - 1.  Ids of any type: ALS itself works on dense
-    codes 0..n-1 (``encode_ids``), which the factors are decoded from."""
+    alpha = 1 / unobserved_weight - 1.  Whole-number ids that fit ALS's 32 bits are
+    used as they are; ids of any other type or size are replaced by dense codes
+    0..n-1 (``encode_ids``), which the factors are decoded from."""
     from pyspark.ml.recommendation import ALS
 
-    d = inter.select("userId", "itemId").where("userId IS NOT NULL AND itemId IS NOT NULL")
-    _, users = encode_ids(d, "userId", "u")
-    _, items = encode_ids(d, "itemId", "i")
-    ratings = d.distinct().join(users, "userId").join(items, "itemId").select(F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"),
-                       F.lit(1.0).alias("rating"))
+    d = inter.select("userId", "itemId").where("userId IS NOT NULL AND itemId IS NOT NULL").distinct()
+    plain = _small_integers(d)
+    if plain:
+        ratings = d.select(F.col("userId").cast("int").alias("u"), F.col("itemId").cast("int").alias("i"), F.lit(1.0).alias("rating"))
+    else:
+        path = shared_path(inter.sparkSession, "als-pairs")
+        d.write.parquet(path)
+        d = inter.sparkSession.read.schema(d.schema).parquet(path)    # read by both dictionaries and the ratings
+        _, users = encode_ids(d.select("userId"), "userId", "u")
+        _, items = encode_ids(d.select("itemId"), "itemId", "i")
+        ratings = d.join(users, "userId").join(items, "itemId").select(
+            F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"), F.lit(1.0).alias("rating"))
     # one block per core: ALS's fixed default of 10 under-uses a large cluster
     blocks = max(2, inter.sparkSession.sparkContext.defaultParallelism)
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, implicitPrefs=True,
               alpha=1.0 / unobserved_weight - 1.0, userCol="u", itemCol="i", ratingCol="rating",
               seed=seed, coldStartStrategy="drop", numUserBlocks=blocks, numItemBlocks=blocks)
     model = als.fit(ratings)
+    if plain:
+        kinds = [inter.schema[c].dataType for c in ("userId", "itemId")]
+        return tuple(f.select(F.col("id").cast(k).alias(c), "features") for f, k, c in
+                     zip((model.userFactors, model.itemFactors), kinds, ("userId", "itemId")))
     uf = model.userFactors.join(users, F.col("id") == F.col("u")).select("userId", "features")
     itf = model.itemFactors.join(items, F.col("id") == F.col("i")).select("itemId", "features")
     return uf, itf
+
+
+def _small_integers(pairs: DataFrame) -> bool:
+    """Whether both ids are whole numbers within 32 bits."""
+    if not all(isinstance(pairs.schema[c].dataType, IntegralType) for c in ("userId", "itemId")):
+        return False
+    r = pairs.agg(F.least(F.min("userId"), F.min("itemId")), F.greatest(F.max("userId"), F.max("itemId"))).first()
+    return r[0] is None or (-(1 << 31) <= r[0] and r[1] < (1 << 31))

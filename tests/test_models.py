@@ -51,3 +51,14 @@ def test_kmeans_cost_does_not_rise(spark):
         cen = rows.select(F.col("cluster").cast("long").alias("vec_id"),
                           F.transform("v", lambda x: x["value"].cast("float")).alias("embedding"))
     assert costs[1] <= costs[0] + 1e-9 and costs[2] <= costs[1] + 1e-9
+
+
+def test_factors_of_ids_of_any_type(spark):
+    inter = T.interactions(spark, SF).where("userId < 60")
+    big = inter.select((F.col("userId") + (1 << 40)).alias("userId"), F.col("itemId").cast("string").alias("itemId"))
+    assert fac._small_integers(inter) and not fac._small_integers(big) and not fac._small_integers(big.select("userId", F.col("userId").alias("itemId")))
+    for pairs in (inter, big):
+        uf, itf = fac.train_factors(pairs, rank=3, max_iter=2)
+        assert uf.dtypes[0] == pairs.dtypes[0] and itf.dtypes[0] == pairs.dtypes[1]
+        assert {r[0] for r in uf.select("userId").collect()} == {r[0] for r in pairs.select("userId").distinct().collect()}
+        assert {r[0] for r in itf.select("itemId").collect()} == {r[0] for r in pairs.select("itemId").distinct().collect()}
