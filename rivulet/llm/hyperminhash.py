@@ -24,16 +24,19 @@ shingles: similar sets of n share one of the first n - ceil(t n) + 1 in the
 order of the hashes, and no such pair is lost.
 
 Skew: copies collapse before anything else; band groups reduce to a few numbers
-with map-side combining; a group beyond ``GROUP`` nodes, and a cluster beyond
-``block`` shingles, is dealt to pairs of blocks, each a group of its own, so no
-task holds an unbounded group and no pair is left out.
+with map-side combining; a group beyond ``GROUP`` nodes is dealt to pairs of
+blocks, each a group of its own.  A cluster beyond ``block`` shingles is dealt to
+blocks too: first every block is confirmed together with a few pivots of the
+cluster, which joins nearly all of a group of near copies; then only the nodes
+outside the largest component so found, the rest, meet every block.  No task holds
+an unbounded group and no pair is left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,9 +49,11 @@ REGISTERS = 1 << P_BITS
 R_BITS = 10
 #: Standard deviations that an estimate may lie below the threshold before a pair is rejected unverified.
 SLACK = 6.0
-#: Shingles and nodes of one block of a cluster; larger clusters are split into block pairs.
-BLOCK = 1 << 20
-BLOCK_NODES = 1 << 13
+#: Shingles and nodes of one block of a cluster; larger clusters are split into blocks.
+BLOCK = 1 << 17
+BLOCK_NODES = 1 << 12
+#: Nodes of a split cluster that every block of it holds at first.
+PIVOTS = 4
 #: Sets of fewer shingles are candidates by single shingles too.
 SMALL = 16
 #: Nodes of a candidate group that one task holds.
@@ -301,13 +306,32 @@ def _likely(groups: DataFrame, num: int, den: int) -> DataFrame:
     return map_arrow(g, run, "a long, b long")
 
 
-def _verified(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Spanning links, confirmed on full sets, of the clusters (cluster, i, j, node, body)."""
+def missing_links(ids: np.ndarray, size: np.ndarray, regs: np.ndarray, part: np.ndarray, num: int, den: int, confirm) -> np.ndarray:
+    """Links that join the parts of one group, found as in ``link_group`` but from rows already parted."""
+    order = np.lexsort((ids, size))
+    size_, regs, part = size[order], regs[order], part[order].copy()
+    out = []
+    for i in range(len(ids) - 1):
+        hi = int(np.searchsorted(size_, size_[i] * den // num, "right"))
+        c = i + 1 + np.flatnonzero(part[i + 1:hi] != part[i])
+        for at in range(0, len(c), 4096):
+            j = c[at:at + 4096]
+            for x in j[estimated(regs[j], regs[i], size_[j], size_[i], num / den)]:
+                if part[x] != part[i] and confirm(order[i], order[x]):
+                    out.append((ids[order[i]], ids[order[x]]))
+                    part[part == part[x]] = part[i]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _verified(groups: DataFrame, num: int, den: int, parted: bool = False) -> DataFrame:
+    """Spanning links, confirmed on full sets, of the groups (cluster, i, j, node, part, body); with ``parted``
+    only those between rows of different parts."""
     def run(batches):
         for t, at in _groups(batches, 3):
-            ids, body = t.column(3).to_numpy(), t.column(4)
+            ids, part, body = t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5)
             found = []
             for g in np.flatnonzero(np.diff(at) > 1):
+                s = slice(at[g], at[g + 1])
                 sets = [np.frombuffer(body[r].as_buffer(), np.uint64) for r in range(at[g], at[g + 1])]
                 size = np.array([len(x) for x in sets], np.int64)
 
@@ -316,11 +340,39 @@ def _verified(groups: DataFrame, num: int, den: int) -> DataFrame:
                     return den * both >= num * (size[i] + size[j] - both)
 
                 regs = registers(np.concatenate(sets), np.concatenate(([0], np.cumsum(size))))
-                found.append(link_group(ids[at[g]:at[g + 1]], size, regs, num, den, confirm))
+                found.append(missing_links(ids[s], size, regs, part[s], num, den, confirm) if parted else
+                             link_group(ids[s], size, regs, num, den, confirm))
             yield from _edges(found)
 
     g = groups.repartition("cluster", "i", "j").dropDuplicates(["cluster", "i", "j", "node"])  # repeated rows; needs no other exchange
-    return map_arrow(g.sortWithinPartitions("cluster", "i", "j", "node").select("cluster", "i", "j", "node", "body"), run, "a long, b long")
+    return map_arrow(g.sortWithinPartitions("cluster", "i", "j", "node").select("cluster", "i", "j", "node", "part", "body"), run, "a long, b long")
+
+
+def _split_clusters(body: DataFrame, block: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of clusters of several blocks; ``body``: (node, cluster, blocks, n_shingles, body), written."""
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    first = Window.partitionBy("cluster").orderBy(F.xxhash64("node"), "node")
+    pivots = (body.select("node", "cluster").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= PIVOTS)
+              .select("node", "cluster", F.lit(True).alias("pivot")))
+    rows = body.join(pivots, ["node", "cluster"], "left")
+    place = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(mine))
+    dealt = rows.withColumn("i", F.explode(place)).select("cluster", "i", F.col("i").alias("j"), "node", F.lit(0).cast("long").alias("part"), "body")
+    links = staged(_verified(dealt, num, den), "block-links")
+    part = connected_components(links)
+    known = staged(body.select("node", "cluster", "blocks", "n_shingles").distinct().join(part.toDF("node", "component"), "node", "left")
+                   .withColumn("part", F.coalesce("component", "node")).drop("component"), "parts")
+    main = known.groupBy("cluster", "part").count().groupBy("cluster").agg(F.max_by("part", F.struct("count", -F.col("part"))).alias("main"))
+    rest = known.join(main, "cluster").where(F.col("part") != F.col("main"))
+    size = staged(rest.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n_shingles") / block), F.ceil(F.count(F.lit(1)) / BLOCK_NODES))
+                                              .cast("int").alias("rests")), "rests")
+    if size.isEmpty():
+        return links
+    here = body.select("node", "body").dropDuplicates(["node"]).join(known, "node").join(size, "cluster").join(main, "cluster")
+    here = here.withColumn("mine", mine).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests")).cast("int"))
+    by_block = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.struct(r.alias("i"), F.col("mine").alias("j")))
+    as_rest = F.when(F.col("part") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("own").alias("i"), b.alias("j"))))
+    dealt = here.withColumn("p", F.explode(F.array_union(by_block, F.coalesce(as_rest, by_block)))).select("cluster", "p.i", "p.j", "node", "part", "body")
+    return links.union(_verified(dealt, num, den, parted=True))
 
 
 def set_components(docs: DataFrame, sk: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str,
@@ -346,12 +398,19 @@ def set_components(docs: DataFrame, sk: DataFrame, k: int, num: int, den: int, i
     big = staged(member.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n_shingles") / block), F.ceil(F.count(F.lit(1)) / BLOCK_NODES))
                                                .cast("int").alias("blocks")).where("blocks > 1"), "big")
     member = member.join(big, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    text = docs.select(F.col(f"`{id_col}`").cast("long").alias("least"), F.col(f"`{text_col}`").alias("text")).join(member, "least")
-    body = map_text(text, "text", ["node", "cluster", "blocks", *name],
-                    [T.StructField("body", T.BinaryType()), *[T.StructField(c, L) for c in ("n", "x", "y")]], lambda text: _set_bodies(text, k))
-    body = body.where((F.col("n") == F.col("n_shingles")) & (F.col("x") == F.col("fp1")) & (F.col("y") == F.col("fp2")))  # not another text of this id
-    groups = _dealt(body, F.col("blocks"), "node", "cluster", "body").select("cluster", "i", "j", "node", "body")
-    comp = staged(connected_components(_verified(groups, num, den)).toDF("node", "component"), "components")
+
+    def bodies(which: DataFrame) -> DataFrame:
+        text = docs.select(F.col(f"`{id_col}`").cast("long").alias("least"), F.col(f"`{text_col}`").alias("text")).join(which, "least")
+        body = map_text(text, "text", ["node", "cluster", "blocks", *name],
+                        [T.StructField("body", T.BinaryType()), *[T.StructField(c, L) for c in ("n", "x", "y")]], lambda text: _set_bodies(text, k))
+        return body.where((F.col("n") == F.col("n_shingles")) & (F.col("x") == F.col("fp1")) & (F.col("y") == F.col("fp2")))  # not another text of this id
+
+    zero = F.lit(0)
+    links = _verified(bodies(member.where("blocks = 1")).select("cluster", zero.alias("i"), zero.alias("j"), "node", zero.cast("long").alias("part"), "body"), num, den)
+    if not big.isEmpty():
+        large = staged(bodies(member.where("blocks > 1")).select("node", "cluster", "blocks", "n_shingles", "body"), "bodies")
+        links = links.union(_split_clusters(large, block, num, den))
+    comp = staged(connected_components(links).toDF("node", "component"), "components")
     low = comp.union(comp.select("component", "component").distinct()).join(nodes.select("node", "least"), "node").groupBy("component").agg(
         F.min("least").alias("component_id"))
     of = comp.union(comp.select("component", "component").distinct()).join(low, "component").select("node", "component_id")
