@@ -37,7 +37,7 @@ from rivulet.llm.terms import LETTERS, spans, term_runs
 from rivulet.llm.text import LOWER
 
 #: Text bytes whose pointers a task sorts at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Sources of one block, and (term, source) counts aimed at in one hash slice of terms.
 BLOCK = 512
 SLICE_ROWS = 100_000
