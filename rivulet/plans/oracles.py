@@ -601,10 +601,6 @@ SELECT p_partkey AS itemId, CAST(COALESCE(n, 0) AS BIGINT) AS user_count,
        format('{:,}', CAST(COALESCE(n, 0) AS BIGINT)) AS user_count_text
 FROM part LEFT JOIN c ON c.itemId = p_partkey"""
 
-ORACLES["item_peers_long_titles"] = """SELECT p_partkey AS itemId,
-       substr(p_name || ' / ' || p_type || repeat(' / ' || p_name, CAST(p_partkey % 4 AS INTEGER)), 1, 35) AS title
-FROM part"""
-
 ORACLES["parse_duration_edges"] = """WITH t AS (
   SELECT p_partkey AS key, CAST(p_partkey AS BIGINT) * 9999 AS h, p_size AS m, p_partkey % 60 AS s FROM part),
 x AS (
@@ -685,17 +681,17 @@ SELECT ex.userId, CAST(ex.rank AS BIGINT) AS rank, ex.recItem AS itemId, i.lengt
 FROM ex LEFT JOIN items i ON i.itemId = ex.recItem"""
 
 
-def peers_sql(members: str, key: str) -> str:
+def peers_sql(members: str, key: str, k: int = 10) -> str:
     return f"""smp AS (
   SELECT cluster, {key} AS peerId, srank FROM (
     SELECT cluster, {key}, ROW_NUMBER() OVER (PARTITION BY cluster
       ORDER BY md5('7:' || CAST(cluster AS VARCHAR) || ':' || CAST({key} AS VARCHAR)), {key}) AS srank
-    FROM {members}) x WHERE srank <= 11),
+    FROM {members}) x WHERE srank <= {k + 1}),
 pr AS (
   SELECT m.{key}, m.cluster, s.peerId,
          ROW_NUMBER() OVER (PARTITION BY m.{key} ORDER BY s.srank) AS rank
   FROM {members} m JOIN smp s ON s.cluster = m.cluster AND s.peerId <> m.{key}),
-peers AS (SELECT * FROM pr WHERE rank <= 10)"""
+peers AS (SELECT * FROM pr WHERE rank <= {k})"""
 
 
 ORACLES["user_peers"] = f"""WITH {FX_INTER}, {USERS_BODY},
@@ -711,6 +707,13 @@ SELECT p.itemId, p.cluster, p.rank, p.peerId, i.length, i.comment, i."like", i.w
        substr(i.name, 1, 35) AS title
 FROM peers p LEFT JOIN items i ON i.itemId = p.peerId"""
 
+ORACLES["item_peers_long_titles"] = f"""WITH {FX_META},
+mem AS (SELECT itemId, cluster FROM fx_meta),
+{peers_sql('mem', 'itemId', 3)}
+SELECT p.itemId, p.cluster, p.rank, p.peerId,
+       substr(p_name || ' / ' || p_type || repeat(' / ' || p_name, CAST(p_partkey % 4 AS INTEGER)), 1, 35) AS title
+FROM peers p JOIN part ON p_partkey = p.peerId"""
+
 TITLED_POP = FX_INTER + """,
 tpop AS (
   SELECT p.p_partkey AS itemId,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from rivulet.plans.oracles import FACTORS, FX_INTER, ORACLES, RAW_USERS
 
 ORACLES["csv_append_replayed"] = ORACLES["csv_append"]
+ORACLES["csv_bom"] = f"SELECT *, TRUE AS marked FROM ({ORACLES['csv_round_trip']}) t"
 ORACLES["csv_gb18030"] = f"""WITH {RAW_USERS}
 SELECT id, sex, '用户, "名"' || chr(10) || '𠀀 ' || name AS name, fans FROM raw_users"""
 

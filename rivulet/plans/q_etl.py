@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rivulet.functions.scalars import normalize_gender, parse_duration, strip_tags, truncate_text
+from rivulet.functions.scalars import normalize_gender, parse_duration, strip_tags
 from rivulet.operators import etl, lookup, pages
 from rivulet.operators.popularity import item_popularity
 from rivulet.operators.rerank import rerank
@@ -135,11 +135,11 @@ def q_popularity_lookup_spread(spark, sf_dir):
 
 @query("item_peers_long_titles")
 def q_item_peers_long_titles(spark, sf_dir):
-    """Titles below and beyond the cut."""
-    p = T.read_table(spark, sf_dir, "part")
-    more = F.expr("repeat(concat(' / ', p_name), CAST(p_partkey % 4 AS INT))")
-    long = F.concat("p_name", F.lit(" / "), "p_type", more)
-    return p.select(F.col("p_partkey").alias("itemId"), truncate_text(long, 35).alias("title"))
+    """Peers of items whose titles are below and beyond the cut; three peers of each."""
+    more = F.expr("repeat(concat(' / ', name), CAST(itemId % 4 AS INT))")
+    items = T.items_table(spark, sf_dir).withColumn("name", F.concat("name", F.lit(" / "), "category", more))
+    c = T.item_meta(spark, sf_dir).select("itemId", "cluster")
+    return lookup.item_peers(c, items, k=3).select("itemId", "cluster", "rank", "peerId", "title")
 
 
 @query("parse_duration_edges")
