@@ -4,7 +4,8 @@ Plain identifiers are read from the text as it stands (``base_spans``).  For
 disguised ones three transducers rewrite the text one after another:
 
 1. characters: homoglyphs, full-width and other compatibility forms, digits of
-   other scripts, dashes and blanks become ASCII; invisible characters go;
+   other scripts, dashes, blanks and numeric character references become ASCII;
+   invisible characters go;
 2. spelled digits: runs of two or more digit words of four languages become
    digits, ``plus`` before them a sign, ``double`` and ``triple`` repeat;
 3. ``at`` and ``dot``: in brackets, or as words where an address or a dotted
@@ -113,7 +114,7 @@ DIGIT_WORDS = ["zero oh null zéro cero", "one eins un uno", "two zwei zwo deux
                "five fünf fuenf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve"]
 REPEATS = {"double": 2, "triple": 3}
 PLUS_WORDS = "plus más"
-AT_WORDS = "at arroba arobase klammeraffe chez bei"
+AT_WORDS = "at ät arroba arobase klammeraffe chez bei"
 DOT_WORDS = "dot punto point punkt"
 # Last labels that make a domain of words credible.
 ENDINGS = set("com org net edu gov mil int info biz name io ai app dev co me tv uk us ca au de fr es it nl be ch at eu pl se no dk fi ie pt br mx ar jp cn in ru za nz".split())
@@ -132,9 +133,10 @@ _SPELLED = re.compile(rf"(?:{_NO_LETTER_BEFORE}(?:{_any(PLUS_WORDS.split())})[ \
 _PIECE = re.compile(rf"(?P<plus>(?:{_any(PLUS_WORDS.split())})[ \t\r\n(-]{{1,3}})|(?P<word>{_DIGIT_WORD})|(?P<number>[0-9]+)|(?P<gap>{_GAP})", re.I)
 _HIDDEN_DOT = rf"(?:[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:{_any(DOT_WORDS.split())}|\.)[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}|[ \t]{{1,3}}(?:{_any(DOT_WORDS.split())}|\.)[ \t]{{1,3}}|[_*](?:{_any(DOT_WORDS.split())})[_*])"
 _DIGIT_DOT = re.compile(rf"(?<=[0-9]){_HIDDEN_DOT}(?=[0-9])", re.I)
-_AT = re.compile(rf"(?P<bracket>[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:{_any(AT_WORDS.split())}|@)[ \t]{{0,3}}[\])}}>][ \t]{{0,3}})"
+_AT = re.compile(rf"(?P<letter>[\[({{]a[\])}}](?=[A-Za-z0-9]))|(?P<bracket>[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:{_any(AT_WORDS.split())}|@)[ \t]{{0,3}}[\])}}>][ \t]{{0,3}})"
                  rf"|(?P<word>(?:[ \t]{{1,3}}|[_*-])(?:{_any(AT_WORDS.split())})(?:[ \t]{{1,3}}|[_*-]))|(?P<sign>[ \t]{{0,3}}@[ \t]{{0,3}})", re.I)
 _MIXED = re.compile(rf"{_NO_LETTER_BEFORE}(?=[OoIl]*[0-9])(?=[0-9]*[OoIl])[0-9OoIl]+{_NO_LETTER_AFTER}")
+_REFERENCE = re.compile(r"&(?:#0*([0-9]{2,3})|#[xX]0*([0-9a-fA-F]{2})|(commat|period|plus));")
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
 _ANY_DOT = re.compile(rf"\.|{_HIDDEN_DOT}", re.I)
 _DOT_BEFORE = re.compile(rf"(?P<dot>{_HIDDEN_DOT})\Z", re.I)
@@ -197,10 +199,22 @@ class Rewrite:
 
 
 def plain_characters(text: str) -> Rewrite:
-    edits = [(m.start() + i, m.start() + i + 1, DIGIT_LETTERS[c]) for m in _MIXED.finditer(text) for i, c in enumerate(m.group()) if c in DIGIT_LETTERS]
+    edits = [(m.start(), m.end(), c) for m in _REFERENCE.finditer(text) if (c := _referred(m))]
+    edits += [(m.start() + i, m.start() + i + 1, DIGIT_LETTERS[c]) for m in _MIXED.finditer(text) for i, c in enumerate(m.group()) if c in DIGIT_LETTERS]
     if not text.isascii():
         edits += [(m.start(), m.end(), new) for m in _odd_characters().finditer(text) if (new := _plain(m.group())) != m.group()]
-    return Rewrite(text, sorted(edits))
+    apart, at = [], 0
+    for e in sorted(edits):
+        if e[0] >= at:
+            apart.append(e)
+            at = e[1]
+    return Rewrite(text, apart)
+
+
+def _referred(m: re.Match) -> str | None:
+    """The printable ASCII character that a reference stands for."""
+    code = {"commat": 64, "period": 46, "plus": 43}[m[3]] if m[3] else int(m[1]) if m[1] else int(m[2], 16)
+    return chr(code) if 0x20 <= code < 0x7F else None
 
 
 def plain_digits(text: str) -> Rewrite:
@@ -259,8 +273,8 @@ def _address(text: str, m: re.Match, floor: int) -> list[tuple[int, int, str]]:
         return []
     if m.lastgroup == "sign" and not (hidden or worded or m.group() != "@"):
         return []  # a plain one
-    if m.lastgroup == "word" or m.lastgroup == "sign" and m.group() != "@":
-        telling = worded or hidden or re.search(r"[0-9._%+]", local.strip(".")) or m.group()[0] in "_*-"
+    if m.lastgroup in ("word", "letter") or m.lastgroup == "sign" and m.group() != "@":
+        telling = m.lastgroup == "letter" or worded or hidden or re.search(r"[0-9._%+]", local.strip(".")) or m.group()[0] in "_*-"
         if last.lower() not in ENDINGS or not telling:
             return []  # "see the page at example.com"
     return sorted([*edits, (m.start(), m.end(), "@")])
@@ -326,6 +340,13 @@ def _triggers() -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.array(list(words.values()))[order]
 
 
+def _before(data: np.ndarray, two: bytes) -> np.ndarray:
+    """Where the two bytes start."""
+    out = np.zeros(len(data), bool)
+    out[:-1] = (data[:-1] == two[0]) & (data[1:] == two[1])
+    return out
+
+
 def needs(text: pa.Array) -> dict[str, np.ndarray]:
     """Which rules each row can need, from counts over the bytes of the whole slice."""
     data, off = text_buffer(text)
@@ -350,7 +371,8 @@ def needs(text: pa.Array) -> dict[str, np.ndarray]:
     return {"email": at_sign > 0, "ip": per_row(dotted, off) >= 3, "card": per_row(digit, off) >= 14,
             "phone": (per_row(data == 0x2B, off) > 0) & (per_row(digit, off) >= 10),
             "hidden": (per_row(lead | mixed, off) > 0) | (per_row(spelled, off) > 1) | (per_row(sign, off) > 0) | (at_sign > 0)
-                      | (per_row((data == 0x5B) | (data == 0x28), off) > 0) & (per_row(digit, off) >= 4)}
+                      | (per_row((data == 0x5B) | (data == 0x28), off) > 0) & (per_row(digit, off) >= 4) | (per_row(_before(data, b"&#") | _before(data, b"&c") | _before(data, b"&p"), off) > 0)
+                      | (per_row(_before(data, b"a)") | _before(data, b"a]") | _before(data, b"a}"), off) > 0)}
 
 
 def _spans(text: pa.Array) -> pa.Array:

@@ -215,7 +215,11 @@ DISGUISED = [
     ("4l11 1111 1111 1111", ["4l11 1111 1111 1111"]),
     ("one nine two dot one six eight dot zero dot one", ["one nine two dot one six eight dot zero dot one"]),
     ("192[.]168[.]0[.]1 and 10 dot 0 dot 0 dot 1", ["192[.]168[.]0[.]1", "10 dot 0 dot 0 dot 1"]),
+    ("john(a)example.com or max[a]firma.de", ["john(a)example.com", "max[a]firma.de"]),
+    ("john&#64;example&#46;com", ["john&#64;example&#46;com"]), ("john&commat;example&period;com", ["john&commat;example&period;com"]),
+    ("max (ät) firma.de", ["max (ät) firma.de"]),
     # nothing to add
+    ("item (a) www.x.com, (b) y.org, f(a)g.hello", []), ("&#8364; 5 &amp; &#65;&#64;", []),
     ("see the page at example.com or http://a.org", []), ("the cat at the door dot and", []), ("+33 1 23 45 67 89 un jour, huit", []),
     ("we met at dot com", []), ("a@b.c 1.2.3.4 and +1 (988) 555-2485 4111111111111111", []), ("seven one", []), ("triple one double two three", []),
     ("Il a un chat et une maison; null Uhr acht", []), ("привет как дела", []), ("a@b", []), ("@@ .@. a@.b", []),
