@@ -5,14 +5,17 @@ the scores are min-max scaled over the unseen items (all 0 when they are
 equal), and the best n are returned.  b_u cancels in ranking and scaling but
 is kept in the raw score.
 
-Physical plan of the scorer.  Users and items are cut into hash blocks whose
-numpy form fits ``max_slice_bytes``; a block pair (user block, item block) is one
-group of a cogrouped ``applyInPandas``, so nothing passes through the driver and
-a task holds two blocks and a bounded score matrix.  The items a user has seen
-come along as a list per (user, item block) and are masked before selection, so
-each pair emits at most n rows per user, which also carry the lowest and
-highest unseen score of the block.  One window per user then gives the exact
-top n, minimum and maximum: users x blocks x n rows, never users x items.
+Physical plan of the scorer.  Users and items are cut into hash blocks; a pair
+(user block, item block) is one run of rows of a sorted partition, its items first.
+A task builds the item block (``max_slice_bytes`` at most) and streams the users
+past it, so a user block may be of any size and memory does not depend on it.
+Numbers of blocks are chosen so that the work of a pair is bounded and the copies
+of users (one per item block) and of items (one per user block) are as few as
+that allows.  The items a user has seen come along as a list per (user, item
+block) and are masked before selection, so each pair emits at most n rows per
+user, which also carry the lowest and highest unseen score of the block.  One
+window per user then gives the exact top n, minimum and maximum: users x blocks x
+n rows, never users x items.  Nothing passes through the driver.
 
 An item table of at most ``max_slice_bytes`` (counted first) is broadcast
 instead: users stream through one Arrow stage beside their lists of seen items,
@@ -29,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql.types import DoubleType, IntegralType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegralType, LongType, StructField, StructType
 
 from rivulet.functions.lists import long_to_wide
 from rivulet.operators.etl import encode_ids
@@ -40,7 +43,7 @@ from rivulet.session import shared_path, ship_package
 SCORE_DIGITS = 9          # ranking key: raw score rounded to this many digits
 DEFAULT_SLICE_BYTES = 64 << 20   # numpy bytes of one block of users or items
 CHUNK_CELLS = 4_000_000          # users x items scores held at once by one task (32 MB)
-TASK_CELLS = 5_000_000_000       # users x items scores of one block pair at most
+TASK_CELLS = 50_000_000_000      # users x items scores of one block pair at most
 PAIRS_PER_CORE = 2               # block pairs per core at least, so that small tables use all cores
 
 
@@ -56,78 +59,60 @@ def _with_bias(df: DataFrame, bias: str | None) -> DataFrame:
     return df.withColumn("bias", F.lit(0.0))
 
 
-def _make_first_k():
-    """Built inside a factory so that the function is shipped to the Python
-    workers by value (they need not import this package)."""
-    import numpy as np  # noqa: F811 - resolved on the worker
-
-    def _first_k(A: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Boolean mask of the k[j] smallest entries of each row of A, ties taken
-        in column order (columns are items sorted by id): everything below the
-        row's k-th value plus the first tied entries up to k."""
-        n_cols = A.shape[1]
-        k = k.astype(np.int64)
-        full = k >= n_cols
-        kk = np.clip(k, 1, n_cols)
-        kth = np.unique(kk - 1)
-        part = np.partition(A, kth, axis=1)
-        v = part[np.arange(A.shape[0]), kk - 1][:, None]
-        below = A < v
-        tied = A == v
-        need = (kk - below.sum(axis=1))[:, None]
-        sel = below | (tied & (np.cumsum(tied, axis=1) <= need))
-        sel[full] = True
-        sel[k <= 0] = False
-        return sel
-
-    return _first_k
-
+def _blocks(n_users: int, n_items: int, rank: int, max_slice_bytes: int, cores: int) -> tuple[int, int]:
+    """(user blocks, item blocks): enough pairs for the work and the cores, item blocks that fit a task, and of
+    those the numbers that copy the fewest bytes."""
+    least = max(1, math.ceil(n_items * (rank + 2) * 8 / max_slice_bytes))
+    pairs = max(PAIRS_PER_CORE * cores, math.ceil(n_users * n_items / TASK_CELLS))
+    ib = max(least, round(math.sqrt(pairs * n_items / max(1, n_users))))
+    ib = max(1, min(ib, n_items))
+    return max(1, min(math.ceil(pairs / ib), n_users)), ib
 
-_first_k = _make_first_k()
 
+def _score_pairs(n: int, names: list[str]):
+    """For ``mapInArrow`` over rows (ub, ib, user, userId, itemId, features, bias, seen), sorted, items before users."""
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        key, held, block, ids = None, [], None, None
+
+        def score(b):
+            step = max(1, CHUNK_CELLS // 2048)
+            for at in range(0, b.num_rows, step):
+                u = b.slice(at, step)
+                x = _flat(u.column(5)).astype(np.float64).reshape(u.num_rows, -1)
+                have = pc.fill_null(pc.list_value_length(u.column(7)), 0).to_numpy(zero_copy_only=False)
+                pos = pc.index_in(u.column(7).flatten(), value_set=ids)
+                ok = pos.is_valid().to_numpy(zero_copy_only=False)
+                r, p, s, mn, mx, _ = block.best_unseen(
+                    x, u.column(6).to_numpy(zero_copy_only=False), np.repeat(np.arange(u.num_rows), have)[ok],
+                    pc.fill_null(pos, -1).to_numpy(zero_copy_only=False)[ok].astype(np.int64), n)
+                yield pa.RecordBatch.from_arrays([u.column(3).take(pa.array(r)), ids.take(pa.array(p)), pa.array(s), pa.array(mn[r]), pa.array(mx[r])],
+                                                 names=names)
 
-def _blocks(n_users: int, n_items: int, rank: int, max_slice_bytes: int, cores: int) -> tuple[int, int]:
-    """(user blocks, item blocks) by bytes, scores of a pair and cores."""
-    row = (rank + 2) * 8
-    ib = max(1, math.ceil(n_items * row / max_slice_bytes))
-    per_pair = max(1, min(max_slice_bytes // row, TASK_CELLS // max(1, math.ceil(n_items / ib))))
-    ub = max(math.ceil(n_users / per_pair), math.ceil(PAIRS_PER_CORE * cores / ib))
-    return max(1, min(ub, n_users)), ib
-
-
-def _pair_scorer(n: int):
-    def score(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        cols = ["userId", "itemId", "raw", "mn", "mx"]
-        out = [pd.DataFrame({"userId": users["userId"][:0], "itemId": items["itemId"][:0],
-                             "raw": np.zeros(0), "mn": np.zeros(0), "mx": np.zeros(0)})]
-        if len(users) and len(items):
-            items = items.sort_values("itemId", kind="stable")
-            ids = items["itemId"].to_numpy()
-            V = np.stack(items["features"].to_numpy()).astype(np.float64)
-            bi = items["bias"].to_numpy(dtype=np.float64)
-            chunk = max(1, CHUNK_CELLS // len(ids))      # bounded score matrix per step
-            for lo in range(0, len(users), chunk):
-                part = users.iloc[lo:lo + chunk]
-                S = np.stack(part["features"].to_numpy()).astype(np.float64) @ V.T
-                S += part["bias"].to_numpy(dtype=np.float64)[:, None] + bi[None, :]
-                lists = [x if x is not None else ids[:0] for x in part["seen"]]
-                r, flat = np.repeat(np.arange(len(part)), [len(x) for x in lists]), np.concatenate(lists)
-                c = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
-                hit = ids[c] == flat
-                r, c = r[hit], c[hit]                         # cells of seen items
-                S[r, c] = np.inf
-                mn = S.min(axis=1)
-                S[r, c] = -np.inf
-                mx = S.max(axis=1)
-                K = -np.sign(S) * np.floor(np.abs(S) * float(10 ** SCORE_DIGITS) + 0.5)   # = -rank_key
-                unseen = len(ids) - np.bincount(r, minlength=len(part))
-                top = _first_k(K, np.minimum(n, unseen))      # key desc, then item id asc
-                r, c = np.nonzero(top)
-                out.append(pd.DataFrame({"userId": part["userId"].to_numpy()[r], "itemId": ids[c],
-                                         "raw": S[r, c], "mn": mn[r], "mx": mx[r]}))
-        return pd.concat(out[1:] or out, ignore_index=True)[cols]
-
-    return score
+        for whole in batches:
+            marks = np.stack([whole.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+            cut = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+            for a, z in zip([0, *cut], [*cut, whole.num_rows]):
+                if a == z:
+                    continue
+                b, (ub, ib, is_user) = whole.slice(a, z - a), marks[a]
+                if (ub, ib) != key:
+                    key, held, block = (ub, ib), [], None
+                if not is_user:
+                    held.append(b)
+                    continue
+                if held:
+                    t = pa.Table.from_batches(held)
+                    t = t.take(pc.sort_indices(t.column(4))).combine_chunks()
+                    ids, held = t.column(4).combine_chunks(), []
+                    block = ItemBlock(_flat(t.column(5).combine_chunks()).astype(np.float64).reshape(len(ids), -1),
+                                      t.column(6).to_numpy().astype(np.float64))
+                if block is not None:
+                    yield from score(b)
+
+    return run
 
 
 def factor_candidates(users: DataFrame, items: DataFrame, seen: DataFrame, n: int,
@@ -149,16 +134,19 @@ def factor_candidates(users: DataFrame, items: DataFrame, seen: DataFrame, n: in
 
     lists = (seen.select(F.col("userId").cast(uid), F.col("itemId").cast(iid)).where("itemId IS NOT NULL").distinct()
              .groupBy("userId", block("itemId", ib).alias("ib")).agg(F.collect_list("itemId").alias("seen")))
+    ship_package(spark)
     u = u.select("userId", "features", "bias", block("userId", ub).alias("ub"),
                  F.explode(F.sequence(F.lit(0), F.lit(ib - 1))).alias("ib"))
-    u = u.join(lists, ["userId", "ib"], "left").select("ub", "ib", "userId", "features", "bias", "seen")
-    it = it.select(F.explode(F.sequence(F.lit(0), F.lit(ub - 1))).alias("ub"), block("itemId", ib).alias("ib"),
-                   "itemId", "features", "bias")
+    u = u.join(lists, ["userId", "ib"], "left").select(
+        "ub", "ib", F.lit(1).alias("user"), "userId", F.lit(None).cast(iid).alias("itemId"), F.col("features").cast("array<double>").alias("features"),
+        "bias", "seen")
+    it = it.where("itemId IS NOT NULL").select(
+        F.explode(F.sequence(F.lit(0), F.lit(ub - 1))).alias("ub"), block("itemId", ib).alias("ib"), F.lit(0).alias("user"),
+        F.lit(None).cast(uid).alias("userId"), "itemId", F.col("features").cast("array<double>").alias("features"), "bias",
+        F.lit(None).cast(ArrayType(iid)).alias("seen"))
     # The work of a pair is not its bytes: an explicit partition count keeps AQE from joining pairs up.
-    parts = ub * ib
-    pairs = [df.repartition(parts, "ub", "ib").groupBy("ub", "ib") for df in (u, it)]
-    fn = _pair_scorer(n)
-    return pairs[0].cogroup(pairs[1]).applyInPandas(fn, schema)
+    rows = u.unionByName(it).repartition(ub * ib, "ub", "ib").sortWithinPartitions("ub", "ib", "user")
+    return rows.mapInArrow(_score_pairs(n, schema.names), schema)
 
 
 def _flat(col) -> np.ndarray:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.operators import clusters as cl
+from rivulet.operators import clusters as cl, scoring
 from rivulet.operators import etl, factors, lookup, rerank, similarity
 from rivulet.operators.popularity import item_popularity, popularity_from_lists
 
@@ -314,14 +314,15 @@ def test_invert_and_clean_users(spark):
     assert ids == {"m3": (1, 30), "m4": (2, 14), "m5": (3, 60)}
 
 
-def test_first_k_tie_rule():
-    A = np.array([[1.0, 1.0, 1.0, 1.0],      # all tied: first k columns
-                  [3.0, 1.0, 2.0, 1.0],      # tie at the k-th value: smaller column first
+def test_scorer_takes_tied_items_by_id():
+    A = np.array([[1.0, 1.0, 1.0, 1.0],      # all tied: the first items
+                  [3.0, 1.0, 2.0, 1.0],      # tie at the k-th value: smaller item first
                   [5.0, 4.0, 3.0, 2.0]])
-    sel = factors._first_k(A, np.array([2, 2, 9]))
-    assert sel.tolist() == [[True, True, False, False], [False, True, False, True], [True, True, True, True]]
-    sel = factors._first_k(A, np.array([1, 3, 1]))
-    assert sel.sum(axis=1).tolist() == [1, 3, 1] and sel[1].tolist() == [False, True, True, True]
+    none = np.zeros(0, np.int64)
+    block = scoring.ItemBlock(np.eye(4), np.zeros(4))
+    for n, want in ((2, [{0, 1}, {1, 3}, {2, 3}]), (3, [{0, 1, 2}, {1, 2, 3}, {1, 2, 3}]), (9, [{0, 1, 2, 3}] * 3)):
+        row, pos, *_ = block.best_unseen(-A, np.zeros(3), none, none, n)
+        assert [set(pos[row == i].tolist()) for i in range(3)] == want
 
 
 def test_rerank_long_list_candidates_beyond_prefix(spark):
