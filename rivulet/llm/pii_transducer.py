@@ -333,6 +333,7 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 def _triggers() -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the words that let the second (1) and third (2) transducer act, and which."""
     words = {**dict.fromkeys(DIGIT, 1), **dict.fromkeys(AT_WORDS.split() + DOT_WORDS.split(), 2)}
+    words |= {"".join(c if c.isascii() else c.upper() for c in w): k for w, k in words.items()}  # only A-Z are lower-cased in bytes
     data = np.frombuffer("".join(words).encode(), np.uint8)
     to = np.cumsum([len(w.encode()) for w in words])
     h = span_hash(prefix_hash(data), np.concatenate(([0], to[:-1])), to)
@@ -372,7 +373,7 @@ def needs(text: pa.Array) -> dict[str, np.ndarray]:
             "phone": (per_row(data == 0x2B, off) > 0) & (per_row(digit, off) >= 10),
             "hidden": (per_row(lead | mixed, off) > 0) | (per_row(spelled, off) > 1) | (per_row(sign, off) > 0) | (at_sign > 0)
                       | (per_row((data == 0x5B) | (data == 0x28), off) > 0) & (per_row(digit, off) >= 4) | (per_row(_before(data, b"&#") | _before(data, b"&c") | _before(data, b"&p"), off) > 0)
-                      | (per_row(_before(data, b"a)") | _before(data, b"a]") | _before(data, b"a}"), off) > 0)}
+                      | (per_row(_before(low, b"a)") | _before(low, b"a]") | _before(low, b"a}"), off) > 0)}
 
 
 def _spans(text: pa.Array) -> pa.Array:
