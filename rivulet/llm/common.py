@@ -117,20 +117,41 @@ def map_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFie
                 made = fn(part.column(n))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=out.names)
 
-    return map_arrow(src, run, out)
+    return map_arrow(src, run, out, fn.__module__)
+
+
+_MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def remembers(module: str, forget: Callable[[], None]) -> None:
+    """Name what a worker process of ``module``'s operator keeps from task to task, and how to drop it."""
+    _MEMORIES[module] = forget
+
+
+def enter(module: str) -> None:
+    """A worker begins a task of ``module``: what other operators' tasks have left in the process goes."""
+    for name, forget in _MEMORIES.items():
+        if name != module:
+            forget()
 
 
 _SHIPPED: set[str] = set()
 
 
-def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable, schema, module: str | None = None) -> DataFrame:
     """``df.mapInArrow`` with this package sent to the executors, once per application."""
+    module = module or run.__module__
+
+    def entered(batches):
+        enter(module)
+        return run(batches)
+
     sc = df.sparkSession.sparkContext
     if sc.applicationId not in _SHIPPED:
         root = os.path.dirname(os.path.dirname(os.path.abspath(rivulet.__file__)))
         sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "rivulet_pkg"), "zip", root, "rivulet"))
         _SHIPPED.add(sc.applicationId)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(entered, schema)
 
 
 def longs(values) -> pa.Array:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import fresh, map_text
+from rivulet.llm.common import fresh, map_text, remembers
 
 #: Whole texts sampled for each language, and languages learned, those with the most documents: the bound of what is
 #: learned from.  Every text is compressed with every dictionary, so time grows with the languages.
@@ -153,6 +153,9 @@ def _compressors(model: tuple[tuple[str, bytes], ...]):
     return out
 
 
+remembers(__name__, _compressors.cache_clear)
+
+
 def predict(text: str | None, model: tuple[tuple[str, bytes], ...]) -> tuple[str, float]:
     """(language, margin): the smallest compressed size; ``und`` without a letter.
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rivulet.llm.common import fresh, longs, map_arrow, map_text
+from rivulet.llm.common import fresh, longs, map_arrow, map_text, remembers
 
 #: Pieces and token pairs that a worker remembers, at most; the memory is emptied when full.
 PIECE_MEMORY = 500_000
@@ -206,6 +206,9 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
     return Codec(rank_file, pattern)
 
 
+remembers(__name__, codec.cache_clear)
+
+
 def encode_texts(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
                  columns: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """``columns`` of ``docs`` (default all) with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids.

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import longs, map_arrow, staged, text_slices, work_dir
+from rivulet.llm.common import longs, map_arrow, remembers, staged, text_slices, work_dir
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -123,6 +123,9 @@ def encoder(model: str) -> WordEncoder:
     return WordEncoder(model)
 
 
+remembers(__name__, encoder.cache_clear)
+
+
 class FrameWriter:
     """Writes documents to a stream; ``close`` writes the document list and the seek table."""
 

@@ -130,3 +130,15 @@ def test_scratch_deletes_what_was_staged(spark):
         outer = staged(spark.range(3), "x").inputFiles()[0]
         assert not os.path.exists(inner.removeprefix("file:")) and os.path.exists(outer.removeprefix("file:").removeprefix("//"))
     assert not os.path.exists(outer.removeprefix("file:").removeprefix("//"))
+
+
+def test_a_worker_forgets_other_operators():
+    from rivulet.llm import common, prefix_bpe, token_frames
+    import public_tokenizers
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        token_frames.encoder(f.read())
+    prefix_bpe.codec(prefix_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    common.enter(prefix_bpe.__name__)
+    assert token_frames.encoder.cache_info().currsize == 0 and prefix_bpe.codec.cache_info().currsize == 1
+    common.enter("another")
+    assert prefix_bpe.codec.cache_info().currsize == 0
