@@ -76,6 +76,20 @@ def rake(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], sweep
     return cur
 
 
+def marginal_gaps(fitted: DataFrame, dims: list[str], targets: dict[str, DataFrame]) -> DataFrame:
+    """(dimension, value, target, share, gap) of raked cells: what the sweeps have left between shares and targets.
+
+    Values without a target or without weight have no row."""
+    out = None
+    for d in dims:
+        got = fitted.groupBy(F.col(d).alias("value")).agg(F.sum(F.col("tokens") * F.col("factor")).alias("weight")).where("weight > 0")
+        total = got.agg(F.sum("weight")).first()[0] or 1.0
+        part = got.join(targets[d], "value").select(F.lit(d).alias("dimension"), "value", F.col("share").alias("target"),
+                                                    (F.col("weight") / F.lit(total)).alias("share"))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("gap", F.col("share") - F.col("target"))
+
+
 def mixed(docs: DataFrame, dims: dict[str, Column], targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id",
           text_col: str = "text", sweeps: int = SWEEPS, temperature: float = TEMPERATURE) -> DataFrame:
     """``docs`` with a struct ``mix`` (renamed if taken): n_tokens, weight, keep_prob, sampled.
