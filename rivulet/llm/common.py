@@ -135,6 +135,9 @@ def enter(module: str) -> None:
             forget()
 
 
+#: Rows of an Arrow batch: Spark's default of 10,000 whole texts is tens of megabytes in the JVM and again in the worker.
+ROWS_KEY, ROWS_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
 _SHIPPED: set[str] = set()
 
 
@@ -151,6 +154,8 @@ def map_arrow(df: DataFrame, run: Callable, schema, module: str | None = None) -
         root = os.path.dirname(os.path.dirname(os.path.abspath(rivulet.__file__)))
         sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "rivulet_pkg"), "zip", root, "rivulet"))
         _SHIPPED.add(sc.applicationId)
+    if df.sparkSession.conf.get(ROWS_KEY) == ROWS_DEFAULT:  # a setting of the user's own stays
+        df.sparkSession.conf.set(ROWS_KEY, BATCH_ROWS)
     return df.mapInArrow(entered, schema)
 
 

@@ -26,10 +26,11 @@ order of the hashes, and no such pair is lost.
 Skew: copies collapse before anything else; band groups reduce to a few numbers
 with map-side combining; a group beyond ``GROUP`` nodes is dealt to pairs of
 blocks, each a group of its own.  A cluster beyond ``block`` shingles is dealt to
-blocks too: first every block is confirmed together with a few pivots of the
-cluster, which joins nearly all of a group of near copies; then only the nodes
-outside the largest component so found, the rest, meet every block.  No task holds
-an unbounded group and no pair is left out.
+blocks too.  A few blocks meet in pairs.  Of more, every block is first confirmed
+together with a few pivots of the cluster, which joins nearly all of a group of
+near copies; then only the nodes outside the largest component so found, the rest,
+meet each other and every block.  No task holds an unbounded group and no pair is
+left out.
 """
 
 from __future__ import annotations
@@ -50,9 +51,11 @@ R_BITS = 10
 #: Standard deviations that an estimate may lie below the threshold before a pair is rejected unverified.
 SLACK = 6.0
 #: Shingles and nodes of one block of a cluster; larger clusters are split into blocks.
-BLOCK = 1 << 17
-BLOCK_NODES = 1 << 12
-#: Nodes of a split cluster that every block of it holds at first.
+BLOCK = 1 << 20
+BLOCK_NODES = 1 << 13
+#: Clusters of up to so many blocks are compared by pairs of blocks at once, larger ones with pivots first.
+FEW_BLOCKS = 8
+#: Nodes of such a cluster that every block of it holds at first.
 PIVOTS = 4
 #: Sets of fewer shingles are candidates by single shingles too.
 SMALL = 16
@@ -306,14 +309,16 @@ def _likely(groups: DataFrame, num: int, den: int) -> DataFrame:
     return map_arrow(g, run, "a long, b long")
 
 
-def missing_links(ids: np.ndarray, size: np.ndarray, regs: np.ndarray, part: np.ndarray, num: int, den: int, confirm) -> np.ndarray:
-    """Links that join the parts of one group, found as in ``link_group`` but from rows already parted."""
+def missing_links(ids: np.ndarray, size: np.ndarray, regs: np.ndarray, part: np.ndarray, side: np.ndarray, num: int, den: int, confirm) -> np.ndarray:
+    """Links that join the parts of one group, found as in ``link_group`` but from rows already parted; with two
+    sides only rows of different sides are compared."""
     order = np.lexsort((ids, size))
-    size_, regs, part = size[order], regs[order], part[order].copy()
+    size_, regs, part, side = size[order], regs[order], part[order].copy(), side[order]
+    two = len(ids) and side.min() != side.max()
     out = []
     for i in range(len(ids) - 1):
         hi = int(np.searchsorted(size_, size_[i] * den // num, "right"))
-        c = i + 1 + np.flatnonzero(part[i + 1:hi] != part[i])
+        c = i + 1 + np.flatnonzero((part[i + 1:hi] != part[i]) & (side[i + 1:hi] != side[i])) if two else i + 1 + np.flatnonzero(part[i + 1:hi] != part[i])
         for at in range(0, len(c), 4096):
             j = c[at:at + 4096]
             for x in j[estimated(regs[j], regs[i], size_[j], size_[i], num / den)]:
@@ -324,11 +329,11 @@ def missing_links(ids: np.ndarray, size: np.ndarray, regs: np.ndarray, part: np.
 
 
 def _verified(groups: DataFrame, num: int, den: int, parted: bool = False) -> DataFrame:
-    """Spanning links, confirmed on full sets, of the groups (cluster, i, j, node, part, body); with ``parted``
-    only those between rows of different parts."""
+    """Spanning links, confirmed on full sets, of the groups (cluster, i, j, node, part, side, body); with ``parted``
+    only those between rows of different parts and sides."""
     def run(batches):
         for t, at in _groups(batches, 3):
-            ids, part, body = t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5)
+            ids, part, side, body = t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5).to_numpy(), t.column(6)
             found = []
             for g in np.flatnonzero(np.diff(at) > 1):
                 s = slice(at[g], at[g + 1])
@@ -340,12 +345,12 @@ def _verified(groups: DataFrame, num: int, den: int, parted: bool = False) -> Da
                     return den * both >= num * (size[i] + size[j] - both)
 
                 regs = registers(np.concatenate(sets), np.concatenate(([0], np.cumsum(size))))
-                found.append(missing_links(ids[s], size, regs, part[s], num, den, confirm) if parted else
+                found.append(missing_links(ids[s], size, regs, part[s], side[s], num, den, confirm) if parted else
                              link_group(ids[s], size, regs, num, den, confirm))
             yield from _edges(found)
 
     g = groups.repartition("cluster", "i", "j").dropDuplicates(["cluster", "i", "j", "node"])  # repeated rows; needs no other exchange
-    return map_arrow(g.sortWithinPartitions("cluster", "i", "j", "node").select("cluster", "i", "j", "node", "part", "body"), run, "a long, b long")
+    return map_arrow(g.sortWithinPartitions("cluster", "i", "j", "node").select("cluster", "i", "j", "node", "part", "side", "body"), run, "a long, b long")
 
 
 def _split_clusters(body: DataFrame, block: int, num: int, den: int) -> DataFrame:
@@ -356,7 +361,8 @@ def _split_clusters(body: DataFrame, block: int, num: int, den: int) -> DataFram
               .select("node", "cluster", F.lit(True).alias("pivot")))
     rows = body.join(pivots, ["node", "cluster"], "left")
     place = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(mine))
-    dealt = rows.withColumn("i", F.explode(place)).select("cluster", "i", F.col("i").alias("j"), "node", F.lit(0).cast("long").alias("part"), "body")
+    none = F.lit(0).cast("long")
+    dealt = rows.withColumn("i", F.explode(place)).select("cluster", "i", F.col("i").alias("j"), "node", none.alias("part"), none.alias("side"), "body")
     links = staged(_verified(dealt, num, den), "block-links")
     part = connected_components(links)
     known = staged(body.select("node", "cluster", "blocks", "n_shingles").distinct().join(part.toDF("node", "component"), "node", "left")
@@ -368,10 +374,16 @@ def _split_clusters(body: DataFrame, block: int, num: int, den: int) -> DataFram
     if size.isEmpty():
         return links
     here = body.select("node", "body").dropDuplicates(["node"]).join(known, "node").join(size, "cluster").join(main, "cluster")
-    here = here.withColumn("mine", mine).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests")).cast("int"))
-    by_block = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.struct(r.alias("i"), F.col("mine").alias("j")))
-    as_rest = F.when(F.col("part") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("own").alias("i"), b.alias("j"))))
-    dealt = here.withColumn("p", F.explode(F.array_union(by_block, F.coalesce(as_rest, by_block)))).select("cluster", "p.i", "p.j", "node", "part", "body")
+    # blocks 0 .. rests - 1 hold the rest, the following ones the largest component: pairs with the rest in them
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests")).cast("int")
+    here = here.withColumn("mine", F.when(F.col("part") == F.col("main"), F.col("rests") + mine).otherwise(own))
+
+    def pair(o):
+        return F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j"))
+
+    rests, every = F.sequence(F.lit(0), F.col("rests") - 1), F.sequence(F.lit(0), F.col("rests") + F.col("blocks") - 1)
+    meets = F.when(F.col("part") == F.col("main"), F.transform(rests, pair)).otherwise(F.transform(every, pair))
+    dealt = here.withColumn("p", F.explode(meets)).select("cluster", "p.i", "p.j", "node", "part", F.col("mine").cast("long").alias("side"), "body")
     return links.union(_verified(dealt, num, den, parted=True))
 
 
@@ -405,10 +417,11 @@ def set_components(docs: DataFrame, sk: DataFrame, k: int, num: int, den: int, i
                         [T.StructField("body", T.BinaryType()), *[T.StructField(c, L) for c in ("n", "x", "y")]], lambda text: _set_bodies(text, k))
         return body.where((F.col("n") == F.col("n_shingles")) & (F.col("x") == F.col("fp1")) & (F.col("y") == F.col("fp2")))  # not another text of this id
 
-    zero = F.lit(0)
-    links = _verified(bodies(member.where("blocks = 1")).select("cluster", zero.alias("i"), zero.alias("j"), "node", zero.cast("long").alias("part"), "body"), num, den)
-    if not big.isEmpty():
-        large = staged(bodies(member.where("blocks > 1")).select("node", "cluster", "blocks", "n_shingles", "body"), "bodies")
+    none = F.lit(0).cast("long")
+    few = _dealt(bodies(member.where(F.col("blocks") <= FEW_BLOCKS)), F.col("blocks"), "node", "cluster", "body")
+    links = _verified(few.select("cluster", "i", "j", "node", none.alias("part"), none.alias("side"), "body"), num, den)
+    if not big.where(F.col("blocks") > FEW_BLOCKS).isEmpty():
+        large = staged(bodies(member.where(F.col("blocks") > FEW_BLOCKS)).select("node", "cluster", "blocks", "n_shingles", "body"), "bodies")
         links = links.union(_split_clusters(large, block, num, den))
     comp = staged(connected_components(links).toDF("node", "component"), "components")
     low = comp.union(comp.select("component", "component").distinct()).join(nodes.select("node", "least"), "node").groupBy("component").agg(

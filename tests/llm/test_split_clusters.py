@@ -30,6 +30,7 @@ def by_hand(rows, k, num):
 @pytest.mark.parametrize("block", [250, 2500, 1 << 17])
 def test_chains_and_stars(spark, block, monkeypatch):
     monkeypatch.setattr(hyperminhash, "PIVOTS", 2)
+    monkeypatch.setattr(hyperminhash, "FEW_BLOCKS", 3)
     rng = random.Random(block)
     word = lambda: f"w{rng.randrange(10 ** 6)}"
     rows = []
@@ -60,6 +61,11 @@ def test_links_between_parts_only():
     size = np.array([len(s) for s in sets])
     regs = hyperminhash.registers(np.concatenate(sets), np.concatenate(([0], np.cumsum(size))))
     part = np.array([7, 7, 7, 9, 9, 11])
-    got = hyperminhash.missing_links(np.arange(6) * 10, size, regs, part, 80, 100, lambda i, j: True)
+    one, yes = np.zeros(6, int), lambda i, j: True
+    got = hyperminhash.missing_links(np.arange(6) * 10, size, regs, part, one, 80, 100, yes)
     assert len(got) == 1 and {part[int(x) // 10] for x in got[0]} == {7, 9}
-    assert len(hyperminhash.missing_links(np.arange(6), size, regs, np.zeros(6, int), 80, 100, lambda i, j: True)) == 0
+    assert len(hyperminhash.missing_links(np.arange(6), size, regs, one, one, 80, 100, yes)) == 0
+    each = np.arange(6)
+    assert len(hyperminhash.missing_links(each, size, regs, each, one, 80, 100, yes)) == 4
+    got = hyperminhash.missing_links(each, size, regs, each, np.array([0, 0, 0, 0, 1, 1]), 80, 100, yes)
+    assert len(got) == 4 and all((a < 4) != (b < 4) for a, b in got.tolist())  # by way of the other side
