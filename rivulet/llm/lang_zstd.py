@@ -73,7 +73,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     short = [lang for lang, n in counts.items() if len(got.get(lang, [])) < min(SAMPLE_TEXTS, n)]
     if short:
         got |= _smallest(rows, dict.fromkeys(short, 1.0))
-    return _dictionaries(_cleaned(_distinct({lang: [[t] for t in reversed(texts)] for lang, texts in sorted(got.items())})))
+    model = _dictionaries(_cleaned(_distinct({lang: [[t] for t in reversed(texts)] for lang, texts in sorted(got.items())})))
+    _compressors.cache_clear()  # those of the halves are not needed again
+    return model
 
 
 def _smallest(rows: DataFrame, part: dict[str, float]) -> dict[str, list[str]]:
@@ -89,9 +91,9 @@ def _smallest(rows: DataFrame, part: dict[str, float]) -> dict[str, list[str]]:
     return out
 
 
-def _phrases(words: list[bytes]) -> list[tuple[bytes, ...]]:
-    """Runs of ``PHRASE`` words; of fewer words, all of them."""
-    return [tuple(words[j:j + PHRASE]) for j in range(max(1, len(words) - PHRASE + 1))] if words else []
+def _phrases(words: list[bytes]) -> list[int]:
+    """Hashes of the runs of ``PHRASE`` words; of fewer words, of all of them."""
+    return [hash(tuple(words[j:j + PHRASE])) for j in range(max(1, len(words) - PHRASE + 1))] if words else []
 
 
 def _distinct(sample: dict[str, list[list[str]]]) -> dict[str, list[str]]:
@@ -100,7 +102,7 @@ def _distinct(sample: dict[str, list[list[str]]]) -> dict[str, list[str]]:
     A language that would lose all its words keeps them.
     """
     split = {lang: [[plain(p).split() for p in t] for t in texts] for lang, texts in sample.items()}
-    owner: dict[tuple[bytes, ...], str | None] = {}
+    owner: dict[int, str | None] = {}
     for lang, texts in split.items():
         for g in (g for t in texts for p in t for g in _phrases(p)):
             owner[g] = lang if owner.get(g, lang) == lang else None
