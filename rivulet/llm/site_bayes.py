@@ -1,7 +1,7 @@
 """Quality classifier: document evidence joined with what is known of its site.
 
-A logistic classifier over dense text measures, fitted on a bounded sample of
-labelled documents, gives each document a log-odds.  Documents are grouped by
+A logistic classifier over dense text measures, fitted on all labelled
+documents, gives each document a log-odds.  Documents are grouped by
 site and by path within the site; a group's posterior is its mean evidence
 shrunk toward the level above (path to site, site to global) by empirical
 Bayes: the weight of a group of n documents is n / (n + kappa), kappa the ratio
@@ -18,6 +18,7 @@ its size limit.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import fresh, labelled, map_text, staged, text_buffer
+from rivulet.llm.common import fresh, labelled, map_arrow, map_text, staged, text_buffer
 from rivulet.llm.quality_llr import SYMBOL, rule_counts
 from rivulet.llm.text import per_row
 
-#: Labelled documents that the classifier is fitted on, at most.
-LABEL_LIMIT = 20_000
+#: Numbers that ``measures`` gives for each text.
+MEASURES = 9
 MICRO = 1_000_000
 RIDGE = 1e-3
 KAPPA_MAX = 1e6
@@ -47,7 +48,7 @@ DIGIT, BANG, STOP = _table(b"0123456789"), _table(b"!"), _table(b".,;:?")
 
 
 def measures(text: pa.Array) -> np.ndarray:
-    """(rows, 9) shares and means of each text; all 0 for an empty one."""
+    """(rows, MEASURES) shares and means of each text; all 0 for an empty one."""
     data, off = text_buffer(text)
     c = rule_counts(data, off)
     size = np.maximum(np.diff(off), 1)
@@ -66,35 +67,56 @@ def measures(text: pa.Array) -> np.ndarray:
     ], axis=1)
 
 
-def fit_logistic(x: np.ndarray, good: np.ndarray, steps: int = 25) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Newton steps with a ridge; without both kinds, the evidence is 0."""
-    if not len(x) or good.all() or not good.any():
-        return np.zeros(x.shape[1]), 0.0
-    mean, sd = x.mean(axis=0), x.std(axis=0)
+def summed(rows: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """What ``fn`` makes of the measures and labels of a batch, summed over all rows (x, good); a task sends one row."""
+    def run(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                s = fn(b.column(0).flatten().to_numpy().reshape(-1, MEASURES), b.column(1).to_numpy(zero_copy_only=False))
+                total = s if total is None else total + s
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    got = map_arrow(rows, run, "s array<double>").collect()
+    return np.array([math.fsum(c) for c in zip(*(r["s"] for r in got), strict=True)])
+
+
+def fit_logistic(rows: DataFrame, steps: int = 25) -> tuple[np.ndarray, float]:
+    """Weights and intercept by Newton steps with a ridge; without both kinds, the evidence is 0.
+
+    ``rows`` (x, good) is read once for each step: gradient and curvature are sums over the rows.
+    """
+    total = summed(rows, lambda x, good: np.concatenate(([len(x), good.sum()], x.sum(axis=0))))
+    if not len(total) or total[1] in (0, total[0]):
+        return np.zeros(MEASURES), 0.0
+    n, mean = total[0], total[2:] / total[0]
+    sd = np.sqrt(summed(rows, lambda x, good: ((x - mean) ** 2).sum(axis=0)) / n)
     sd[sd < 1e-9] = 1.0
-    z = np.hstack([(x - mean) / sd, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
-    ridge = np.full(z.shape[1], RIDGE * len(x))
+    m = MEASURES + 1
+    w = np.zeros(m)
+    ridge = np.full(m, RIDGE * n)
     ridge[-1] = 0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-9), z.T @ (good - p) - ridge * w)
-        w += step
+        def slopes(x, good, w=w):
+            z = np.hstack([(x - mean) / sd, np.ones((len(x), 1))])
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            return np.concatenate((z.T @ (good - p), ((z * (p * (1 - p))[:, None]).T @ z).ravel()))
+
+        s = summed(rows, slopes)
+        step = np.linalg.solve(s[m:].reshape(m, m) + np.diag(ridge + 1e-9), s[:m] - ridge * w)
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w[:-1] / sd, float(w[-1] - (w[:-1] / sd) @ mean)
 
 
-def classifier(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label: str,
-               limit: int) -> tuple[np.ndarray, float]:
-    """Logistic weights from the labelled sample: its measures (9 numbers a document) come to the driver."""
-    sample = staged(labelled(labels, label_id, label, limit), "labels")
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(sample), "id")
-    rows = map_text(src, "text", ["id", "label"], [T.StructField("x", T.ArrayType(T.DoubleType()))],
-                    lambda t: [pa.array(list(measures(t)))]).dropDuplicates(["id"]).orderBy("id").toPandas()
-    if not len(rows):
-        return np.zeros(9), 0.0
-    return fit_logistic(np.stack(rows["x"].to_numpy()), rows["label"].to_numpy() == 1)
+def classifier(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label: str) -> tuple[np.ndarray, float]:
+    """Logistic weights from all labelled documents: measures (9 numbers a document), not texts, meet the labels by hash."""
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL")
+    made = map_text(src, "text", ["id"], [T.StructField("x", T.ArrayType(T.DoubleType()))], lambda t: [pa.array(list(measures(t)))])
+    rows = made.join(labelled(labels, label_id, label).hint("shuffle_hash"), "id").dropDuplicates(["id"])
+    return fit_logistic(staged(rows.select("x", (F.col("label") == 1).alias("good")), "measures"))
 
 
 def evidence(docs: DataFrame, text_col: str, keep: list[str], model: tuple[np.ndarray, float], name: str) -> DataFrame:
@@ -144,7 +166,7 @@ def _logit(p: Column) -> Column:
 
 def site_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  site: str = "source", path: str = "lang", label_id: str = "doc_id", label: str = "quality",
-                 label_limit: int = LABEL_LIMIT, columns: list[str] | None = None, threshold: float = 0.5,
+                 columns: list[str] | None = None, threshold: float = 0.5,
                  places: DataFrame | None = None) -> DataFrame:
     """``columns`` of ``docs`` (default all) and a struct ``quality_result`` (renamed if taken) with
     doc_prob, site_prob, path_prob, prob, kept.
@@ -153,7 +175,7 @@ def site_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     path of their page, say; ids it lacks, or has a null site for, take the columns ``site`` and
     ``path``.  Of several rows of an id the smallest counts.  The join with it
     moves ``columns``, so leave the text out of them.  Without ``places`` nothing is joined by id.
-    The texts are read twice: for the labelled sample, and for the evidence,
+    The texts are read twice: for the measures of those with a label, and for the evidence,
     which is written once and then read.  site_prob and path_prob are the shrunk means without the document itself;
     kept: prob >= threshold.  Null and empty texts get the evidence of a text
     without words.  Null sites and paths are groups of their own.  Null ids are
@@ -161,7 +183,7 @@ def site_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     both kinds every document has even odds and is kept.
     """
     columns = columns or docs.columns
-    model = classifier(docs, labels, id_col, text_col, label_id, label, label_limit)
+    model = classifier(docs, labels, id_col, text_col, label_id, label)
     p, result = fresh(docs.columns, "p", "quality_result")
     own_site, own_path = fresh([*docs.columns, p, result], "own_site", "own_path")
     keep = list(dict.fromkeys([*columns, id_col, site, path]))

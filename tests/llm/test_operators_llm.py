@@ -435,3 +435,56 @@ def test_pipeline_stages(spark):
         out = f(spark, docs, SF)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.fixture(scope="module")
+def many_labels(spark):
+    """More labelled documents than the 20,000 that models were once fitted on: (texts, good, docs, labels)."""
+    rng = np.random.default_rng(3)
+    n, vocabulary = 20_400, np.array(["alpha", "Brick", "cedar 12", "delta!", "ember", "# | fig", "GROVE,", "hazel. 7"])
+    good = rng.random(n) < 0.5
+    lean = np.where(good[:, None], [.2, .1, .15, .1, .15, .05, .1, .15], [.1, .15, .1, .15, .1, .15, .15, .1])
+    texts = [" ".join(vocabulary[rng.choice(8, 12, p=p)]) + f" {i} " + " ".join(f"w{j}{'abcdefg'[(i + j) % 7]}" for j in range(50)) for i, p in enumerate(lean)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s")).withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    return texts, good, docs, labels
+
+
+def test_quality_counts_every_label(many_labels):
+    import pyarrow as pa
+    texts, good, docs, labels = many_labels
+    arr = pa.array(texts)
+    ratios = quality_llr.log_ratios(quality_llr.gram_counts(arr), quality_llr.gram_counts(arr.filter(pa.array(good))))
+    scores = quality_llr.gram_scores(arr, ratios)
+    cut = quality_llr.best_threshold(scores, good)
+    got = quality_llr.quality_rules(docs, labels).orderBy("doc_id").toPandas()
+    assert not got.base_failed.any() and 0.6 * len(good) < (got.kept == good).sum() < len(good)
+    assert got.score.tolist() == scores.tolist() and got.kept.tolist() == (scores >= cut).tolist()
+
+
+def test_site_classifier_learns_from_every_label(many_labels):
+    import pyarrow as pa
+    texts, good, docs, labels = many_labels
+    w, b = site_bayes.classifier(docs, labels, "doc_id", "text", "doc_id", "quality")
+    x = site_bayes.measures(pa.array(texts))
+    sd = np.where(x.std(axis=0) < 1e-9, 1.0, x.std(axis=0))
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    slope = ((x - x.mean(axis=0)) / sd).T @ (good - p) - site_bayes.RIDGE * len(x) * w * sd
+    assert np.abs(slope).max() < 1e-4 and abs((good - p).sum()) < 1e-4 and np.abs(w).max() > 0.1
+
+
+def test_threshold_of_a_table(spark):
+    rng = np.random.default_rng(8)
+    for n, kinds in ((0, 1), (1, 1), (2, 2), (60, 7), (3000, 90), (3000, 10**6)):
+        scores = rng.integers(0, kinds, n) / 8 - 3
+        good = rng.random(n) < np.clip(scores / (kinds / 8) + 0.9, 0.1, 0.9)
+        for flags in (good, ~good, np.ones(n, bool)):
+            rows = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(scores, flags)], "score double, good boolean").repartition(3)
+            got = quality_llr.table_threshold(rows)
+            s = np.unique(scores)
+            if not flags.any() or flags.all():
+                assert got == float("-inf")
+                continue
+            gain = [int((scores[~flags] < v).sum() * flags.sum() - (scores[flags] < v).sum() * (~flags).sum()) for v in s]
+            i = int(np.argmax(gain))  # the lowest of equal ones
+            assert got == (float((s[i] + s[i - 1]) / 2) if i else float("-inf"))
