@@ -102,3 +102,21 @@ def test_stages_take_a_text_beyond_one_slice(spark):
     assert judged.columns == docs.columns
     ids = dict(corpus_pipeline.STAGES)["tokens"](spark, more.where("doc_id >= 1000000"), SF)
     assert ids.count() == 2
+
+
+def test_vector_join_writes_each_vector_once(spark, monkeypatch):
+    """However many cells and blocks there are, no vector is copied for a pair of them."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(300, 24))
+    v = np.concatenate((base, base[:60] + 0.01 * rng.normal(size=(60, 24))))
+    x = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    made = []
+    write = vector_join._written_blocks
+    monkeypatch.setattr(vector_join, "_written_blocks", lambda *a: made.append(write(*a)) or made[-1])
+    got = {r["vec_id"]: r["n_links"] for r in vector_join.cosine_links(df, 0.95, cell=20, block=9).collect()}
+    assert got == dict(enumerate(((x @ x.T >= 0.95).sum(axis=1) - 1).tolist()))
+    assert sum(b[2] for b in made[0]) == len(v) and max(b[2] for b in made[0]) == 9 and len({b[1] for b in made[0]}) > 9
+    for n in range(1, 8):
+        met = [frozenset((a, b)) for a in range(5, 5 + n) for b in vector_join.partners(None, a, 5, n)]
+        assert len(met) == len(set(met)) == n * (n + 1) // 2
