@@ -47,6 +47,28 @@ def test_large_norms_first_leave_most_cells_out():
     assert cells < 0.05 * 50 * len(v)
 
 
+@pytest.mark.parametrize("biases", [False, True])
+def test_single_precision_only_screens(biases, monkeypatch):
+    """Scores closer than single precision tells apart keep their order, and almost all cells are multiplied in it."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(9000, 6))
+    v[3000:] = v[0] * (1 + 1e-8 * rng.integers(0, 40, size=(6000, 1)))      # many within an error of the best and the lowest
+    u = np.concatenate((v[:4] * 10, -v[:4], rng.normal(size=(12, 6))))
+    bi = 1e-8 * rng.normal(size=len(v)) if biases else np.zeros(len(v))
+    bu = rng.normal(size=len(u)) if biases else np.zeros(len(u))
+    seen = {(int(r), int(c)) for r, c in zip(rng.integers(0, len(u), 300), rng.integers(0, len(v), 300))}
+    rough, screen = [], scoring.ItemBlock._screen
+    monkeypatch.setattr(scoring.ItemBlock, "_screen", lambda self, *a: rough.append(len(a[4]) * (a[-1] - a[-2])) or screen(self, *a))
+    row, pos = np.array(sorted(seen)).T
+    got = scoring.ItemBlock(v, bi).best_unseen(u, bu, row, pos, 4)
+    for i, (best, lo, hi) in enumerate(by_hand(u, bu, v, bi, seen, 4)):
+        assert got[1][got[0] == i].tolist() == [c for c, _ in best]
+        assert abs(got[3][i] - lo) < 1e-12 * 100 and abs(got[4][i] - hi) < 1e-12 * 100
+    assert sum(rough) > 0.8 * got[5]
+    big = scoring.ItemBlock(v * 1e30, bi).best_unseen(u, bu, row, pos, 4)     # beyond single precision: all in double
+    assert len(big[0]) == len(got[0]) and np.isfinite(big[3]).all()
+
+
 def test_streamed_equals_block_pairs_for_text_ids(spark):
     rng = np.random.default_rng(7)
     users = spark.createDataFrame([(f"u{i}", [float(x) for x in rng.normal(size=3)], float(i)) for i in range(30)] + [("none", [0.0, 0.0, 0.0], 0.0)],
