@@ -29,7 +29,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -318,16 +317,17 @@ def retrieval(users: DataFrame, items: DataFrame, seen: DataFrame, n: int = 100,
 def _moments(df: DataFrame, kind: str) -> DataFrame:
     """Per-partition partial sums of f f^T, f, b f, b, b^2, |f|^2 and the row
     count, reduced by (kind, name, idx) to one small table."""
+    import pyarrow as pa
 
     def part(batches):
         G = sf = sbf = None
         sb = sbb = sff = 0.0
         cnt = 0
         for b in batches:
-            if len(b) == 0:
+            if not b.num_rows:
                 continue
-            X = np.stack(b["features"].to_numpy()).astype(np.float64)
-            bias = b["bias"].to_numpy(dtype=np.float64)
+            X = _flat(b.column(0)).astype(np.float64).reshape(b.num_rows, -1)
+            bias = b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
             if G is None:
                 r = X.shape[1]
                 G, sf, sbf = np.zeros((r, r)), np.zeros(r), np.zeros(r)
@@ -337,28 +337,32 @@ def _moments(df: DataFrame, kind: str) -> DataFrame:
             sb += bias.sum()
             sbb += (bias * bias).sum()
             sff += (X * X).sum()
-            cnt += len(b)
+            cnt += b.num_rows
         if G is None:
             return
         r = G.shape[0]
         rows = [("G", i, v) for i, v in enumerate(G.ravel())]
         rows += [("f", i, v) for i, v in enumerate(sf)] + [("bf", i, v) for i, v in enumerate(sbf)]
         rows += [("b", 0, sb), ("bb", 0, sbb), ("ff", 0, sff), ("n", 0, float(cnt)), ("r", 0, float(r))]
-        yield pd.DataFrame(rows, columns=["name", "idx", "val"])
+        name, idx, val = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(idx, pa.int64()), pa.array(np.array(val, np.float64))], names=["name", "idx", "val"])
 
-    m = df.select("features", "bias").mapInPandas(part, "name string, idx long, val double")
+    ship_package(df.sparkSession)
+    m = df.select("features", "bias").mapInArrow(part, "name string, idx long, val double")
     return (m.groupBy("name", "idx").agg(F.sum("val").alias("val"))
             .withColumn("kind", F.lit(kind)))
 
 
 def factor_loss(users: DataFrame, items: DataFrame, seen: DataFrame, reg: float = 0.01,
-                user_bias: str | None = "bias", item_bias: str | None = "bias", digits: int | None = 6) -> DataFrame:
+                user_bias: str | None = "bias", item_bias: str | None = "bias", digits: int | None = 6,
+                seen_terms: DataFrame | None = None) -> DataFrame:
     """Mean squared error of p = u.v + b_u + b_i against the 0/1 seen matrix over
     all user x item cells, plus reg * (|U|^2 + |V|^2 + |b_u|^2 + |b_i|^2) / 2 (A16).
 
     Without a cross join: sum(p^2) over all cells follows from the two factor
     Gram matrices and a few sums; sum(p) over seen cells needs only the seen
-    pairs joined to their factors."""
+    pairs joined to their factors, or is given with their number: ``seen_terms``
+    (term, val), p_seen and n_seen in any number of parts."""
     u = _with_bias(users, user_bias).select("userId", "features", "bias")
     it = _with_bias(items, item_bias).select("itemId", "features", "bias")
     mu = _moments(u, "u")
@@ -377,14 +381,15 @@ def factor_loss(users: DataFrame, items: DataFrame, seen: DataFrame, reg: float
     scal = (mu.select(F.concat(F.lit("u_"), "name").alias("term"), "val", "idx")
             .unionByName(mi.select(F.concat(F.lit("i_"), "name").alias("term"), "val", "idx"))
             .where(F.col("idx") == 0).drop("idx"))
-    sd = seen.select("userId", "itemId").distinct()
-    pairs = (sd.join(u.withColumnRenamed("features", "fu").withColumnRenamed("bias", "bu"), "userId")
-             .join(it.withColumnRenamed("features", "fi").withColumnRenamed("bias", "bi"), "itemId"))
-    pseen = pairs.select(F.explode(F.array(
-        F.struct(F.lit("p_seen").alias("term"), (_dot("fu", "fi") + F.col("bu") + F.col("bi")).alias("val")),
-        F.struct(F.lit("n_seen").alias("term"), F.lit(1.0).alias("val")))).alias("t")).select("t.*")
+    if seen_terms is None:
+        sd = seen.select("userId", "itemId").distinct()
+        pairs = (sd.join(u.withColumnRenamed("features", "fu").withColumnRenamed("bias", "bu"), "userId")
+                 .join(it.withColumnRenamed("features", "fi").withColumnRenamed("bias", "bi"), "itemId"))
+        seen_terms = pairs.select(F.explode(F.array(
+            F.struct(F.lit("p_seen").alias("term"), (_dot("fu", "fi") + F.col("bu") + F.col("bi")).alias("val")),
+            F.struct(F.lit("n_seen").alias("term"), F.lit(1.0).alias("val")))).alias("t")).select("t.*")
     terms = ["t1", "t34", "u_b", "u_bb", "u_ff", "u_n", "i_b", "i_bb", "i_ff", "i_n", "p_seen", "n_seen"]
-    row = (t1.unionByName(t34).unionByName(scal).unionByName(pseen)
+    row = (t1.unionByName(t34).unionByName(scal).unionByName(seen_terms)
            .groupBy().pivot("term", terms).agg(F.sum("val")))
     row = row.select(*[F.coalesce(F.col(t), F.lit(0.0)).alias(t) for t in terms])
     sum_p2 = (F.col("t1") + F.col("i_n") * F.col("u_bb") + F.col("u_n") * F.col("i_bb")

@@ -137,3 +137,28 @@ def test_recommendations_follow_the_groups(spark):
     assert np.mean(right) > 0.95
     with pytest.raises(ValueError):
         biased.train_biased_factors(df.limit(0))
+
+
+def test_training_by_blocks(spark, monkeypatch):
+    """Many small blocks give the factors of one; nothing but the last factors is kept, and the sums over the seen pairs are those of a join."""
+    import os
+
+    rng = random.Random(8)
+    inter = [(f"u{rng.randint(0, 30)}", rng.randint(0, 25)) for _ in range(200)]
+    df, made = spark.createDataFrame(inter, "userId string, itemId int"), []
+    write = biased._Side.write_pairs
+    monkeypatch.setattr(biased._Side, "write_pairs", lambda self, *a: made.append(self) or write(self, *a))
+    out = []
+    for least, at_once in ((1024, 100_000), (3, 7)):
+        monkeypatch.setattr(biased, "LEAST_IDS", least)
+        monkeypatch.setattr(biased, "PAIRS_AT_ONCE", at_once)
+        history = []
+        u, v = biased.train_biased_factors(df, rank=3, sweeps=2, reg=1e-3, history=history)
+        loss = factors.factor_loss(u, v, df, 1e-3, digits=None).first()
+        assert abs(loss["loss"] - history[-1][0]) < 1e-12 and abs(loss["mse"] - history[-1][1]) < 1e-12
+        out.append([matrices(u, "userId", sorted({x for x, _ in inter})), matrices(v, "itemId", sorted({x for _, x in inter}))])
+    assert made[0].n_blocks == 1 and made[2].n_blocks > 5
+    assert all(np.allclose(x, y, atol=1e-10) for a, b in zip(*out) for x, y in zip(a, b))
+    for side in made:
+        files = [f for f in os.listdir(side.folder) if f.startswith("factors-") and not f.startswith(".")]
+        assert sorted(files) == sorted(os.path.basename(f) for f in side.factors.values())
