@@ -96,3 +96,13 @@ def test_usercf_of_long_lists(spark, monkeypatch):
                 score[i] += s
         best = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:3]
         assert [(r[1], r[3]) for r in want if r[0] == u and r[3] <= 3] == sorted([(i, n + 1) for n, (i, _) in enumerate(best)])
+
+
+def test_similarities_are_made_once_a_pair(spark, monkeypatch):
+    """Both directions come from one: the lists that are dealt hold each pair of an item once."""
+    monkeypatch.setattr(sim, "GRID_CELLS", 0)
+    asked, listed = [], sim._listed
+    monkeypatch.setattr(sim, "_listed", lambda *a, both, **k: asked.append(both) or listed(*a, both=both, **k))
+    got = {(r["userId"], r["otherId"]): r["sim"] for r in sim.user_similarity(spark.createDataFrame(_rows(), ["userId", "itemId"])).collect()}
+    assert asked == [False]
+    assert set(got) == {(u, v) for u, vs in _expected(_rows()).items() for v in vs} and all(got[v, u] == s for (u, v), s in got.items())
